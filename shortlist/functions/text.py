@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 WS = (r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 
+# The same characters, for trim(): the whitespace str.strip() removes.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_PATTERN = rf"(\+?[0-9][0-9{WS}\-\(\)]{{7,}}[0-9])"
 PHONE_STRIP_PATTERN = rf"[{WS}\-\(\)]"
@@ -58,8 +62,12 @@ def _col(c: Column | str) -> Column:
 
 
 def strip_ws(text: Column | str) -> Column:
-    """Remove leading and trailing Unicode whitespace (``trim`` only strips U+0020)."""
-    return F.regexp_replace(_col(text), rf"^[{WS}]+|[{WS}]+$", "")
+    """Remove leading and trailing Unicode whitespace (plain ``trim`` only strips U+0020).
+
+    ``trim`` with an explicit character set touches only the two ends, unlike
+    an end-anchored regex that is retried at every whitespace run.
+    """
+    return F.trim(_col(text), F.lit(WS_CHARS))
 
 
 def stripped_length(text: Column | str) -> Column:
@@ -120,18 +128,19 @@ def sorted_vocab(vocab: Iterable[str] = SKILLS_VOCAB) -> list[str]:
     return sorted(set(vocab))
 
 
-def extract_skills(text: Column | str, vocab: Sequence[str] = SKILLS_VOCAB) -> Column:
+def extract_skills(text: Column | str, vocab: Sequence[str] = SKILLS_VOCAB,
+                   lowered: Column | str | None = None) -> Column:
     """Vocabulary entries that occur as substrings of the lower-cased text.
 
-    One ``contains`` per entry over the same ``lower(text)``; subexpression
-    elimination evaluates ``lower`` once per row.  Entries are tested in
-    code-point order, so the result is already sorted.
+    Entries are tested in code-point order, so the result is already sorted.
+    Pass ``lowered`` (a column already holding ``lower(text)``, projected
+    once) so the text is lower-cased once per row, not once per entry.
     """
-    lowered = F.lower(_col(text))
-    hits = [F.when(F.contains(lowered, F.lit(s)), F.lit(s)) for s in sorted_vocab(vocab)]
-    if not hits:
+    entries = sorted_vocab(vocab)
+    if not entries:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*hits))
+    low = F.lower(_col(text)) if lowered is None else _col(lowered)
+    return F.filter(F.array(*[F.lit(s) for s in entries]), lambda s: F.contains(low, s))
 
 
 def skills_list(skills: Column | str) -> Column:

@@ -11,7 +11,11 @@ from shortlist.functions import text as tx
 from shortlist.schemas import RESUME_COLUMNS
 
 
-def field_columns(raw_text: Column | str, vocab: Sequence[str] = tx.SKILLS_VOCAB) -> dict[str, Column]:
+LOWER_COL = "_lower_text"
+
+
+def field_columns(raw_text: Column | str, vocab: Sequence[str] = tx.SKILLS_VOCAB,
+                  lowered: str | None = None) -> dict[str, Column]:
     """All extracted fields of one document.  Extraction reads the raw text;
     only ``Resume_Text`` (the embedding input) is the cleaned text."""
     raw = F.col(raw_text) if isinstance(raw_text, str) else raw_text
@@ -20,10 +24,16 @@ def field_columns(raw_text: Column | str, vocab: Sequence[str] = tx.SKILLS_VOCAB
         "Email": tx.extract_email(raw),
         "Phone": tx.extract_phone(raw),
         "Exp_Years": tx.extract_experience(raw),
-        "Skills_List": tx.skills_list(tx.extract_skills(raw, vocab)),
+        "Skills_List": tx.skills_list(tx.extract_skills(raw, vocab, lowered=lowered)),
     }
 
 
+def _gate(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
+    """Length gate, then lower-case the text once for the vocabulary scan."""
+    return docs.where(tx.long_enough(text_col, min_chars)) \
+               .withColumn(LOWER_COL, F.lower(F.col(text_col)))
+
+
 def extract_fields(docs: DataFrame, text_col: str = "raw_text", keep: Sequence[str] = (),
                    vocab: Sequence[str] = tx.SKILLS_VOCAB,
                    min_chars: int = tx.MIN_TEXT_CHARS) -> DataFrame:
@@ -32,8 +42,8 @@ def extract_fields(docs: DataFrame, text_col: str = "raw_text", keep: Sequence[s
     ``keep`` columns are passed through (keys, archive, ordinal...).  The
     raw text itself is not carried forward.
     """
-    fields = field_columns(text_col, vocab)
-    gated = docs.where(tx.long_enough(text_col, min_chars))
+    fields = field_columns(text_col, vocab, lowered=LOWER_COL)
+    gated = _gate(docs, text_col, min_chars)
     return gated.select(*[F.col(c) for c in keep],
                         *[expr.alias(name) for name, expr in fields.items()])
 
@@ -48,8 +58,8 @@ def extract_resumes(raw_docs: DataFrame, ordinal_col: str = "idx", name_col: str
     before the length gate, so identifiers may have gaps.  Columns: ``keep``
     followed by the fixed resume columns.
     """
-    fields = field_columns(text_col, vocab)
-    gated = raw_docs.where(tx.long_enough(text_col, min_chars))
+    fields = field_columns(text_col, vocab, lowered=LOWER_COL)
+    gated = _gate(raw_docs, text_col, min_chars)
     return gated.select(
         *[F.col(c) for c in keep],
         tx.resume_id(ordinal_col).alias("Resume_ID"),
@@ -66,8 +76,8 @@ def resumes_from_table(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``Resume_ID`` is the zero-padded document id and ``Source_File`` the
     document's source.
     """
-    fields = field_columns(text_col, vocab)
-    gated = docs.where(tx.long_enough(text_col))
+    fields = field_columns(text_col, vocab, lowered=LOWER_COL)
+    gated = _gate(docs, text_col, tx.MIN_TEXT_CHARS)
     return gated.select(
         *[F.col(c) for c in keep],
         tx.resume_id(id_col).alias("Resume_ID"),

@@ -41,7 +41,8 @@ def _edges(counts: DataFrame) -> tuple[Column, Column]:
     lim = lim.select(
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    return lim.select("lo").scalar(), lim.select("hi").scalar()
+    both = lim.select(F.struct("lo", "hi")).scalar()  # one subquery for both edges
+    return both["lo"], both["hi"]
 
 
 def _edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -108,15 +109,16 @@ def density_curve(df: DataFrame, col: str, points: int = DENSITY_POINTS,
         "cnt", "lo", "hi",
         (F.sqrt(var) * F.pow(F.col("cnt").cast("double"), F.lit(-0.2))).alias("h"),
         ((F.col("hi") - F.col("lo")) / F.lit(float(bins))).alias("width"))
-    cnt, lo, hi, h, width = (stats.select(c).scalar() for c in ("cnt", "lo", "hi", "h", "width"))
+    st = stats.select(F.struct("cnt", "lo", "hi", "h", "width")).scalar()  # one subquery
+    cnt, lo, hi, h, width = (st[c] for c in ("cnt", "lo", "hi", "h", "width"))
 
     step = (hi - lo) / F.lit(float(points - 1))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                       lambda j: F.struct(j.alias("point"),
-                                          F.when(j == points - 1, hi)
-                                           .otherwise(j.cast("double") * step + lo).alias("x")))
     valid = (cnt >= 2) & (h > 0)
-    contrib = counts.where(valid).select(x.alias("v"), "n", F.inline(grid))
+    # ``points`` evaluation points per distinct value (a fixed fan-out, not pairs of rows).
+    contrib = counts.where(valid).select(
+        x.alias("v"), "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    contrib = contrib.withColumn(
+        "x", F.when(F.col("point") == points - 1, hi).otherwise(F.col("point").cast("double") * step + lo))
     z = (F.col("x") - F.col("v")) / h
     kernel = F.col("n") * F.exp(F.lit(-0.5) * z * z)
     dens = contrib.groupBy("point", "x").agg(F.sum(kernel).alias("k"))

@@ -90,9 +90,8 @@ def thresholds(scored: DataFrame, low_q: float = sc.LOW_QUANTILE,
 def with_labels(scored: DataFrame, thr: DataFrame | None = None) -> DataFrame:
     """Add ``Label`` by comparing each score with the thresholds (scalar subqueries)."""
     thr = thresholds(scored) if thr is None else thr
-    low = thr.select("low").scalar()
-    high = thr.select("high").scalar()
-    return scored.withColumn("Label", sc.label("Final_Score", low, high))
+    both = thr.select(F.struct("low", "high")).scalar()  # one subquery for both values
+    return scored.withColumn("Label", sc.label("Final_Score", both["low"], both["high"]))
 
 
 def sort_key() -> Column:
@@ -144,18 +143,22 @@ def summary(labelled: DataFrame, top_n: int) -> DataFrame:
 def candidate_cards(top: DataFrame, max_skills: int = 6) -> DataFrame:
     """Display projection of the (at most n) top rows: rank, first skills, score text.
 
-    The window has no partition key, but it runs after the top-n cut, so it
-    sees at most n rows.
+    The rank comes from one sorted ``collect_list`` over the top rows (at most
+    n of them) and ``posexplode`` — no window, no corpus-wide ordering.
     """
-    w = Window.orderBy(*ranking_order())
-    return top.select(
-        F.row_number().over(w).alias("rank"),
-        "Resume_ID", "Source_File", "Email", "Phone", "Exp_Years",
+    card = F.struct(
+        sort_key().alias("k"),
+        F.col("Resume_ID"), F.col("Source_File"), F.col("Email"), F.col("Phone"), F.col("Exp_Years"),
         F.slice(tx.split_skill_list("Skills_List"), 1, max_skills).alias("skills"),
         # Round half-even to 3 places first so every formatter prints the same digits.
         F.format_string("%.3f", sc.round_half_even(F.col("Final_Score"), 3)).alias("score"),
-        "Reason",
-    )
+        F.col("Reason"))
+    ordered = top.agg(F.sort_array(F.collect_list(card)).alias("cards"))
+    exploded = ordered.select(F.posexplode("cards").alias("pos", "c"))
+    return exploded.select(
+        (F.col("pos") + 1).cast("int").alias("rank"),
+        *[F.col(f"c.{f}").alias(f) for f in ("Resume_ID", "Source_File", "Email", "Phone", "Exp_Years",
+                                             "skills", "score", "Reason")])
 
 
 @dataclass
@@ -201,16 +204,20 @@ def _one_row_zip(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def rank(resumes: DataFrame, semantic: DataFrame, criteria: sc.Criteria,
-         on: str | Sequence[str] = "doc_id", materialize: bool = False) -> RankingResult:
+         on: str | Sequence[str] = "doc_id", materialize: bool | None = None) -> RankingResult:
     """Score, label and split resumes for one criteria.
 
-    With ``materialize=True`` the scored table (no text, no vectors) is
-    written once under the shared checkpoint folder and every output reads
-    it back, instead of recomputing extraction and the join per output.
+    The scored table (no text, no vectors) is read by every output —
+    thresholds, labels, top, others, summary, metrics.  With ``materialize``
+    (default: whenever the session names a checkpoint folder) it is written
+    once there and read back, so extraction and the join run once and later
+    filters cannot be pushed back into the extraction projection.
     """
+    from shortlist.session import checkpoint_dir, materialize as _write
     scored = score(resumes, semantic, criteria, on)
+    if materialize is None:
+        materialize = bool(checkpoint_dir(scored.sparkSession))
     if materialize:
-        from shortlist.session import materialize as _write
         scored = _write(scored, "scored")
     thr = thresholds(scored)
     labelled = with_labels(scored, thr)

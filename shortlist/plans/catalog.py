@@ -20,6 +20,7 @@ from shortlist.operators.embed import cache_misses, embed_hashed
 from shortlist.operators.extract import extract_resumes, resumes_from_table, skill_matches
 from shortlist.operators.ordinal import ordinal_within
 from shortlist.plans import fixtures as fx
+from shortlist.session import materialize_if_possible
 from shortlist.sources.extractors import html_to_text
 
 # The UI defaults of the reference: top 5, at least 2 years, python mandatory.
@@ -52,7 +53,9 @@ def semantic(spark: SparkSession, sf: str, vec_id: int = QUERY_VECTOR_ID) -> Dat
 
 
 def scored(spark: SparkSession, sf: str, criteria: Criteria = CRITERIA) -> DataFrame:
-    return rk.score(resumes(spark, sf), semantic(spark, sf), criteria, on="doc_id")
+    """The scored table, written once under the checkpoint folder when there is one."""
+    return materialize_if_possible(rk.score(resumes(spark, sf), semantic(spark, sf), criteria, on="doc_id"),
+                                   "scored")
 
 
 def labelled(spark: SparkSession, sf: str, criteria: Criteria = CRITERIA) -> DataFrame:

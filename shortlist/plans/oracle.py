@@ -35,8 +35,11 @@ def str_list(values) -> str:
     return "[" + ", ".join(lit(v) for v in values) + "]::VARCHAR[]"
 
 
+WS_SQL = "(" + " || ".join(f"chr({ord(ch)})" for ch in tx.WS_CHARS) + ")"
+
+
 def strip(e: str) -> str:
-    return f"regexp_replace({e}, {lit(f'^[{WS}]+|[{WS}]+$')}, '', 'g')"
+    return f"trim({e}, {WS_SQL})"
 
 
 def clean(e: str) -> str:
@@ -273,7 +276,7 @@ def html_text(e: str) -> str:
     for entity, char in HTML_ENTITIES:
         t = f"replace({t}, {lit(entity)}, {lit(char)})"
     t = f"regexp_replace({t}, {lit(f'[{WS}]+')}, ' ', 'g')"
-    return strip(t)
+    return f"trim({t})"
 
 
 def _quality() -> str:

@@ -56,6 +56,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def materialize_if_possible(df: DataFrame, name: str = "table") -> DataFrame:
+    """``materialize`` when the session names a checkpoint folder, else ``df`` unchanged."""
+    return materialize(df, name) if checkpoint_dir(df.sparkSession) else df
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 

@@ -35,7 +35,7 @@ def html_to_text(html: Column | str) -> Column:
     for entity, char in HTML_ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.regexp_replace(t, f"[{WS}]+", " ")
-    return F.regexp_replace(t, rf"^[{WS}]+|[{WS}]+$", "")
+    return F.trim(t)
 
 
 _DROP = re.compile(r"<(script|style)\b[^>]*>.*?</(script|style)\s*>", re.I | re.S)
