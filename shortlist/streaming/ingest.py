@@ -23,13 +23,14 @@ from pyspark.sql.streaming import StreamingQuery
 from shortlist.functions.scoring import Criteria
 from shortlist.functions.text import DEFAULT_EXTENSIONS
 from shortlist.operators.extract import extract_resumes
+from shortlist.schemas import ARCHIVE_SCHEMA
 from shortlist.sources.archives import list_members, read_members
 
 
 def archive_stream(spark: SparkSession, source_dir: str, glob: str = "*.zip",
                    max_files_per_trigger: int | None = None) -> DataFrame:
     """A stream of newly arrived archive files (path, modificationTime, length, content)."""
-    reader = spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    reader = spark.readStream.format("binaryFile").schema(ARCHIVE_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.load(source_dir)
