@@ -107,19 +107,22 @@ def text_hash(text: str | F.Column) -> F.Column:
 
 
 def cache_misses(docs: DataFrame, cache: DataFrame, text_col: str = "Resume_Text",
-                 key: str = "doc_id", cache_hash_col: str | None = None) -> DataFrame:
+                 key: str = "doc_id", cache_hash_col: str | None = None,
+                 hashed: bool = False) -> DataFrame:
     """(key, text_hash) of documents whose text hash is not in the cache.
 
     ``cache`` either has a ``cache_hash_col`` column or the same ``text_col``.
+    With ``hashed=True`` the documents' ``text_col`` already holds the hash.
     A left-anti join on the hash: AQE broadcasts the cache side only when it
     is small at run time.
     """
-    hashed = docs.select(F.col(key), text_hash(text_col).alias("text_hash"))
+    digest = F.col(text_col) if hashed else text_hash(text_col)
+    hashed_docs = docs.select(F.col(key), digest.alias("text_hash"))
     if cache_hash_col:
         known = cache.select(F.col(cache_hash_col).alias("text_hash"))
     else:
         known = cache.select(text_hash(text_col).alias("text_hash"))
-    return hashed.join(known, "text_hash", "left_anti").select(key, "text_hash")
+    return hashed_docs.join(known, "text_hash", "left_anti").select(key, "text_hash")
 
 
 def update_cache(docs: DataFrame, cache_path: str, text_col: str,

@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from shortlist.functions import scoring as sc
 from shortlist.functions import text as tx
-from shortlist.functions.vectors import cosine_to
+from shortlist.functions.vectors import cosine, cosine_to
 from shortlist.schemas import RECORD_COLUMNS
 
 TIE_BREAK = ("Resume_ID", "Source_File")
+UNROLL_LIMIT = 128
 
 
 def semantic_scores(vectors: DataFrame, query: Sequence[float], key: str = "vec_id",
@@ -230,9 +231,20 @@ def rank(resumes: DataFrame, semantic: DataFrame, criteria: sc.Criteria,
 def semantic_scores_many(vectors: DataFrame, queries: Sequence[Sequence[float]],
                          key: str = "vec_id", vector_col: str = "embedding",
                          out_key: str | None = None) -> DataFrame:
-    """(key, sem_0 .. sem_{k-1}): one narrow pass over the vectors for k queries."""
-    return vectors.select(F.col(key).alias(out_key or key),
-                          *[cosine_to(vector_col, q).alias(f"sem_{i}") for i, q in enumerate(queries)])
+    """(key, sem_0 .. sem_{k-1}): one narrow pass over the vectors for k queries.
+
+    Small totals use the unrolled form; beyond ``UNROLL_LIMIT`` terms the
+    generated code would pass the JVM's 64 KB method limit, so each query is
+    a compact ``aggregate(zip_with(...))`` over a literal array instead (same
+    left-to-right sums, bit-identical results).
+    """
+    dims = sum(len(q) for q in queries)
+    if dims <= UNROLL_LIMIT:
+        cols = [cosine_to(vector_col, q).alias(f"sem_{i}") for i, q in enumerate(queries)]
+    else:
+        cols = [cosine(vector_col, F.array(*[F.lit(float(x)) for x in q])).alias(f"sem_{i}")
+                for i, q in enumerate(queries)]
+    return vectors.select(F.col(key).alias(out_key or key), *cols)
 
 
 def rank_many(resumes: DataFrame, vectors: DataFrame,

@@ -291,9 +291,13 @@ def q_embedding_cache_misses(spark, sf):
     every document that has a vector, keyed by its SHA-256.  Exact copies of
     a cached text are hits even under another id.
     """
-    res = resumes(spark, sf).select("doc_id", "Resume_Text")
-    covered = res.join(fx.embeddings(spark, sf).select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    return cache_misses(res, covered, text_col="Resume_Text", key="doc_id")
+    from shortlist.operators.embed import text_hash
+    # (doc_id, text_hash) is written once: both sides of the anti-join read it.
+    hashed = materialize_if_possible(
+        resumes(spark, sf).select("doc_id", text_hash("Resume_Text").alias("text_hash")), "hashes")
+    covered = hashed.join(fx.embeddings(spark, sf).select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    return cache_misses(hashed, covered, text_col="text_hash", key="doc_id",
+                        cache_hash_col="text_hash", hashed=True)
 
 
 def q_embed_documents(spark, sf):
