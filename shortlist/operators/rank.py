@@ -275,6 +275,9 @@ def rank_many(resumes: DataFrame, vectors: DataFrame,
                                 F.col(sem_col).alias("Semantic_Score"),
                                 *[expr.alias(name) for name, expr in rules.items()]))
     exploded = joined.select(*base_cols, F.inline(F.array(*structs)))
+    # Read twice (per-query thresholds, then the cut): write it once when possible.
+    from shortlist.session import materialize_if_possible
+    exploded = materialize_if_possible(exploded, "scored_many")
 
     counts = exploded.groupBy("jd_id", "Final_Score").agg(F.count(F.lit(1)).alias("n"))
     q = F.percentile("Final_Score", F.array(F.lit(sc.LOW_QUANTILE), F.lit(sc.HIGH_QUANTILE)), F.col("n"))
