@@ -38,6 +38,8 @@ def spread(docs: DataFrame) -> DataFrame:
     groups) the text is spread first.  A large input already has more
     splits than cores and is left as it is: no shuffle is added.
     """
+    if docs.isStreaming:  # micro-batches are already spread by the member reader
+        return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:
         # Several tasks per core even out documents of very different lengths.
