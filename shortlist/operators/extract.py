@@ -70,14 +70,20 @@ def extract_fields(docs: DataFrame, text_col: str = "raw_text", keep: Sequence[s
 def extract_resumes(raw_docs: DataFrame, ordinal_col: str = "idx", name_col: str = "name",
                     text_col: str = "raw_text", keep: Sequence[str] = ("archive",),
                     vocab: Sequence[str] = tx.SKILLS_VOCAB,
-                    min_chars: int = tx.MIN_TEXT_CHARS) -> DataFrame:
+                    min_chars: int = tx.MIN_TEXT_CHARS, observation=None) -> DataFrame:
     """Raw documents (one row per archive member) → the resume table.
 
     The ordinal is the member's position among selected members, numbered
     before the length gate, so identifiers may have gaps.  Columns: ``keep``
-    followed by the fixed resume columns.
+    followed by the fixed resume columns.  ``observation`` (a
+    ``pyspark.sql.Observation``) receives the member count and the number of
+    members that passed the length gate, gathered by the job that runs.
     """
     fields = field_columns(text_col, vocab, lowered=LOWER_COL)
+    if observation is not None:
+        raw_docs = raw_docs.observe(
+            observation, F.count(F.lit(1)).alias("members"),
+            F.count_if(tx.long_enough(text_col, min_chars)).alias("extracted"))
     gated = _gate(raw_docs, text_col, min_chars)
     return gated.select(
         *[F.col(c) for c in keep],

@@ -205,7 +205,8 @@ def _one_row_zip(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def rank(resumes: DataFrame, semantic: DataFrame, criteria: sc.Criteria,
-         on: str | Sequence[str] = "doc_id", materialize: bool | None = None) -> RankingResult:
+         on: str | Sequence[str] = "doc_id", materialize: bool | None = None,
+         require_rows: bool = False, observation=None) -> RankingResult:
     """Score, label and split resumes for one criteria.
 
     The scored table (no text, no vectors) is read by every output —
@@ -213,13 +214,21 @@ def rank(resumes: DataFrame, semantic: DataFrame, criteria: sc.Criteria,
     (default: whenever the session names a checkpoint folder) it is written
     once there and read back, so extraction and the join run once and later
     filters cannot be pushed back into the extraction projection.
+
+    ``require_rows=True`` raises ``ValueError`` for an empty input (one extra,
+    short-circuiting job).  ``observation`` (a ``pyspark.sql.Observation``)
+    collects the number of ranked rows as a side effect of the first job.
     """
     from shortlist.session import checkpoint_dir, materialize as _write
     scored = score(resumes, semantic, criteria, on)
+    if observation is not None:
+        scored = scored.observe(observation, F.count(F.lit(1)).alias("ranked_rows"))
     if materialize is None:
         materialize = bool(checkpoint_dir(scored.sparkSession))
     if materialize:
         scored = _write(scored, "scored")
+    if require_rows and scored.isEmpty():
+        raise ValueError("Input DataFrame is empty.")
     thr = thresholds(scored)
     labelled = with_labels(scored, thr)
     top = top_candidates(labelled, criteria.top_n)

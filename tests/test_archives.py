@@ -84,3 +84,13 @@ def test_streaming_ingest_available_now(spark, scratch):
     q.awaitTermination(120)
     # Exactly once: the first archive is not re-ingested.
     assert spark.read.parquet(out).count() == 3
+
+
+def test_observation_counts_members(spark):
+    from pyspark.sql import Observation
+    obs = Observation("ingest")
+    archives = ar.archives_from_bytes(spark, [("bundle.zip", make_zip(ENTRIES))])
+    docs = ar.entry_texts(ar.archive_entries(archives))
+    rows = extract_resumes(docs.where(F.col("error").isNull()), observation=obs).collect()
+    assert len(rows) == 2
+    assert obs.get == {"members": 3, "extracted": 2}

@@ -120,3 +120,18 @@ def test_candidate_cards(spark):
     assert [c["rank"] for c in cards] == [1, 2, 3, 4, 5]
     assert cards[0]["score"] == "0.621"
     assert all(len(c["skills"]) <= 6 for c in cards)
+
+
+def test_empty_input_guard(spark):
+    import pytest
+    res = cat.resumes(spark, SF0001).where("doc_id < 0")
+    with pytest.raises(ValueError):
+        rk.rank(res, cat.semantic(spark, SF0001), cat.CRITERIA, require_rows=True)
+    assert rk.rank(res, cat.semantic(spark, SF0001), cat.CRITERIA).summary.first()["total"] == 0
+
+
+def test_ranked_rows_observation(spark):
+    from pyspark.sql import Observation
+    obs = Observation("rank")
+    rk.rank(cat.resumes(spark, SF0001), cat.semantic(spark, SF0001), cat.CRITERIA, observation=obs)
+    assert obs.get["ranked_rows"] == 200
