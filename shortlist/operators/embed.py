@@ -122,6 +122,10 @@ def cache_misses(docs: DataFrame, cache: DataFrame, text_col: str = "Resume_Text
         known = cache.select(F.col(cache_hash_col).alias("text_hash"))
     else:
         known = cache.select(text_hash(text_col).alias("text_hash"))
+    # One row per hash on the cache side (combined map-side), so a hot group of
+    # copies on the document side meets a single row and AQE's skew-join split
+    # can cut that group over many tasks.
+    known = known.dropDuplicates(["text_hash"])
     return hashed_docs.join(known, "text_hash", "left_anti").select(key, "text_hash")
 
 

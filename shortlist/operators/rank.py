@@ -210,23 +210,22 @@ def rank(resumes: DataFrame, semantic: DataFrame, criteria: sc.Criteria,
     """Score, label and split resumes for one criteria.
 
     The scored table (no text, no vectors) is read by every output —
-    thresholds, labels, top, others, summary, metrics.  With ``materialize``
-    (default: whenever the session names a checkpoint folder) it is written
-    once there and read back, so extraction and the join run once and later
-    filters cannot be pushed back into the extraction projection.
+    thresholds, labels, top, others, summary, metrics.  By default it is
+    written once under the session's checkpoint folder and read back (or
+    persisted when there is none), so extraction and the join run once and
+    later filters cannot be pushed back into the extraction projection.
+    ``materialize=False`` keeps one lazy plan.
 
     ``require_rows=True`` raises ``ValueError`` for an empty input (one extra,
     short-circuiting job).  ``observation`` (a ``pyspark.sql.Observation``)
     collects the number of ranked rows as a side effect of the first job.
     """
-    from shortlist.session import checkpoint_dir, materialize as _write
+    from shortlist.session import materialize_if_possible
     scored = score(resumes, semantic, criteria, on)
     if observation is not None:
         scored = scored.observe(observation, F.count(F.lit(1)).alias("ranked_rows"))
-    if materialize is None:
-        materialize = bool(checkpoint_dir(scored.sparkSession))
-    if materialize:
-        scored = _write(scored, "scored")
+    if materialize or materialize is None:
+        scored = materialize_if_possible(scored, "scored")
     if require_rows and scored.isEmpty():
         raise ValueError("Input DataFrame is empty.")
     thr = thresholds(scored)

@@ -57,8 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
 
 
 def materialize_if_possible(df: DataFrame, name: str = "table") -> DataFrame:
-    """``materialize`` when the session names a checkpoint folder, else ``df`` unchanged."""
-    return materialize(df, name) if checkpoint_dir(df.sparkSession) else df
+    """Write ``df`` once when the session names a shared checkpoint folder.
+
+    Without one, ``df`` is persisted (memory, spilling to disk) instead: still
+    computed once and still an optimizer boundary, so later filters are not
+    pushed back into the expensive plan below; lineage is kept, so blocks
+    lost with an executor are recomputed.
+    """
+    if checkpoint_dir(df.sparkSession):
+        return materialize(df, name)
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

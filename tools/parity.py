@@ -83,6 +83,10 @@ def main(argv):
     from shortlist.plans.oracle import ORACLE_SQL
     from shortlist.session import local_session
     spark = local_session(8, 8, checkpoint_dir=tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    if os.environ.get("PARITY_LAZY"):
+        # Behave as a session without a checkpoint folder: every query stays one lazy plan.
+        import shortlist.session as ses
+        ses.checkpoint_dir = lambda _spark: None
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
