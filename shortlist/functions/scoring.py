@@ -171,3 +171,36 @@ def reason(semantic: Column | str, exp_years: Column | str, skills_list: Column
     return F.when(F.size(present) > 0,
                   F.concat(F.lit(REASON_PREFIX), F.array_join(present, REASON_JOIN))) \
             .otherwise(F.lit(BASELINE_REASON))
+
+
+def percent_text(ratio: Column | str, decimals: int = 1) -> Column:
+    """A ratio as display text, e.g. 0.9876 → '98.8%'."""
+    return F.format_string(f"%.{int(decimals)}f%%", _col(ratio) * F.lit(100.0))
+
+
+def title_text(name: Column | str) -> Column:
+    """A snake_case name as a title, e.g. 'score_distribution' → 'Score Distribution'."""
+    return F.initcap(F.replace(_col(name), F.lit("_"), F.lit(" ")))
+
+
+MAX_CRITERIA = 10_000
+
+
+def criteria_from_table(df, max_rows: int = MAX_CRITERIA) -> list[Criteria]:
+    """Criteria rows (jd_id, job_description, top_n, min_exp, skills) → Criteria objects.
+
+    Criteria are query parameters: they are brought to the driver only after
+    checking how many there are.
+    """
+    n = df.count()
+    if n > max_rows:
+        raise ValueError(f"{n} criteria rows, more than {max_rows}")
+    out = []
+    for r in df.collect():
+        d = r.asDict()
+        out.append(Criteria(job_description=d.get("job_description") or "",
+                            top_n=int(d.get("top_n") if d.get("top_n") is not None else DEFAULT_TOP_N),
+                            min_exp=int(d.get("min_exp") or 0),
+                            skills=tuple(d.get("skills") or ()),
+                            jd_id=int(d.get("jd_id") or 0)))
+    return out

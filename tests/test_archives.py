@@ -94,3 +94,25 @@ def test_observation_counts_members(spark):
     rows = extract_resumes(docs.where(F.col("error").isNull()), observation=obs).collect()
     assert len(rows) == 2
     assert obs.get == {"members": 3, "extracted": 2}
+
+
+def test_streaming_ingest_with_ranking_refresh(spark, scratch):
+    from shortlist.functions.scoring import Criteria
+    from shortlist.streaming.ingest import start_ranked_ingest
+    src, table, top, ck = (os.path.join(scratch, d) for d in ("drop", "table", "top", "ck"))
+    os.makedirs(src)
+    entries = [(f"p{i}.pdf", LONG.replace("6 years", f"{i} years")) for i in range(1, 8)]
+    with open(os.path.join(src, "a.zip"), "wb") as f:
+        f.write(make_zip(entries))
+
+    def semantic_for(resumes):
+        # A stand-in similarity derived from the data (more years → closer).
+        return resumes.select("archive", "Resume_ID", (F.col("Exp_Years") / 10.0).alias("Semantic_Score"))
+
+    crit = Criteria(top_n=3, min_exp=2, skills=("!python",))
+    q = start_ranked_ingest(resume_stream(archive_stream(spark, src), partitions=2), table, top, ck,
+                            crit, semantic_for)
+    q.awaitTermination(180)
+    best = spark.read.parquet(top).orderBy(F.desc("Final_Score")).collect()
+    assert [r["Exp_Years"] for r in best] == [7, 6, 5]
+    assert spark.read.parquet(table).count() == 7
