@@ -27,6 +27,16 @@ WS = (r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
             "\u2028\u2029\u202f\u205f\u3000")
+# The extraction patterns as the rules define them, in Python's regex dialect
+# (``\s`` = Unicode whitespace, ``\d`` = digit; experience patterns are
+# case-insensitive):
+#   e-mail      [a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}
+#   phone       (\+?\d[\d\s\-\(\)]{7,}\d)
+#   experience  (\d+)\s*\+?\s*(?:years?|yrs?)\s+(?:of\s+)?experience
+#               experience[:\s]+(\d+)\s*\+?\s*(?:years?|yrs?)
+#               (\d+)\s*\+\s*(?:years?|yrs?)
+# Below, the same patterns for java.util.regex / RE2: ``\s`` spelled as WS,
+# ``\d`` as [0-9] (ASCII digits), case-insensitivity as an inline (?i).
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_PATTERN = rf"(\+?[0-9][0-9{WS}\-\(\)]{{7,}}[0-9])"
 PHONE_STRIP_PATTERN = rf"[{WS}\-\(\)]"

@@ -67,15 +67,20 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """
     counts = value_counts(df, col)
     lo, hi = _edges(counts)
+    # The edges enter each side once, as columns, and are referenced from there.
+    lo_c, hi_c = F.col("_lo"), F.col("_hi")
     x = F.col("value").cast("double")
-    per_bin = counts.groupBy(bin_index(x, lo, hi, bins).alias("b")).agg(F.sum("n").alias("count"))
-    all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("b"))
+    per_bin = (counts.select(x.alias("value"), "n", lo.alias("_lo"), hi.alias("_hi"))
+                     .groupBy(bin_index(F.col("value"), lo_c, hi_c, bins).alias("b"))
+                     .agg(F.sum("n").alias("count")))
+    all_bins = df.sparkSession.range(bins).select(
+        F.col("id").cast("int").alias("b"), lo.alias("_lo"), hi.alias("_hi"))
     # Both sides have at most ``bins`` rows.
     out = all_bins.join(F.broadcast(per_bin), "b", "left")
     return out.select(
         (F.col("b") + 1).alias("bin"),
-        _edge(F.col("b"), lo, hi, bins).alias("bin_lo"),
-        _edge(F.col("b") + 1, lo, hi, bins).alias("bin_hi"),
+        _edge(F.col("b"), lo_c, hi_c, bins).alias("bin_lo"),
+        _edge(F.col("b") + 1, lo_c, hi_c, bins).alias("bin_hi"),
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 
@@ -110,21 +115,23 @@ def density_curve(df: DataFrame, col: str, points: int = DENSITY_POINTS,
         (F.sqrt(var) * F.pow(F.col("cnt").cast("double"), F.lit(-0.2))).alias("h"),
         ((F.col("hi") - F.col("lo")) / F.lit(float(bins))).alias("width"))
     st = stats.select(F.struct("cnt", "lo", "hi", "h", "width")).scalar()  # one subquery
-    cnt, lo, hi, h, width = (st[c] for c in ("cnt", "lo", "hi", "h", "width"))
+    # Bring the statistics in once as a struct column and read its fields from there.
+    with_st = counts.select(x.alias("v"), "n", st.alias("_st"))
+    cnt, lo, hi, h, width = (F.col(f"_st.{c}") for c in ("cnt", "lo", "hi", "h", "width"))
 
     step = (hi - lo) / F.lit(float(points - 1))
     valid = (cnt >= 2) & (h > 0)
     # ``points`` evaluation points per distinct value (a fixed fan-out, not pairs of rows).
-    contrib = counts.where(valid).select(
-        x.alias("v"), "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    contrib = with_st.where(valid).select(
+        "v", "n", "_st", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     contrib = contrib.withColumn(
         "x", F.when(F.col("point") == points - 1, hi).otherwise(F.col("point").cast("double") * step + lo))
     z = (F.col("x") - F.col("v")) / h
     kernel = F.col("n") * F.exp(F.lit(-0.5) * z * z)
-    dens = contrib.groupBy("point", "x").agg(F.sum(kernel).alias("k"))
     scale = width / (h * F.lit(math.sqrt(2.0 * math.pi)))
+    dens = contrib.groupBy("point", "x").agg(F.sum(kernel).alias("k"), F.first(scale).alias("scale"))
     return dens.select("point", round_half_even(F.col("x"), DENSITY_DECIMALS).alias("x"),
-                       round_half_even(F.col("k") * scale, DENSITY_DECIMALS).alias("density"))
+                       round_half_even(F.col("k") * F.col("scale"), DENSITY_DECIMALS).alias("density"))
 
 
 def score_density(scored: DataFrame) -> DataFrame:
