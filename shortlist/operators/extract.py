@@ -40,8 +40,12 @@ def spread(docs: DataFrame) -> DataFrame:
     """
     if docs.isStreaming:  # micro-batches are already spread by the member reader
         return docs
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
+    try:
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        splits = docs.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan as it is
+        return docs
+    if splits < cores:
         # Several tasks per core even out documents of very different lengths.
         return docs.repartition(cores * SPREAD_TASKS_PER_CORE)
     return docs
