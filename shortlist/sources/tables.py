@@ -50,3 +50,17 @@ def write_records(records: DataFrame, path: str, mode: str = "overwrite") -> Non
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` rows for display."""
     return df.limit(n)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str | list[str], buckets: int,
+                   mode: str = "overwrite") -> DataFrame:
+    """Save ``df`` as a table bucketed and sorted by ``key`` and return it.
+
+    Two tables bucketed the same way on the join key (e.g. the resume table
+    and its vector or score table, both keyed by document id) join without
+    a shuffle: ranking the same corpus again and again then skips the
+    corpus-wide exchange of the score join.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)

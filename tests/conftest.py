@@ -20,7 +20,8 @@ def spark():
     from shortlist.session import local_session
     scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     session = local_session("*", 8, checkpoint_dir=os.path.join(scratch, "checkpoints"),
-                            **{"spark.ui.showConsoleProgress": "false"})
+                            **{"spark.ui.showConsoleProgress": "false",
+                               "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse")})
     yield session
 
 

@@ -135,3 +135,20 @@ def test_ranked_rows_observation(spark):
     obs = Observation("rank")
     rk.rank(cat.resumes(spark, SF0001), cat.semantic(spark, SF0001), cat.CRITERIA, observation=obs)
     assert obs.get["ranked_rows"] == 200
+
+
+def test_bucketed_tables_join_without_shuffle(spark, scratch):
+    from shortlist.sources.tables import write_bucketed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        res = write_bucketed(cat.resumes(spark, SF0001).drop("Resume_Text"), "bk_resumes", "doc_id", 4)
+        sem = write_bucketed(cat.semantic(spark, SF0001), "bk_semantic", "doc_id", 4)
+        scored = rk.score(res, sem, cat.CRITERIA)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        top = rk.top_candidates(rk.with_labels(scored), 5).select("Resume_ID").collect()
+        assert [r[0] for r in top] == ["R0012", "R0192", "R0026", "R0108", "R0066"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bk_resumes")
+        spark.sql("DROP TABLE IF EXISTS bk_semantic")
