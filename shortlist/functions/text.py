@@ -47,6 +47,17 @@ EXPERIENCE_PATTERNS = (
     rf"(?i)experience[:{WS}]+([0-9]+)[{WS}]*\+?[{WS}]*(?:years?|yrs?)",
     rf"(?i)([0-9]+)[{WS}]*\+[{WS}]*(?:years?|yrs?)",
 )
+# Java-tuned spellings used on the Spark side.  They match exactly what the
+# patterns above match (checked in tests/test_text.py); only the work per
+# character differs:
+# * the whitespace class is intersected with two coarse ranges, so an ASCII
+#   letter fails after two range checks instead of one per class member;
+# * an e-mail can only start where a run of local-part characters starts (a
+#   match starting inside a run would also match from the run's start), so
+#   the lookbehind skips every other start position that would rescan the run.
+WS_CLASS = rf"[\t-\x20\x{{85}}-\x{{3000}}&&[{WS}]]"
+WS_RUN_PATTERN = WS_CLASS + "+"
+EMAIL_SCAN_PATTERN = r"(?<![a-zA-Z0-9._%+-])" + EMAIL_PATTERN
 MIN_TEXT_CHARS = 50
 SKILLS_VOCAB = (
     "python", "java", "javascript", "typescript", "c++", "c#", "go", "rust",
@@ -98,14 +109,14 @@ def clean_text(text: Column | str) -> Column:
     After the two replacements only U+0020 can be whitespace, so ``trim``
     is an exact strip here.
     """
-    t = F.regexp_replace(_col(text), f"[{WS}]+", " ")
+    t = F.regexp_replace(_col(text), WS_RUN_PATTERN, " ")
     t = F.regexp_replace(t, r"[^\x20-\x7E]", " ")
     return F.trim(t)
 
 
 def extract_email(text: Column | str) -> Column:
     """First e-mail address, lower-cased; '' when there is none."""
-    return F.lower(F.regexp_extract(_col(text), EMAIL_PATTERN, 0))
+    return F.lower(F.regexp_extract(_col(text), EMAIL_SCAN_PATTERN, 0))
 
 
 def extract_phone(text: Column | str) -> Column:
@@ -124,8 +135,10 @@ def experience_mentions(text: Column | str) -> Column:
     """All years numbers captured by the experience patterns, as ARRAY<BIGINT>."""
     t = _col(text)
     found = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in EXPERIENCE_PATTERNS])
-    # try_cast: a number beyond BIGINT becomes null and is ignored by array_max.
-    return F.transform(found, lambda x: x.try_cast("bigint"))
+    # try_cast: a number beyond BIGINT becomes a null element, ignored by
+    # array_max.  Casting the whole array stays in codegen (a transform lambda
+    # would not).
+    return found.try_cast("array<bigint>")
 
 
 def extract_experience(text: Column | str) -> Column:
@@ -138,19 +151,56 @@ def sorted_vocab(vocab: Iterable[str] = SKILLS_VOCAB) -> list[str]:
     return sorted(set(vocab))
 
 
+def _skill_hits(low: Column, entries: Sequence[str]) -> list[Column]:
+    """One ``CASE WHEN contains(low, entry) THEN entry END`` per entry.
+
+    Plain conditional expressions stay inside whole-stage codegen, where
+    ``low`` (usually ``lower(text)``) is a common subexpression evaluated
+    once per row.  A higher-order ``filter`` over the vocabulary would run
+    interpreted and re-evaluate ``low`` for every entry.
+    """
+    return [F.when(F.contains(low, F.lit(s)), F.lit(s)) for s in entries]
+
+
+def _lowered(text: Column | str, lowered: Column | str | None) -> Column:
+    return F.lower(_col(text)) if lowered is None else _col(lowered)
+
+
+def skills_joined(text: Column | str, vocab: Sequence[str] = SKILLS_VOCAB,
+                  lowered: Column | str | None = None, sep: str = SKILLS_SEPARATOR) -> Column:
+    """Vocabulary entries contained in the lower-cased text, joined by ``sep``
+    in code-point order ('' when none): the display form of ``extract_skills``."""
+    entries = sorted_vocab(vocab)
+    if not entries:
+        return F.lit("")
+    return F.concat_ws(sep, *_skill_hits(_lowered(text, lowered), entries))
+
+
+# Joins the hits before they are split back into an array; a character no
+# vocabulary entry contains.
+_HIT_SEP = "\x00"
+
+
 def extract_skills(text: Column | str, vocab: Sequence[str] = SKILLS_VOCAB,
                    lowered: Column | str | None = None) -> Column:
     """Vocabulary entries that occur as substrings of the lower-cased text.
 
     Entries are tested in code-point order, so the result is already sorted.
-    Pass ``lowered`` (a column already holding ``lower(text)``, projected
-    once) so the text is lower-cased once per row, not once per entry.
+    Pass ``lowered`` (a column already holding ``lower(text)``) to share the
+    lower-casing with other expressions.  The hits are joined and split
+    again so that every step is a codegen'd expression; a vocabulary with an
+    empty entry or one containing the join character takes the (slower)
+    higher-order filter instead, which represents those exactly.
     """
     entries = sorted_vocab(vocab)
     if not entries:
         return F.array().cast("array<string>")
-    low = F.lower(_col(text)) if lowered is None else _col(lowered)
-    return F.filter(F.array(*[F.lit(s) for s in entries]), lambda s: F.contains(low, s))
+    low = _lowered(text, lowered)
+    if "" in entries or any(_HIT_SEP in s for s in entries):
+        return F.filter(F.array(*[F.lit(s) for s in entries]), lambda s: F.contains(low, s))
+    # No entry is empty here, so an empty element can only come from splitting
+    # an empty join (no hit).
+    return F.array_remove(F.split(F.concat_ws(_HIT_SEP, *_skill_hits(low, entries)), _HIT_SEP), "")
 
 
 def skills_list(skills: Column | str) -> Column:

@@ -25,7 +25,7 @@ def field_columns(raw_text: Column | str, vocab: Sequence[str] = tx.SKILLS_VOCAB
         "Email": tx.extract_email(raw),
         "Phone": tx.extract_phone(raw),
         "Exp_Years": tx.extract_experience(raw),
-        "Skills_List": tx.skills_list(tx.extract_skills(raw, vocab, lowered=lowered)),
+        "Skills_List": tx.skills_joined(raw, vocab, lowered=lowered),
     }
 
 

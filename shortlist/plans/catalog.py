@@ -92,7 +92,7 @@ def q_extract_experience(spark, sf):
 
 def q_extract_skills(spark, sf):
     return fx.resumes_raw(spark, sf).select(
-        "doc_id", tx.skills_list(tx.extract_skills("raw_text")).alias("Skills_List"))
+        "doc_id", tx.skills_joined("raw_text").alias("Skills_List"))
 
 
 def q_skills_theta_join(spark, sf):

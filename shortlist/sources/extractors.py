@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shortlist.functions.text import WS
+from shortlist.functions.text import WS_RUN_PATTERN
 
 HTML_DROP_BLOCKS = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>"
 HTML_COMMENT = r"(?s)<!--.*?-->"
@@ -34,7 +34,7 @@ def html_to_text(html: Column | str) -> Column:
     t = F.regexp_replace(t, HTML_TAG, " ")
     for entity, char in HTML_ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(t, f"[{WS}]+", " ")
+    t = F.regexp_replace(t, WS_RUN_PATTERN, " ")
     return F.trim(t)
 
 

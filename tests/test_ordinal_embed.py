@@ -1,6 +1,7 @@
 """Skew-safe ordinals, embeddings and the embedding cache."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -95,3 +96,19 @@ def test_hashed_embeddings_on_documents(spark):
     rows = out.collect()
     assert len(rows) == 200
     assert all(len(r["embedding"]) == em.DEFAULT_DIM for r in rows)
+
+
+def test_cosine_to_sql_and_column_forms_are_identical(spark):
+    rng = np.random.default_rng(7)
+    q = rng.normal(size=24).tolist() + [1e-300, -2.5e-7, 0.0, -0.0, 123456.789]
+    dim = len(q)
+    vs = rng.normal(size=(40, dim)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)] + [(99, [0.0] * dim)],
+                               "id int, v array<float>")
+    out = df.select("id", cosine_to("v", q).alias("a"), cosine_to(F.col("v"), q).alias("b")).collect()
+    assert len(out) == 41
+    for r in out:
+        assert r["a"] == r["b"]
+    bad = spark.createDataFrame([(1, [1.0, 2.0])], "id int, v array<float>")
+    with pytest.raises(Exception, match="dimension differs"):
+        bad.select(cosine_to("v", q)).collect()

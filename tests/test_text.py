@@ -23,6 +23,7 @@ EXTRACTION_CASES = [
     ("5 YEARS   of\nexperience", "", "", 5),
     ("experience 4+years", "", "", 4),
     ("99999999999 years experience", "", "99999999999", 99999999999),
+    ("99999999999999999999 years experience, 3+ yrs", "", "", 3),
 ]
 
 
@@ -131,3 +132,54 @@ def test_vocabulary_size_is_checked(spark):
     df = spark.createDataFrame([(str(i),) for i in range(20)], "skill string")
     with pytest.raises(ValueError):
         vocabulary(df, max_entries=10)
+
+
+TUNED_TRAPS = [
+    "foo.bar@x.com", "a.b-c@d.org and e@f.gh", "x@@y.com", "...@a.bc", "abc@d.ef@g.hi",
+    "mail:a@b.cd;b@c.de", "é@x.com ü.v@w.xyz", "a\xa0\xa0b　 c\x1c \x85d", "   \t\r\n",
+    "caf\xe9 – x​﻿y", "",
+]
+
+
+def test_tuned_patterns_match_the_rule_patterns(spark):
+    """The Java-tuned spellings extract exactly what the rule patterns do."""
+    from conftest import SF001
+    from shortlist.plans import fixtures as fx
+    traps = spark.createDataFrame([(i, t) for i, t in enumerate(TUNED_TRAPS)], "doc_id long, raw_text string")
+    docs = fx.resumes_raw(spark, SF001).select("doc_id", "raw_text").unionByName(traps)
+    rule_clean = F.trim(F.regexp_replace(F.regexp_replace("raw_text", f"[{tx.WS}]+", " "),
+                                         r"[^\x20-\x7E]", " "))
+    rule_email = F.lower(F.regexp_extract("raw_text", tx.EMAIL_PATTERN, 0))
+    bad = docs.where(~rule_clean.eqNullSafe(tx.clean_text("raw_text"))
+                     | ~rule_email.eqNullSafe(tx.extract_email("raw_text")))
+    assert bad.count() == 0
+
+
+def test_skills_codegen_forms_match_the_filter_form(spark):
+    from conftest import SF001
+    from shortlist.plans import fixtures as fx
+    docs = fx.resumes_raw(spark, SF001)
+    entries = tx.sorted_vocab()
+    by_filter = F.filter(F.array(*[F.lit(s) for s in entries]), lambda s: F.contains(F.lower("raw_text"), s))
+    bad = docs.where(~by_filter.eqNullSafe(tx.extract_skills("raw_text"))
+                     | ~tx.skills_list(by_filter).eqNullSafe(tx.skills_joined("raw_text")))
+    assert bad.count() == 0
+
+
+@pytest.mark.parametrize("vocab,expected", [
+    (("", "go"), ["", "go"]),            # an empty entry is in every text
+    (("", "zz"), [""]),
+    (("a\x00b", "go"), ["go"]),          # contains the join character: filter form
+    (("zz",), []),
+    ((), []),
+])
+def test_skills_vocabulary_edge_cases(spark, vocab, expected):
+    assert _one(spark, "Go north", lambda c: tx.extract_skills(c, vocab)) == expected
+
+
+def test_skills_stay_in_codegen(spark):
+    """No higher-order function (interpreted, per-entry re-lowering) in the extraction."""
+    from shortlist.operators.extract import extract_fields
+    df = spark.createDataFrame([("x" * 60,)], "raw_text string")
+    plan = extract_fields(df)._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan
