@@ -29,6 +29,19 @@ def field_columns(raw_text: Column | str, vocab: Sequence[str] = tx.SKILLS_VOCAB
     }
 
 
+def _already_shuffled(docs: DataFrame) -> bool:
+    """True when the physical plan has an exchange (it is then adaptive).
+
+    Asking such a plan for its partition count would run its shuffle stages
+    during planning, and the query would run them again.
+    """
+    try:
+        plan = docs._jdf.queryExecution().executedPlan()
+        return plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec"
+    except Exception:  # no JVM plan view (e.g. a Spark Connect session)
+        return True
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """Give the CPU-bound extraction every core when the input has fewer splits.
 
@@ -36,10 +49,14 @@ def spread(docs: DataFrame) -> DataFrame:
     shuffle a few hundredths of that, so when the scan yields fewer
     partitions than the cluster's default parallelism (few files or row
     groups) the text is spread first.  A large input already has more
-    splits than cores and is left as it is: no shuffle is added.
+    splits than cores and is left as it is: no shuffle is added.  An input
+    that already went through a shuffle is left as it is too: its partition
+    count is ``spark.sql.shuffle.partitions``, sized for the cluster.
     """
     if docs.isStreaming:  # micro-batches are already spread by the member reader
         return docs
+    if _already_shuffled(docs):
+        return docs
     try:
         cores = docs.sparkSession.sparkContext.defaultParallelism
         splits = docs.rdd.getNumPartitions()
@@ -97,6 +114,37 @@ def extract_resumes(raw_docs: DataFrame, ordinal_col: str = "idx", name_col: str
     )
 
 
+def extract_numbered(raw_docs: DataFrame, group: str, key: str, name_col: str = "name",
+                     text_col: str = "raw_text", keep: Sequence[str] = ("archive",),
+                     vocab: Sequence[str] = tx.SKILLS_VOCAB, min_chars: int = tx.MIN_TEXT_CHARS,
+                     rows_per_bucket: int | None = None) -> DataFrame:
+    """``extract_resumes`` for a document table without ordinals: each document
+    is numbered by ``key`` within its ``group`` (e.g. archive), before the
+    length gate, so identifiers may have gaps.
+
+    The ordinal is computed on the (group, key) columns alone and joined back
+    to the extracted rows, so the text never crosses the ordinal's shuffles,
+    and extraction runs on the scan's own splits.  ``key`` must be unique
+    within a group; groups may be null.
+    """
+    from shortlist.operators.ordinal import DEFAULT_ROWS_PER_BUCKET, ordinal_within
+    numbered = ordinal_within(raw_docs.select(group, key), group, key, name="_idx",
+                              rows_per_bucket=rows_per_bucket or DEFAULT_ROWS_PER_BUCKET)
+    numbered = numbered.select(F.col(group).alias("_ng"), F.col(key).alias("_nk"), "_idx")
+    fields = field_columns(text_col, vocab, lowered=LOWER_COL)
+    carried = list(dict.fromkeys([*keep, group, key, name_col]))
+    extracted = _gate(raw_docs, text_col, min_chars).select(
+        *[F.col(c) for c in carried], *[expr.alias(n) for n, expr in fields.items()])
+    joined = extracted.join(numbered, extracted[group].eqNullSafe(numbered["_ng"])
+                            & (extracted[key] == numbered["_nk"]))
+    return joined.select(
+        *[F.col(c) for c in keep],
+        tx.resume_id("_idx").alias("Resume_ID"),
+        tx.basename(name_col).alias("Source_File"),
+        *[F.col(c) for c in RESUME_COLUMNS if c in fields],
+    )
+
+
 def resumes_from_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text",
                        source_col: str = "source", keep: Sequence[str] = ("doc_id",),
                        vocab: Sequence[str] = tx.SKILLS_VOCAB) -> DataFrame:

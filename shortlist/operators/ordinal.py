@@ -6,47 +6,75 @@ whole job.  Here a large group is cut into key-range buckets whose size is
 bounded by ``rows_per_bucket``; rows are numbered inside each bucket and
 shifted by the number of rows in the group's earlier buckets.
 
-The buckets are computed from the data (group min/max/count), never from
-physical partition ids, so every recomputation after an executor loss gives
-the same numbers.  ``key`` must be numeric and unique within a group.
+Buckets are cut in two levels.  Level 1 splits each group's key range
+evenly.  When keys are not evenly spread (a dense run plus a far outlier,
+say), a level-1 bucket can still hold most of the group, so level 2 splits
+every level-1 bucket again over its own key range and row count.  Ordering
+by (level 1, level 2, key) is ordering by key, because both levels are
+monotone in the key.
+
+The buckets are computed from the data (min/max/count per group and per
+bucket), never from physical partition ids, so every recomputation after an
+executor loss gives the same numbers.  ``key`` must be numeric and unique
+within a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
 
 
+def _bucket_count(n: Column, rows_per_bucket: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(float(rows_per_bucket))))
+
+
+def _range_bucket(key: Column, lo: Column, hi: Column, buckets: Column) -> Column:
+    """Monotone in key: floor of a positive affine map of the key into [0, buckets)."""
+    span = (hi - lo).cast("double") + F.lit(1.0)
+    return F.least(buckets - 1, F.floor((key - lo).cast("double") / span * buckets)).cast("long")
+
+
 def ordinal_within(df: DataFrame, group: str, key: str, name: str = "idx",
                    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Add ``name`` = row_number() over (partition by ``group`` order by ``key``)."""
-    # One row per group: bounded by the number of groups, partially aggregated map-side.
+    k = F.col(key)
+    # Level 1, one row per group: partially aggregated map-side.  AQE turns
+    # the joins with these small statistics tables into broadcast joins when
+    # they are small at run time.  Null-safe, so a null group is numbered
+    # like any other.
     stats = df.groupBy(group).agg(
         F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    stats = stats.withColumn(
-        "_buckets", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(rows_per_bucket)))))
-    # AQE turns this into a broadcast join when the stats table is small at run time.
-    # Null-safe, so a null group is numbered like any other.
-    st = stats.select(F.col(group).alias("_g"), "_lo", "_hi", "_buckets")
-    tagged = df.join(st, df[group].eqNullSafe(st["_g"])).drop("_g")
-    span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)
-    # Monotone in key: floor of a positive affine map of the key.
-    bucket = F.least(F.col("_buckets") - 1,
-                     F.floor((F.col(key) - F.col("_lo")).cast("double") / span
-                             * F.col("_buckets"))).cast("long")
-    tagged = tagged.withColumn("_b", bucket).drop("_lo", "_hi", "_buckets")
-
-    in_bucket = Window.partitionBy(group, "_b").orderBy(key)
+    st = stats.select(F.col(group).alias("_g"), "_lo", "_hi",
+                      _bucket_count(F.col("_n"), rows_per_bucket).alias("_nb"))
+    tagged = df.join(st, df[group].eqNullSafe(st["_g"])) \
+               .withColumn("_b", _range_bucket(k, F.col("_lo"), F.col("_hi"), F.col("_nb"))) \
+               .drop("_g", "_lo", "_hi", "_nb")
+
+    # Level 2, one row per level-1 bucket: split again over the bucket's own range.
+    stats2 = tagged.groupBy(group, "_b").agg(
+        F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    st2 = stats2.select(F.col(group).alias("_g"), F.col("_b").alias("_b1"), "_lo", "_hi",
+                        _bucket_count(F.col("_n"), rows_per_bucket).alias("_nb"))
+    tagged = tagged.join(st2, tagged[group].eqNullSafe(st2["_g"]) & (tagged["_b"] == st2["_b1"])) \
+                   .withColumn("_c", _range_bucket(k, F.col("_lo"), F.col("_hi"), F.col("_nb"))) \
+                   .drop("_g", "_b1", "_lo", "_hi", "_nb")
+
+    in_bucket = Window.partitionBy(group, "_b", "_c").orderBy(key)
     numbered = tagged.withColumn("_r", F.row_number().over(in_bucket))
 
-    sizes = tagged.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_m"))
-    earlier = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per bucket; the running count runs over a group's buckets only.
+    sizes = tagged.groupBy(group, "_b", "_c").agg(F.count(F.lit(1)).alias("_m"))
+    earlier = Window.partitionBy(group).orderBy("_b", "_c") \
+                    .rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0))) \
-                   .select(F.col(group).alias("_g"), F.col("_b").alias("_b2"), "_before")
+                   .select(F.col(group).alias("_g"), F.col("_b").alias("_b2"),
+                           F.col("_c").alias("_c2"), "_before")
 
     out = numbered.join(offsets, numbered[group].eqNullSafe(offsets["_g"])
-                        & (numbered["_b"] == offsets["_b2"])).drop("_g", "_b2")
+                        & (numbered["_b"] == offsets["_b2"]) & (numbered["_c"] == offsets["_c2"])) \
+                  .drop("_g", "_b2", "_c2")
     return out.withColumn(name, (F.col("_r") + F.col("_before")).cast("int")) \
-              .drop("_b", "_r", "_before")
+              .drop("_b", "_c", "_r", "_before")

@@ -17,7 +17,7 @@ from shortlist.functions.vectors import l2_normalize
 from shortlist.operators import metrics as mt
 from shortlist.operators import rank as rk
 from shortlist.operators.embed import cache_misses, embed_hashed
-from shortlist.operators.extract import extract_resumes, resumes_from_table, skill_matches
+from shortlist.operators.extract import extract_numbered, resumes_from_table, skill_matches
 from shortlist.operators.ordinal import ordinal_within
 from shortlist.plans import fixtures as fx
 from shortlist.session import materialize_if_possible
@@ -107,8 +107,7 @@ def q_resume_table(spark, sf):
     raw = fx.resumes_raw(spark, sf).withColumnRenamed("source", "archive")
     raw = raw.withColumn("name", F.concat_ws("/", F.col("archive"),
                                              F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
-    numbered = ordinal_within(raw, "archive", "doc_id", name="idx")
-    return extract_resumes(numbered, keep=("archive",))
+    return extract_numbered(raw, "archive", "doc_id", keep=("archive",))
 
 
 def q_entry_filter(spark, sf):
