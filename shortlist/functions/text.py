@@ -54,8 +54,12 @@ EXPERIENCE_PATTERNS = (
 #   letter fails after two range checks instead of one per class member;
 # * an e-mail can only start where a run of local-part characters starts (a
 #   match starting inside a run would also match from the run's start), so
-#   the lookbehind skips every other start position that would rescan the run.
+#   the lookbehind skips every other start position that would rescan the run;
+# * "not printable ASCII" is spelled as the two ranges of its complement over
+#   all code points; java.util.regex runs the negated class ``[^\x20-\x7E]``
+#   about twice as slowly on the whitespace-collapsed text.
 WS_CLASS = rf"[\t-\x20\x{{85}}-\x{{3000}}&&[{WS}]]"
+NON_PRINTABLE_PATTERN = r"[\x00-\x1f\x7f-\x{10ffff}]"
 WS_RUN_PATTERN = WS_CLASS + "+"
 EMAIL_SCAN_PATTERN = r"(?<![a-zA-Z0-9._%+-])" + EMAIL_PATTERN
 MIN_TEXT_CHARS = 50
@@ -110,7 +114,7 @@ def clean_text(text: Column | str) -> Column:
     is an exact strip here.
     """
     t = F.regexp_replace(_col(text), WS_RUN_PATTERN, " ")
-    t = F.regexp_replace(t, r"[^\x20-\x7E]", " ")
+    t = F.regexp_replace(t, NON_PRINTABLE_PATTERN, " ")
     return F.trim(t)
 
 

@@ -138,6 +138,7 @@ TUNED_TRAPS = [
     "foo.bar@x.com", "a.b-c@d.org and e@f.gh", "x@@y.com", "...@a.bc", "abc@d.ef@g.hi",
     "mail:a@b.cd;b@c.de", "é@x.com ü.v@w.xyz", "a\xa0\xa0b　 c\x1c \x85d", "   \t\r\n",
     "caf\xe9 – x​﻿y", "",
+    "emoji \U0001F600\U0001F600 x\ty \x00\x7f\x1b end", "漢字 テキスト\u3000 done",
 ]
 
 
