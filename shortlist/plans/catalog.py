@@ -17,7 +17,7 @@ from shortlist.functions.vectors import l2_normalize
 from shortlist.operators import metrics as mt
 from shortlist.operators import rank as rk
 from shortlist.operators.embed import cache_misses, embed_hashed
-from shortlist.operators.extract import extract_numbered, resumes_from_table, skill_matches
+from shortlist.operators.extract import extract_numbered, resumes_from_table, skill_matches, spread
 from shortlist.operators.ordinal import ordinal_within
 from shortlist.plans import fixtures as fx
 from shortlist.session import materialize_if_possible
@@ -122,7 +122,8 @@ def q_entry_ordinal(spark, sf):
 
 
 def q_html_text(spark, sf):
-    pages = fx.table(spark, sf, "pages")
+    # Regex stripping is CPU-bound: spread an under-split scan over the cores first.
+    pages = spread(fx.table(spark, sf, "pages").select("page_id", "html"))
     return pages.select("page_id", html_to_text("html").alias("text"))
 
 
