@@ -16,6 +16,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shortlist.llm.bpe import encode
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shortlist.llm.simhash import near_duplicates
     got = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -23,6 +31,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op8_simhash)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shortlist.llm.decontam import decontaminate, digest
+    docs = table(spark, sf_dir, "documents")
+    got = digest(decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10))
+    return with_row_id(docs.select("doc_id")).join(got, "rid").drop("rid")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_bpe, op8_simhash, op9_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
