@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import coded_words, gather, map_slices
+from shortlist.llm.common import coded_words, gather, map_slices, per_worker
 
 SHORT = 256
 _NONE = np.int32(2 ** 31 - 1)
@@ -220,12 +220,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = Fa
     base = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     added = ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest
              else "n_tokens bigint, ids array<int>, decoded string")
-    held: list[Bpe] = []
 
     def run(batch: pa.RecordBatch):
-        if not held:
-            held.append(Bpe(path))
-        bpe = held[0]
+        bpe = per_worker(("bpe", path), lambda: Bpe(path))
         words, index, offsets = coded_words(batch.column(text_col))
         flat, starts, lengths = bpe.encode_words(words)
         spelled = np.array([" ".join([bpe.tokens[t] for t in flat[s:s + n]])
@@ -256,6 +253,6 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the tokens of its ids joined by spaces, as the file names no decoder."""
     @F.pandas_udf("string")
     def spelled(ids):
-        tokens = Bpe(path).tokens
+        tokens = per_worker(("bpe", path), lambda: Bpe(path)).tokens
         return ids.map(lambda x: "" if x is None else " ".join([tokens[i] for i in x]))
     return encoded.withColumn("decoded", spelled(ids_col))

@@ -107,3 +107,13 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def per_worker(key: tuple, make: Callable):
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
+    import sys
+    import types
+    held = sys.modules.setdefault("_shortlist_worker", types.ModuleType("_shortlist_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

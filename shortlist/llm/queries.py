@@ -16,6 +16,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shortlist.llm.tokencount import count_tokens
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op6_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shortlist.llm.dac import read_ids, write_ids
+    files = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_ids(files, digest=True).withColumnRenamed("id", "doc_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +54,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_id(docs.select("doc_id")).join(got, "rid").drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_bpe, op8_simhash, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_token_counts, op6_direct_codes, op7_bpe, op8_simhash, op9_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
