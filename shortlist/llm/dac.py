@@ -68,20 +68,19 @@ class Reader:
             bits = np.frombuffer(data, np.uint8, width, at + size)
             blocks = -(-width // (BLOCK // 8))
             rank = np.frombuffer(data, "<u8", blocks, at + size + width).astype(np.int64)
-            self.levels.append((chunks, bits, rank))
+            # The ones before each 64-bit word, from the directory and the words of its block.
+            ones = np.bitwise_count(bits.view("<u8")).astype(np.int64)
+            before = np.cumsum(ones) - ones
+            block = np.arange(len(ones)) // (BLOCK // 64)
+            self.levels.append((chunks, bits, before - before[block * (BLOCK // 64)] + rank[block]))
             at += size + width + 8 * blocks
 
     @staticmethod
     def _ones_before(bits: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Set bits before each place: the block's rank, whole words in it, then a masked word."""
-        words = bits.view("<u8")
+        """Set bits before each place: the ones before its word, then a masked word."""
         word = at >> 6
-        got = rank[at // BLOCK]
-        for back in range(1, BLOCK // 64):
-            inside = (word - back) // (BLOCK // 64) == at // BLOCK
-            got = got + np.where(inside & (word >= back), np.bitwise_count(words[np.maximum(word - back, 0)]), 0)
         below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return got + np.bitwise_count(words[word] & below)
+        return rank[word] + np.bitwise_count(bits.view("<u8")[word] & below)
 
     def get(self, places: np.ndarray) -> np.ndarray:
         """Ids at any places."""
@@ -100,29 +99,42 @@ class Reader:
         return self.get(np.arange(self.starts[i], self.starts[i + 1]))
 
 
-def library_ids(path: str):
+class LibraryIds:
     """words -> (flat ids, starts, lengths), each word encoded by the tokenizers library.
 
     White space never joins what stands on its two sides in such files (it is
     normalised and dropped), so words between ASCII white space encode alone
-    as they do within their text.
+    as they do within their text.  Up to ``keep`` words stay known for later
+    calls; then all are dropped and gathered anew.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, owner = [], []
-        for lo in range(0, len(words), 4096):
-            got = tokenizer.encode(words[lo:lo + 4096], is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(got.ids, np.uint32))
-            owner.append(np.array(got.word_ids, np.int64) + lo)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        lengths = np.bincount(np.concatenate(owner) if owner else [], minlength=len(words)).astype(np.int64)
-        return flat, np.cumsum(lengths) - lengths, lengths
-    return encode
+
+    def __init__(self, path: str, keep: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.keep = keep
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.known) > self.keep:
+            self._clear()
+        new = [w for w in words if w not in self.known]
+        flat, lengths = [self.flat], [self.lengths]
+        for lo in range(0, len(new), 4096):
+            part = new[lo:lo + 4096]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(got.ids, np.uint32))
+            lengths.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)).astype(np.int64))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+        own = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.flat, (np.cumsum(self.lengths) - self.lengths)[own], self.lengths[own]
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None,
@@ -144,7 +156,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
                         ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = per_worker(("library", path), lambda: library_ids(path))
+        encode = per_worker(("library", path), lambda: LibraryIds(path))
         store_fs, root = fs.FileSystem.from_uri(folder)
         store_fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
