@@ -16,6 +16,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shortlist.llm.toxicity import held_out, score
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +61,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_id(docs.select("doc_id")).join(got, "rid").drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_token_counts, op6_direct_codes, op7_bpe, op8_simhash, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op5_token_counts, op6_direct_codes, op7_bpe, op8_simhash, op9_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
