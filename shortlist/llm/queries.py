@@ -61,6 +61,64 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_id(docs.select("doc_id")).join(got, "rid").drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op5_token_counts, op6_direct_codes, op7_bpe, op8_simhash, op9_decontaminate)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shortlist.llm.common import store
+    from shortlist.llm.warc import assemble, read_records, write_captures
+    files = write_captures(table(spark, sf_dir, "pages"), min_bytes=0)
+    pages = assemble(store(read_records(files, payloads=False), "records")).select(
+        "record_id", F.element_at(F.col("metadata")[0]["fields"], "page-id").cast("bigint").alias("page_id"), "capture")
+    named = pages.select("record_id", "page_id")
+    return pages.join(named.select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to")),
+                      F.col("capture.refers_to") == F.col("of"), "left").select(
+        "page_id", "capture.payload_bytes", "capture.payload_digest", F.col("capture.type").alias("record_type"), "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op5_token_counts, op6_direct_codes, op7_bpe, op8_simhash,
+                                  op9_decontaminate, op10_warc)}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex,
+                          row_number() OVER (PARTITION BY body ORDER BY page_id) AS nth,
+                          first_value(page_id) OVER (PARTITION BY body ORDER BY page_id) AS first_id FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN nth > 1 THEN first_id END AS refers_to
+        FROM d""",
+    "op1_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+             s AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS pos, words FROM w WHERE len(words) >= 35),
+             k AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 34], ' ') AS win FROM s),
+             d AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY win) AS n FROM k),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM d WHERE n > 1),
+             marks AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+        FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id""",
+    "op9_decontaminate": r"""
+        WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+             bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+             bs AS (SELECT item_id, words, least(len(words), 10) AS size,
+                           unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS pos FROM bw WHERE len(words) > 0),
+             bwin AS (SELECT DISTINCT item_id::VARCHAR AS item, size, array_to_string(words[pos:pos + size - 1], ' ') AS win FROM bs),
+             sizes AS (SELECT DISTINCT size FROM bwin),
+             ds AS (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos
+                    FROM dw, sizes WHERE len(words) >= size),
+             dwin AS (SELECT doc_id, size, pos, array_to_string(words[pos:pos + size - 1], ' ') AS win FROM ds),
+             hits AS (SELECT doc_id, pos, dwin.size, item FROM dwin JOIN bwin ON dwin.win = bwin.win AND dwin.size = bwin.size),
+             n_hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                       FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM hits) GROUP BY doc_id),
+             items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+                       FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+        SELECT dw.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN n_hit ON dw.doc_id = n_hit.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id""",
+}
