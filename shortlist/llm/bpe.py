@@ -210,8 +210,9 @@ class Bpe:
         return ids, ends[edge[:-1]], ends[edge[1:]] - ends[edge[:-1]]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = False) -> DataFrame:
-    """``docs`` without its text, plus ids and decoded text (or n_tokens and their digests).
+def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = False,
+           decoded: bool = True) -> DataFrame:
+    """``docs`` without its text, plus n_tokens, ids and decoded text (or digests of both).
 
     Null texts count as empty; empty texts have no ids and decode to "".  Very
     long texts and words are encoded whole.  Extra columns pass through.
@@ -219,20 +220,20 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = Fa
     rest = [c for c in docs.columns if c != text_col]
     base = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     added = ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest
-             else "n_tokens bigint, ids array<int>, decoded string")
+             else "n_tokens bigint, ids array<int>" + ", decoded string" * decoded)
 
     def run(batch: pa.RecordBatch):
         bpe = per_worker(("bpe", path), lambda: Bpe(path))
         words, index, offsets = coded_words(batch.column(text_col))
         flat, starts, lengths = bpe.encode_words(words)
         spelled = np.array([" ".join([bpe.tokens[t] for t in flat[s:s + n]])
-                            for s, n in zip(starts.tolist(), lengths.tolist())], object)
+                            for s, n in zip(starts.tolist(), lengths.tolist())] if decoded else [], object)
         used = lengths[index] > 0
         offsets = np.concatenate([[0], np.cumsum(used)])[offsets]
         index = index[used]
         ids = flat[gather(starts[index], lengths[index])].astype("<u4")
         ends = np.concatenate([[0], np.cumsum(lengths[index])])[offsets].tolist()
-        said = spelled[index].tolist()
+        said = spelled[index].tolist() if decoded else []
         texts = [" ".join(said[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         spans = list(zip(ends[:-1], ends[1:]))
         count = pa.array([b - a for a, b in spans], pa.int64())
@@ -243,8 +244,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = Fa
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
         else:
             more = [count, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))),
-                    pa.array(texts, pa.string())]
-            names = ["n_tokens", "ids", "decoded"]
+                    *([pa.array(texts, pa.string())] if decoded else [])]
+            names = ["n_tokens", "ids", *(["decoded"] if decoded else [])]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], names=[*rest, *names])
     return map_slices(docs, run, f"{base}, {added}" if base else added, by=text_col)
 

@@ -23,6 +23,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shortlist.llm.chat import rotate
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shortlist.llm.ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,12 +83,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "capture.payload_bytes", "capture.payload_digest", F.col("capture.type").alias("record_type"), "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op5_token_counts, op6_direct_codes, op7_bpe, op8_simhash,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_chat, op4_ann, op5_token_counts, op6_direct_codes,
+                                  op7_bpe, op8_simhash,
                                   op9_decontaminate, op10_warc)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat": r"""
+        WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+             p AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM r WHERE role <> 'system'),
+             s AS (SELECT conv_id, perspective, turn, role, text,
+                          CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user' END AS chat_role,
+                          CASE WHEN role <> 'system' AND role <> perspective THEN role END AS name
+                   FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.c),
+             h AS (SELECT *, '<|im_start|>' || chat_role || coalesce(' name=' || name, '') || chr(10) AS head FROM s),
+             t AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM h),
+             o AS (SELECT *, row_number() OVER w AS seq,
+                          (sum(length(rendered)) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS char_end FROM t
+                   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, perspective, seq, chat_role, name, rendered, char_end - length(rendered) AS char_start, char_end,
+               CASE WHEN chat_role = 'assistant' THEN char_end - length(rendered) + length(head) END AS loss_start,
+               CASE WHEN chat_role = 'assistant' THEN char_end END AS loss_end
+        FROM o""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
              d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex,
