@@ -26,7 +26,8 @@ from shortlist.llm.common import store
 SAMPLE = 8192
 #: Vectors of a list; candidates and queries that meet in one task at a time.
 LIST_SIZE, MEET = 500, 2048
-PROBES = 24
+#: Share of the sample's own neighbours that the probed lists must hold.
+TARGET = 0.94
 COLUMNS = 16                # columns scanned between two tests
 EPSILON = 2.1               # the test's significance: larger gives up later
 
@@ -49,6 +50,24 @@ def _lists(x: np.ndarray, count: int, rounds: int = 12, seed: int = 11) -> np.nd
     return centres
 
 
+def probes_for(known: np.ndarray, aim: np.ndarray, near: np.ndarray, centres: np.ndarray, k: int, target: float) -> int:
+    """Lists to probe so that ``target`` of the neighbours among ``known`` (their lists: ``near``) are in them.
+
+    Neighbours within a sample are further off than those in the whole table,
+    so the whole table's are found at least as well.
+    """
+    some = np.arange(min(512, len(known)))
+    score = known[some] @ known.T
+    score[some, some] = -np.inf
+    take = min(k, len(known) - 1)
+    if take < 1:
+        return len(centres)
+    best = np.argpartition(score, -take, axis=1)[:, -take:]
+    order = ((centres ** 2).sum(1) - 2 * aim[some] @ centres.T).argsort(axis=1).argsort(axis=1)
+    place = np.sort(order[some[:, None], near[best]].ravel())
+    return int(place[int(np.ceil(target * len(place))) - 1]) + 1
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -62,7 +81,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (size["size"] if size else 0))
 
 
-def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int = PROBES, list_size: int = LIST_SIZE,
+def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int | None = None, list_size: int = LIST_SIZE,
             sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest of every query (id divisible by ``query_every``): query_id, rank, vec_id, score.
 
@@ -92,7 +111,12 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
     def aimed(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.zeros((len(x), 1))]) @ rotation
     count = int(min(max(1, round(facts["n"] / list_size)), max(1, len(fitted) // 8)))
-    sent = spark.sparkContext.broadcast((_lists(lifted(fitted), count), fitted))
+    raised = lifted(fitted)
+    centres = _lists(raised, count)
+    if probes is None:
+        near = ((centres ** 2).sum(1) - 2 * raised @ centres.T).argmin(1)
+        probes = probes_for(fitted, aimed(fitted), near, centres, k, TARGET)
+    sent = spark.sparkContext.broadcast((centres, fitted))
 
     def place(batches):
         centres, _ = sent.value
@@ -138,24 +162,29 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
             dim = y.shape[1]
             ask = matrix(asks.column("v").combine_chunks())
             turned = aimed(ask)
-            for qid, q, t, low in zip(asks.column("qid").to_pylist(), ask, turned, asks.column("low").to_numpy()):
-                # Scores from ``low`` on are distances up to this.
-                reach = (q ** 2).sum() + longest - 2 * low + 1e-9 * (longest + 1)
-                left, part = np.arange(len(y)), np.zeros(len(y))
-                for lo in range(0, dim, COLUMNS):
-                    hi = min(lo + COLUMNS, dim)
-                    part = part + ((y[left, lo:hi] - t[lo:hi]) ** 2).sum(1)
+            qids = asks.column("qid").to_numpy()
+            # Scores from ``low`` on are distances up to this.
+            reach = (ask ** 2).sum(1) + longest - 2 * asks.column("low").to_numpy() + 1e-9 * (longest + 1)
+            for lo in range(0, len(ask), 128):
+                q = np.arange(lo, min(lo + 128, len(ask)))
+                t, first = turned[q][:, :COLUMNS], y[:, :COLUMNS]
+                part = (t ** 2).sum(1)[:, None] + (first ** 2).sum(1) - 2 * t @ first.T
+                a, c = np.nonzero(part * (dim / min(COLUMNS, dim)) <= (reach[q] * (1 + EPSILON / np.sqrt(COLUMNS)) ** 2)[:, None])
+                part, a = part[a, c], q[a]
+                for at in range(COLUMNS, dim, COLUMNS):
+                    hi = min(at + COLUMNS, dim)
+                    part = part + ((y[c, at:hi] - turned[a, at:hi]) ** 2).sum(1)
                     slack = 1.0 if hi == dim else (1 + EPSILON / np.sqrt(hi)) ** 2
-                    go = part * (dim / hi) <= reach * slack
-                    left, part = left[go], part[go]
-                    if not len(left):
-                        break
-                if len(left):
-                    score = (x[left] * q).sum(axis=1)
-                    best = np.lexsort((ids[left], -score))[:k + 1]
-                    out_q.append(np.full(len(best), qid))
-                    out_i.append(ids[left][best])
-                    out_s.append(score[best])
+                    go = part * (dim / hi) <= reach[a] * slack
+                    a, c, part = a[go], c[go], part[go]
+                score = (x[c] * ask[a]).sum(axis=1)
+                order = np.lexsort((ids[c], -score, a))
+                a, c, score = a[order], c[order], score[order]
+                place = np.arange(len(a)) - np.searchsorted(a, a)
+                best = place <= k
+                out_q.append(qids[a[best]])
+                out_i.append(ids[c[best]])
+                out_s.append(score[best])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         return pa.table({"qid": join(out_q, np.int64), "vec_id": join(out_i, np.int64), "score": join(out_s, np.float64)})
     found = (left.groupBy("list", "c", "q").cogroup(right.groupBy("list", "c", "q"))

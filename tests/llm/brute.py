@@ -56,3 +56,27 @@ def components(ids, fps, max_bits):
     root = np.array([find(int(i)) for i in inv])
     least = {r: label[root == r].min() for r in set(root.tolist())}
     return [least[r] for r in root.tolist()]
+
+
+def normal_words(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def decontaminate(rows, items, window):
+    """[(text)] -> [(n_words, hit word numbers, item ids)]."""
+    wins = {}
+    for i, t in items:
+        w = normal_words(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            wins.setdefault(tuple(w[k:k + window]), set()).add(i)
+    out = []
+    for t in rows:
+        w, hits, who = normal_words(t), set(), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                if (got := wins.get(tuple(w[k:k + n]))) is not None:
+                    hits.update(range(k, k + n))
+                    who |= got
+        out.append((len(w), sorted(hits), sorted(str(i) for i in who if i is not None)))
+    return out
