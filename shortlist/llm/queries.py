@@ -79,8 +79,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_id", F.element_at(F.col("metadata")[0]["fields"], "page-id").cast("bigint").alias("page_id"), "capture")
     named = pages.select("record_id", "page_id")
     return pages.join(named.select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to")),
-                      F.col("capture.refers_to") == F.col("of"), "left").select(
-        "page_id", "capture.payload_bytes", "capture.payload_digest", F.col("capture.type").alias("record_type"), "refers_to")
+                      F.coalesce("capture.refers_to", "record_id") == F.col("of"), "left").select(   # no null keys in one task
+        "page_id", "capture.payload_bytes", "capture.payload_digest", F.col("capture.type").alias("record_type"),
+        F.when(F.col("capture.type") == "revisit", F.col("refers_to")).alias("refers_to"))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_chat, op4_ann, op5_token_counts, op6_direct_codes,
