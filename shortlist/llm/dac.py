@@ -108,7 +108,7 @@ class LibraryIds:
     calls; then all are dropped and gathered anew.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -176,7 +176,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
             block, names, held, sizes, total = block + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, schema)], schema=schema)
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text", 8 << 20):
                 words, index, offsets = coded_words(piece.column("text"))
                 flat, starts, lengths = encode(words)
                 own = lengths[index]
