@@ -32,6 +32,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 #: Log-probabilities of the channel.
 AS_SIGN, REPEATED, PADDING = -1.0, -0.5, -7.0
 LETTERS = 28                       # 0: none (a word's edge), 1-26: a-z, 27: any other letter
+PART_BYTES = 4 << 20                # text whose words and features a task holds at a time
 WINDOW = 256                       # longer words are decoded in pieces of this length
 _CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0
                   for b in range(256)], np.uint8)
@@ -206,7 +207,7 @@ def fit(labelled: DataFrame, model: np.ndarray) -> tuple[dict[str, float], float
         pos = np.bincount(which, label, len(names)).astype(np.int64)
         neg = np.bincount(which, 1 - label, len(names)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pos), pa.array(neg)], names=["f", "pos", "neg"])
-    seen = (map_slices(labelled.select("text", "label"), count, "f string, pos bigint, neg bigint")
+    seen = (map_slices(labelled.select("text", "label"), count, "f string, pos bigint, neg bigint", max_bytes=PART_BYTES)
             .groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             .where((F.col("pos") >= min(LEAST_DOCS, toxic)) & (F.col("pos") * clean > F.col("neg") * 5 * toxic))
             .orderBy(F.desc("pos"), "neg", "f").limit(CANDIDATES).toPandas())
@@ -224,7 +225,7 @@ def fit(labelled: DataFrame, model: np.ndarray) -> tuple[dict[str, float], float
         return run
     known = {f: i for i, f in enumerate(seen["f"])}
     bad = labelled.where("label = 1").select("text", "label")
-    rows = map_slices(bad, present(known), "label int, has array<int>").toPandas()["has"]
+    rows = map_slices(bad, present(known), "label int, has array<int>", max_bytes=PART_BYTES).toPandas()["has"]
     holds = np.zeros((len(known), len(rows)), bool)
     for i, has in enumerate(rows):
         holds[np.asarray(has, np.int64), i] = True
@@ -243,7 +244,7 @@ def fit(labelled: DataFrame, model: np.ndarray) -> tuple[dict[str, float], float
     if not names:
         return {}, float(np.log(toxic / clean))
     got: pd.DataFrame = map_slices(labelled.select("text", "label"), present({f: i for i, f in enumerate(names)}),
-                                   "label int, has array<int>").toPandas()
+                                   "label int, has array<int>", max_bytes=PART_BYTES).toPandas()
     x = np.zeros((len(got), len(names) + 1))
     x[:, -1] = 1
     for i, has in enumerate(got["has"]):
@@ -283,4 +284,4 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         value = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))],
                                          names=[*columns, "score", "predicted"])
-    return map_slices(docs, run, f"{schema}, score double, predicted int")
+    return map_slices(docs, run, f"{schema}, score double, predicted int", max_bytes=PART_BYTES)
