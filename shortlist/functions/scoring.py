@@ -95,7 +95,7 @@ def experience_score(years: Column | str, min_exp: int | Column) -> Column:
     """0 below the minimum, else (years - min + 1) / 10 capped at 1."""
     y = _col(years)
     m = min_exp if isinstance(min_exp, Column) else F.lit(int(min_exp))
-    return F.when(y < m, F.lit(0.0)).otherwise(F.least(F.lit(1.0), (y - m + 1) / F.lit(10.0)))
+    return F.when(y < m, F.lit(0.0)).otherwise(F.least(F.lit(1.0), (y.cast("double") - m + 1) / F.lit(10.0)))
 
 
 def passes_mandatory(candidate: Column | str, mandatory: Sequence[str]) -> Column:

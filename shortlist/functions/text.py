@@ -27,15 +27,7 @@ WS = (r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
             "\u2028\u2029\u202f\u205f\u3000")
-# The extraction patterns as the rules define them, in Python's regex dialect
-# (``\s`` = Unicode whitespace, ``\d`` = digit; experience patterns are
-# case-insensitive):
-#   e-mail      [a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}
-#   phone       (\+?\d[\d\s\-\(\)]{7,}\d)
-#   experience  (\d+)\s*\+?\s*(?:years?|yrs?)\s+(?:of\s+)?experience
-#               experience[:\s]+(\d+)\s*\+?\s*(?:years?|yrs?)
-#               (\d+)\s*\+\s*(?:years?|yrs?)
-# Below, the same patterns for java.util.regex / RE2: ``\s`` spelled as WS,
+# The extraction patterns for java.util.regex / RE2: ``\s`` spelled as WS,
 # ``\d`` as [0-9] (ASCII digits), case-insensitivity as an inline (?i).
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_PATTERN = rf"(\+?[0-9][0-9{WS}\-\(\)]{{7,}}[0-9])"
@@ -135,19 +127,24 @@ def extract_phone(text: Column | str) -> Column:
             .otherwise(F.lit(""))
 
 
-def experience_mentions(text: Column | str) -> Column:
-    """All years numbers captured by the experience patterns, as ARRAY<BIGINT>."""
+def experience_mentions(text: Column | str, kind: str = "array<bigint>") -> Column:
+    """All years numbers captured by the experience patterns, as ``kind``."""
     t = _col(text)
     found = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in EXPERIENCE_PATTERNS])
-    # try_cast: a number beyond BIGINT becomes a null element, ignored by
+    # try_cast: a number beyond ``kind`` becomes a null element, ignored by
     # array_max.  Casting the whole array stays in codegen (a transform lambda
     # would not).
-    return found.try_cast("array<bigint>")
+    return found.try_cast(kind)
 
 
 def extract_experience(text: Column | str) -> Column:
-    """Largest years-of-experience number mentioned, 0 when none."""
-    return F.coalesce(F.array_max(experience_mentions(text)), F.lit(0).cast("bigint"))
+    """Largest years-of-experience number mentioned, 0 when none.
+
+    A number beyond BIGINT counts as the largest BIGINT.
+    """
+    top = F.lit(2 ** 63 - 1).cast("bigint")
+    huge = F.array_max(experience_mentions(text, "array<double>")) >= F.lit(float(2 ** 63))
+    return F.when(huge, top).otherwise(F.coalesce(F.array_max(experience_mentions(text)), F.lit(0).cast("bigint")))
 
 
 def sorted_vocab(vocab: Iterable[str] = SKILLS_VOCAB) -> list[str]:

@@ -61,46 +61,23 @@ def _double_sql(x: float) -> str:
     return f"({x!r}D)"
 
 
+def literal_vector(q: Sequence[float]) -> Column:
+    """A constant ARRAY<DOUBLE> (one flat literal, whatever its length)."""
+    return F.expr(f"CAST(array({', '.join(_double_sql(float(x)) for x in q)}) AS array<double>)")
+
+
 def cosine_to(v: Column | str, query: Sequence[float]) -> Column:
-    """Cosine of every row's vector with one literal query vector.
+    """Cosine of every row's vector with one query vector, of any dimension.
 
-    The query is unrolled into constants: one multiply-add per dimension
-    inside whole-stage codegen, no lambda and no per-row array for the query.
-    A row whose vector has another dimension fails loudly.  For a column
-    name the expression is sent as one SQL string (a Column tree of a few
-    hundred nodes costs as many driver round trips to build).
+    The query is one constant array and the sums run over it from left to
+    right, so the expression does not grow with the dimension.  A row whose
+    vector has another dimension fails loudly; a zero vector scores 0.
     """
     q = [float(x) for x in query]
-    dim = len(q)
-    q_sq = _python_squared_norm(q)
-    message = f"embedding dimension differs from the query's ({dim})"
-    if isinstance(v, str):
-        name = "`" + v.replace("`", "``") + "`"
-        elems = [f"CAST(get({name}, {i}) AS DOUBLE)" for i in range(dim)]
-        dot_sql, sq_sql = "0.0D", "0.0D"
-        for e, qi in zip(elems, q):
-            dot_sql = f"({dot_sql} + {e} * {_double_sql(qi)})"
-            sq_sql = f"({sq_sql} + {e} * {e})"
-        if q_sq == 0.0 or dim == 0:
-            score_sql = "0.0D"
-        else:
-            score_sql = f"coalesce(try_divide({dot_sql}, sqrt({sq_sql} * {_double_sql(q_sq)})), 0.0D)"
-        quoted = message.replace("\\", "\\\\").replace("'", "\\'")
-        return F.expr(f"CASE WHEN size({name}) = {dim} THEN {score_sql} "
-                      f"ELSE raise_error('{quoted}') END")
-    vc = v
-    # Cast element by element: casting the whole array would be re-generated per access.
-    elems_c = [F.get(vc, i).cast("double") for i in range(dim)]
-    dot_e: Column = F.lit(0.0)
-    sq_e: Column = F.lit(0.0)
-    for e, qi in zip(elems_c, q):
-        dot_e = dot_e + e * F.lit(qi)
-        sq_e = sq_e + e * e
-    if q_sq == 0.0 or dim == 0:
-        score = F.lit(0.0)
-    else:
-        score = F.coalesce(F.try_divide(dot_e, F.sqrt(sq_e * F.lit(q_sq))), F.lit(0.0))
-    return F.when(F.size(vc) == dim, score).otherwise(F.raise_error(F.lit(message)))
+    vd = as_double(v)
+    score = F.try_divide(dot(vd, literal_vector(q)), F.sqrt(squared_norm(vd) * F.lit(_python_squared_norm(q))))
+    return F.when(F.size(vd) == len(q), F.coalesce(score, F.lit(0.0))).otherwise(
+        F.raise_error(F.lit(f"embedding dimension differs from the query's ({len(q)})")))
 
 
 def normalize_python(q: Sequence[float]) -> list[float]:

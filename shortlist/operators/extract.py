@@ -215,12 +215,16 @@ def _aho_corasick_skills(docs: DataFrame, entries: list[str], text_col: str, out
         import ahocorasick
         automaton = ahocorasick.Automaton()
         for word in shared.value:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
+            if word:
+                automaton.add_word(word, word)
+        if len(automaton):
+            automaton.make_automaton()
         for pdf in batches:
             found = []
             for text in pdf[LOWER_COL]:
-                hits = {w for _, w in automaton.iter(text)} if isinstance(text, str) and text else set()
+                hits = {w for _, w in automaton.iter(text)} if isinstance(text, str) and text and len(automaton) else set()
+                if "" in shared.value and isinstance(text, str):
+                    hits.add("")  # every text contains the empty entry
                 found.append(sorted(hits))
             out = pdf.drop(columns=[LOWER_COL])
             out[out_col] = pd.Series(found, index=pdf.index, dtype=object)

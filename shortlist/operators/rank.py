@@ -28,17 +28,22 @@ from pyspark.sql import functions as F
 
 from shortlist.functions import scoring as sc
 from shortlist.functions import text as tx
-from shortlist.functions.vectors import cosine, cosine_to
+from shortlist.functions.vectors import cosine_to
 from shortlist.schemas import RECORD_COLUMNS
 
 TIE_BREAK = ("Resume_ID", "Source_File")
-UNROLL_LIMIT = 128
+#: Columns that tell rows with the same Resume_ID and Source_File apart, where present.
+ROW_KEYS = ("archive", "doc_id", "idx")
 
 
-def semantic_scores(vectors: DataFrame, query: Sequence[float], key: str = "vec_id",
+def semantic_scores(vectors: DataFrame, query: Sequence[float], key: str | Sequence[str] = "vec_id",
                     vector_col: str = "embedding", out_key: str | None = None) -> DataFrame:
-    """(key, Semantic_Score): cosine of each stored vector with the query vector."""
-    return vectors.select(F.col(key).alias(out_key or key),
+    """(key, Semantic_Score): cosine of each stored vector with the query vector.
+
+    ``key`` may name several columns, such as (archive, Resume_ID).
+    """
+    keys = [F.col(key).alias(out_key or key)] if isinstance(key, str) else [F.col(k) for k in key]
+    return vectors.select(*keys,
                           cosine_to(vector_col, query).alias("Semantic_Score"))
 
 
@@ -95,27 +100,32 @@ def with_labels(scored: DataFrame, thr: DataFrame | None = None) -> DataFrame:
     return scored.withColumn("Label", sc.label("Final_Score", both["low"], both["high"]))
 
 
-def sort_key() -> Column:
+def tie_break(df: DataFrame) -> list[str]:
+    """Columns that order equal scores: the displayed ids, then whatever keys the rows carry."""
+    return [*TIE_BREAK, *[c for c in ROW_KEYS if c in df.columns]]
+
+
+def sort_key(df: DataFrame) -> Column:
     """Ascending struct key equal to the ranking order: score desc, then ids asc."""
     return F.struct((-F.col("Final_Score")).alias("neg_score"),
-                    *[F.col(c).alias(c) for c in TIE_BREAK])
+                    *[F.col(c).alias(c) for c in tie_break(df)])
 
 
-def ranking_order() -> list[Column]:
-    return [F.desc("Final_Score"), *[F.asc(c) for c in TIE_BREAK]]
+def ranking_order(df: DataFrame) -> list[Column]:
+    return [F.desc("Final_Score"), *[F.asc(c) for c in tie_break(df)]]
 
 
 def top_candidates(labelled: DataFrame, top_n: int) -> DataFrame:
     """The ``top_n`` best eligible rows (TakeOrderedAndProject)."""
-    return labelled.where("Eligible").orderBy(*ranking_order()).limit(int(top_n))
+    return labelled.where("Eligible").orderBy(*ranking_order(labelled)).limit(int(top_n))
 
 
 def in_top(labelled: DataFrame, top_n: int) -> Column:
     """True for the rows ``top_candidates`` returns, without a join."""
     if top_n <= 0:
         return F.lit(False)
-    cut = top_candidates(labelled, top_n).select(F.max(sort_key())).scalar()
-    return F.coalesce(F.col("Eligible") & (sort_key() <= cut), F.lit(False))
+    cut = top_candidates(labelled, top_n).select(F.max(sort_key(labelled))).scalar()
+    return F.coalesce(F.col("Eligible") & (sort_key(labelled) <= cut), F.lit(False))
 
 
 def others(labelled: DataFrame, top_n: int) -> DataFrame:
@@ -125,7 +135,7 @@ def others(labelled: DataFrame, top_n: int) -> DataFrame:
 
 def others_ordered(labelled: DataFrame, top_n: int) -> DataFrame:
     """``others`` in presentation order (a range-partitioned global sort)."""
-    return others(labelled, top_n).orderBy(F.desc("Eligible"), *ranking_order())
+    return others(labelled, top_n).orderBy(F.desc("Eligible"), *ranking_order(labelled))
 
 
 def records(df: DataFrame) -> DataFrame:
@@ -148,7 +158,7 @@ def candidate_cards(top: DataFrame, max_skills: int = 6) -> DataFrame:
     n of them) and ``posexplode`` — no window, no corpus-wide ordering.
     """
     card = F.struct(
-        sort_key().alias("k"),
+        sort_key(top).alias("k"),
         F.col("Resume_ID"), F.col("Source_File"), F.col("Email"), F.col("Phone"), F.col("Exp_Years"),
         F.slice(tx.split_skill_list("Skills_List"), 1, max_skills).alias("skills"),
         # Round half-even to 3 places first so every formatter prints the same digits.
@@ -177,7 +187,7 @@ class RankingResult:
         return records(self.top)
 
     def other_records(self) -> DataFrame:
-        return records(self.others.orderBy(F.desc("Eligible"), *ranking_order()))
+        return records(self.others.orderBy(F.desc("Eligible"), *ranking_order(self.others)))
 
     def metrics(self) -> DataFrame:
         from shortlist.operators.metrics import ranking_metrics
@@ -186,7 +196,7 @@ class RankingResult:
     def response(self) -> DataFrame:
         """One-row nested response: summary, thresholds, metrics and the top records."""
         top = self.top.agg(F.sort_array(F.collect_list(F.struct(
-            sort_key().alias("k"), F.struct(*RECORD_COLUMNS).alias("r")))).alias("t"))
+            sort_key(self.top).alias("k"), F.struct(*RECORD_COLUMNS).alias("r")))).alias("t"))
         top = top.select(F.transform("t", lambda x: x["r"]).alias("top_candidates"))
         parts = [self.summary.select(F.struct("*").alias("summary")),
                  self.thresholds.select(F.struct("*").alias("thresholds")),
@@ -241,17 +251,10 @@ def semantic_scores_many(vectors: DataFrame, queries: Sequence[Sequence[float]],
                          out_key: str | None = None) -> DataFrame:
     """(key, sem_0 .. sem_{k-1}): one narrow pass over the vectors for k queries.
 
-    Small totals use the unrolled form; beyond ``UNROLL_LIMIT`` terms the
-    generated code would pass the JVM's 64 KB method limit, so each query is
-    a compact ``aggregate(zip_with(...))`` over a literal array instead (same
-    left-to-right sums, bit-identical results).
+    Every query is a constant array, of any dimension; a vector of another
+    dimension fails loudly, for one query as for many.
     """
-    dims = sum(len(q) for q in queries)
-    if dims <= UNROLL_LIMIT:
-        cols = [cosine_to(vector_col, q).alias(f"sem_{i}") for i, q in enumerate(queries)]
-    else:
-        cols = [cosine(vector_col, F.array(*[F.lit(float(x)) for x in q])).alias(f"sem_{i}")
-                for i, q in enumerate(queries)]
+    cols = [cosine_to(vector_col, q).alias(f"sem_{i}") for i, q in enumerate(queries)]
     return vectors.select(F.col(key).alias(out_key or key), *cols)
 
 
@@ -298,7 +301,7 @@ def rank_many(resumes: DataFrame, vectors: DataFrame,
                        .withColumn("Label", sc.label("Final_Score", F.col("low"), F.col("high")))
 
     max_n = max(int(c.top_n) for c, _ in queries)
-    w = Window.partitionBy("jd_id").orderBy(*ranking_order())
+    w = Window.partitionBy("jd_id").orderBy(*ranking_order(labelled))
     ranked = labelled.where("Eligible").withColumn("rank", F.row_number().over(w))
     top = ranked.where((F.col("rank") <= max_n) & (F.col("rank") <= F.col("top_n")))
     return top.select("jd_id", "rank", *RECORD_COLUMNS)

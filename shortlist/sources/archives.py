@@ -87,8 +87,11 @@ def list_members(archives: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENS
         for pdf in batches:
             rows = []
             for path in pdf["path"]:
-                with _open_path(path) as fh:
-                    rows.extend(_list_zip(path, fh, exts))
+                try:
+                    with _open_path(path) as fh:
+                        rows.extend(_list_zip(path, fh, exts))
+                except OSError as exc:
+                    rows.append((path, 0, "", f"{type(exc).__name__}: {exc}"))
             yield pd.DataFrame(rows, columns=["archive", "idx", "name", "error"])
 
     return archives.select("path").mapInPandas(run, MEMBER_LIST_SCHEMA)
@@ -98,20 +101,25 @@ def read_members(members: DataFrame, extractor=None, partitions: int | None = No
     """Spread members over tasks, then read and decode each one.
 
     Returns (archive, idx, name, raw_text, error).  ``extractor`` maps member
-    bytes to text (default: UTF-8 text, HTML stripped to text, PDF when a PDF
-    library is installed); a failure gives raw_text '' and an error message.
+    bytes to text (default: UTF-8 text, HTML stripped to text); a failure gives
+    raw_text '' and an error message, and errors of the listing are passed on.
     """
     from shortlist.sources.extractors import default_extractor
     extract = extractor or default_extractor
     n = partitions or int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = members.where(F.col("error").isNull()).repartition(n, "archive", "idx")
+    spread = members.repartition(n, "archive", "idx")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         handles: dict[str, zipfile.ZipFile] = {}
         try:
             for pdf in batches:
                 texts, errors = [], []
-                for archive, name in zip(pdf["archive"], pdf["name"]):
+                listed = pdf["error"] if "error" in pdf else [None] * len(pdf)
+                for archive, name, known in zip(pdf["archive"], pdf["name"], listed):
+                    if isinstance(known, str):   # an archive or member that could not be listed stays an error
+                        texts.append("")
+                        errors.append(known)
+                        continue
                     try:
                         zf = handles.get(archive)
                         if zf is None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shortlist.functions.text import WS_RUN_PATTERN
 
-HTML_DROP_BLOCKS = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>"
+HTML_DROP_BLOCKS = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_TAG = r"<[^>]*>"
 # Named entities decoded natively, '&amp;' last so '&amp;lt;' stays '&lt;'.
@@ -38,7 +38,7 @@ def html_to_text(html: Column | str) -> Column:
     return F.trim(t)
 
 
-_DROP = re.compile(r"<(script|style)\b[^>]*>.*?</(script|style)\s*>", re.I | re.S)
+_DROP = re.compile(r"<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", re.I | re.S)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _TAG = re.compile(r"<[^>]*>")
 
@@ -49,23 +49,16 @@ def _html_bytes_to_text(data: bytes) -> str:
     return " ".join(_html.unescape(text).split())
 
 
-def _pdf_to_text(data: bytes) -> str:
-    try:
-        import fitz  # optional PDF library
-    except ImportError as exc:  # pragma: no cover - depends on the installation
-        raise RuntimeError("no PDF library installed") from exc
-    with fitz.open(stream=data, filetype="pdf") as doc:
-        return "\n".join(page.get_text() for page in doc)
-
-
 def default_extractor(name: str, data: bytes) -> str:
-    """Pick a decoder by extension; failures inside a decoder give ''."""
+    """Text of a member by its extension: HTML stripped, anything else as UTF-8.
+
+    There is no decoder for PDF here; real PDF content raises, which
+    ``read_members`` turns into its error column.  Pass an extractor of your
+    own to ``read_members`` for PDF.
+    """
     low = name.lower()
-    try:
-        if low.endswith(".pdf") and data[:5] == b"%PDF-":
-            return _pdf_to_text(data)
-        if low.endswith((".html", ".htm")):
-            return _html_bytes_to_text(data)
-        return data.decode("utf-8", errors="replace")
-    except Exception:
-        return ""
+    if low.endswith(".pdf") and b"%PDF-" in data[:1024]:
+        raise ValueError("no PDF decoder: pass an extractor to read_members")
+    if low.endswith((".html", ".htm")):
+        return _html_bytes_to_text(data)
+    return data.decode("utf-8", errors="replace")

@@ -116,3 +116,14 @@ def test_streaming_ingest_with_ranking_refresh(spark, scratch):
     best = spark.read.parquet(top).orderBy(F.desc("Final_Score")).collect()
     assert [r["Exp_Years"] for r in best] == [7, 6, 5]
     assert spark.read.parquet(table).count() == 7
+
+
+def test_unreadable_archives_stay_in_the_error_output(spark, scratch):
+    os.makedirs(os.path.join(scratch, "in"))
+    with open(os.path.join(scratch, "in", "good.zip"), "wb") as f:
+        f.write(make_zip(ENTRIES))
+    with open(os.path.join(scratch, "in", "bad.zip"), "wb") as f:
+        f.write(b"no archive")
+    docs = ar.read_members(ar.list_members(ar.read_archives(spark, os.path.join(scratch, "in"))), partitions=2)
+    bad = docs.where(F.col("error").isNotNull()).collect()
+    assert [r["archive"].endswith("bad.zip") for r in bad] == [True] and bad[0]["raw_text"] == ""

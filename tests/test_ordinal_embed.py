@@ -149,3 +149,19 @@ def test_extract_numbered_numbers_before_the_gate(spark):
                  for r in extract_numbered(df, "archive", "doc_id").collect())
     assert got == [("", "R0001", "3.txt", 5), ("z1", "R0001", "1.txt", 5),
                    ("z1", "R0003", "5.txt", 5), ("z2", "R0001", "4.txt", 5)]
+
+
+@pytest.mark.parametrize("dim", [2, 384, 1024, 3072])
+def test_cosine_to_any_dimension(spark, dim):
+    q = [((i * 7) % 13 - 6) / 3 for i in range(dim)]
+    v = [((i * 5) % 11 - 5) / 7 for i in range(dim)]
+    df = spark.createDataFrame([(v,), ([0.0] * dim,)], "v array<float>")
+    got = [r.s for r in df.select(cosine_to("v", q).alias("s")).collect()]
+    v32 = [float(__import__("numpy").float32(x)) for x in v]
+    want = sum(a * b for a, b in zip(v32, q)) / (sum(a * a for a in v32) * sum(b * b for b in q)) ** 0.5
+    assert abs(got[0] - want) < 1e-12 and got[1] == 0.0
+    from shortlist.operators.rank import semantic_scores_many
+    ids = df.withColumn("vec_id", F.lit(1))
+    assert semantic_scores_many(ids, [q, q], vector_col="v").count() == 2
+    with pytest.raises(Exception, match="dimension"):
+        semantic_scores_many(ids, [q + [1.0]], vector_col="v").collect()

@@ -152,3 +152,11 @@ def test_bucketed_tables_join_without_shuffle(spark, scratch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS bk_resumes")
         spark.sql("DROP TABLE IF EXISTS bk_semantic")
+
+
+def test_top_and_others_cover_equal_ids_over_archives(spark):
+    """Two archives number their members alike: top and others still hold every row once."""
+    rows = [(a, "R0001", "cv.pdf", 0.9, True) for a in ("x.zip", "y.zip")] + [("z.zip", "R0001", "cv.pdf", 0.2, False)]
+    df = spark.createDataFrame(rows, "archive string, Resume_ID string, Source_File string, Final_Score double, Eligible boolean")
+    for n in (0, 1, 2, 3):
+        assert rk.top_candidates(df, n).count() + rk.others(df, n).count() == 3

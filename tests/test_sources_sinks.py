@@ -56,6 +56,7 @@ def test_html_to_text(spark):
 def test_default_extractor():
     assert default_extractor("a.txt", "héllo".encode()) == "héllo"
     assert default_extractor("a.html", b"<p>x &amp; y</p>") == "x & y"
-    # A .pdf member that is not a PDF is read as text; a broken PDF gives ''.
+    # A .pdf member that is not a PDF is read as text; a PDF needs a decoder of the caller's.
     assert default_extractor("cv.pdf", b"plain words") == "plain words"
-    assert default_extractor("cv.pdf", b"%PDF-1.4 broken") == ""
+    with pytest.raises(ValueError):
+        default_extractor("cv.pdf", b"%PDF-1.4 broken")

@@ -23,7 +23,7 @@ EXTRACTION_CASES = [
     ("5 YEARS   of\nexperience", "", "", 5),
     ("experience 4+years", "", "", 4),
     ("99999999999 years experience", "", "99999999999", 99999999999),
-    ("99999999999999999999 years experience, 3+ yrs", "", "", 3),
+    ("99999999999999999999 years experience, 3+ yrs", "", "", 2 ** 63 - 1),
 ]
 
 
