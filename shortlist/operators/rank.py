@@ -2,7 +2,10 @@
 
 Plan shape for one query (all lazy):
 
-* ``semantic_scores``: a narrow projection over the vector table (one DOUBLE
+* ``score_documents``: every document's text becomes sparse term counts in the
+  extraction pass; the encoder is fitted on them, the job description embedded
+  with it, and each row scored where it lies: no join, no document left out.
+* ``semantic_scores``, for vectors stored elsewhere: a narrow projection over the vector table (one DOUBLE
   per row leaves it, never the vector).
 * ``score``: resumes ⋈ semantic scores on the document key (a shuffle join
   of two corpus-size tables; AQE broadcasts a side only when it is small at
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from shortlist.functions import scoring as sc
 from shortlist.functions import text as tx
 from shortlist.functions.vectors import cosine_to
+from shortlist.operators.embed import DEFAULT_DIM, check_description, embed_corpus, embed_queries
 from shortlist.schemas import RECORD_COLUMNS
 
 TIE_BREAK = ("Resume_ID", "Source_File")
@@ -63,20 +67,47 @@ def score_columns(criteria: sc.Criteria, semantic: str = "Semantic_Score") -> di
     }
 
 
-def score(resumes: DataFrame, semantic: DataFrame, criteria: sc.Criteria,
+def score(resumes: DataFrame, semantic: DataFrame | None, criteria: sc.Criteria,
           on: str | Sequence[str] = "doc_id") -> DataFrame:
     """Resumes with semantic, experience and skill scores, final score, eligibility, reason.
 
-    The cleaned text is dropped before the join: only scalar fields move
-    through the shuffle.
+    Without ``semantic``, ``resumes`` carries Semantic_Score itself.  The
+    cleaned text is dropped before the join: only scalar fields move through
+    the shuffle.
     """
     keys = [on] if isinstance(on, str) else list(on)
     slim = resumes.drop("Resume_Text")
-    joined = slim.join(semantic, keys)
+    joined = slim if semantic is None else slim.join(semantic, keys)
     cols = score_columns(criteria)
     return joined.select("*", *[expr.alias(name) for name, expr in cols.items()])
 
 
+def with_semantic(resumes: DataFrame, descriptions: Sequence[str], names: Sequence[str],
+                  dim: int = DEFAULT_DIM) -> DataFrame:
+    """Resumes (text dropped) with one column per job description: its cosine with the text.
+
+    The encoder is fitted on all the texts given.  A blank description raises
+    ``ValueError`` before any job runs; a text without tokens scores 0.
+    """
+    for text in descriptions:
+        check_description(text)
+    counted, encoder = embed_corpus(resumes, "Resume_Text", dim)
+    queries = embed_queries(encoder, resumes.sparkSession, descriptions)
+    vectors = encoder.vectors(counted)
+    return vectors.select(*[c for c in vectors.columns if c != "embedding"],
+                          *[cosine_to("embedding", q).alias(name) for q, name in zip(queries, names)])
+
+
+def score_documents(resumes: DataFrame, criteria: sc.Criteria, dim: int = DEFAULT_DIM) -> DataFrame:
+    """``score`` with the semantic score of every text against the criteria's job description."""
+    return score(with_semantic(resumes, [criteria.job_description], ["Semantic_Score"], dim), None, criteria)
+
+
+def rank_documents(resumes: DataFrame, criteria: sc.Criteria, dim: int = DEFAULT_DIM, **options) -> RankingResult:
+    """``rank`` by the job description, over every row of ``resumes`` (with Resume_Text)."""
+    return rank(with_semantic(resumes, [criteria.job_description], ["Semantic_Score"], dim), None, criteria, **options)
+
+
 def score_counts(scored: DataFrame) -> DataFrame:
     """(Final_Score, n): bounded by the number of distinct 4-decimal scores."""
     return scored.groupBy("Final_Score").agg(F.count(F.lit(1)).alias("n"))
@@ -214,7 +245,7 @@ def _one_row_zip(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.withColumn(col, right.select(col).scalar())
 
 
-def rank(resumes: DataFrame, semantic: DataFrame, criteria: sc.Criteria,
+def rank(resumes: DataFrame, semantic: DataFrame | None, criteria: sc.Criteria,
          on: str | Sequence[str] = "doc_id", materialize: bool | None = None,
          require_rows: bool = False, observation=None) -> RankingResult:
     """Score, label and split resumes for one criteria.
@@ -275,10 +306,22 @@ def rank_many(resumes: DataFrame, vectors: DataFrame,
     if not queries:
         raise ValueError("at least one query is needed")
     sem = semantic_scores_many(vectors, [q for _, q in queries], key=key, out_key=on)
-    joined = resumes.drop("Resume_Text").join(sem, on)
+    return _rank_joined(resumes.drop("Resume_Text").join(sem, on), [c for c, _ in queries])
+
+
+def rank_many_documents(resumes: DataFrame, criteria: Sequence[sc.Criteria], dim: int = DEFAULT_DIM) -> DataFrame:
+    """``rank_many`` by the criteria's job descriptions, over every row of ``resumes``."""
+    if not criteria:
+        raise ValueError("at least one query is needed")
+    return _rank_joined(with_semantic(resumes, [c.job_description for c in criteria],
+                                      [f"sem_{i}" for i in range(len(criteria))], dim), criteria)
+
+
+def _rank_joined(joined: DataFrame, criteria: Sequence[sc.Criteria]) -> DataFrame:
+    """The rows of ``rank_many`` from resumes with columns sem_0, sem_1, ..."""
     base_cols = [c for c in joined.columns if not c.startswith("sem_")]
     structs = []
-    for i, (crit, _) in enumerate(queries):
+    for i, crit in enumerate(criteria):
         sem_col = f"sem_{i}"
         rules = score_columns(crit, semantic=sem_col)
         structs.append(F.struct(F.lit(int(crit.jd_id)).alias("jd_id"),
@@ -296,11 +339,11 @@ def rank_many(resumes: DataFrame, vectors: DataFrame,
         "jd_id",
         sc.round_half_even(F.col("q")[0], sc.THRESHOLD_DECIMALS).alias("low"),
         sc.round_half_even(F.col("q")[1], sc.THRESHOLD_DECIMALS).alias("high"))
-    # At most len(queries) rows: a proven bound, so broadcasting is safe.
+    # At most len(criteria) rows: a proven bound, so broadcasting is safe.
     labelled = exploded.join(F.broadcast(thr), "jd_id") \
                        .withColumn("Label", sc.label("Final_Score", F.col("low"), F.col("high")))
 
-    max_n = max(int(c.top_n) for c, _ in queries)
+    max_n = max(int(c.top_n) for c in criteria)
     w = Window.partitionBy("jd_id").orderBy(*ranking_order(labelled))
     ranked = labelled.where("Eligible").withColumn("rank", F.row_number().over(w))
     top = ranked.where((F.col("rank") <= max_n) & (F.col("rank") <= F.col("top_n")))

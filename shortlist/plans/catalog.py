@@ -26,14 +26,15 @@ from shortlist.sources.extractors import html_to_text
 # The UI defaults of the reference: top 5, at least 2 years, python mandatory.
 CRITERIA = Criteria(job_description="AI Engineer with Machine Learning and NLP experience",
                     top_n=5, min_exp=2, skills=("!python", "machine learning", "sql"))
-# A second criteria over the same stored vectors (re-ranking without re-embedding).
+# A second criteria, with another job description.
 RERANK_CRITERIA = Criteria(job_description="Data engineer", top_n=10, min_exp=5,
                            skills=("!SQL", "Spark", "kafka", "python"), jd_id=1)
-# Several queries at once: (criteria, vector id used as the query embedding).
+# Several queries at once: (criteria, id of the stored vector that stands for it where vectors are given).
 MANY_QUERIES = (
-    (Criteria(top_n=5, min_exp=2, skills=("!python", "machine learning", "sql"), jd_id=0), 0),
-    (Criteria(top_n=3, min_exp=0, skills=("rust", "c++"), jd_id=1), 1),
-    (Criteria(top_n=8, min_exp=4, skills=("!sql",), jd_id=2), 2),
+    (Criteria("AI Engineer with Machine Learning and NLP experience", top_n=5, min_exp=2,
+              skills=("!python", "machine learning", "sql"), jd_id=0), 0),
+    (Criteria("Systems programmer: Rust, C++ and Linux", top_n=3, min_exp=0, skills=("rust", "c++"), jd_id=1), 1),
+    (Criteria("Database administrator with SQL", top_n=8, min_exp=4, skills=("!sql",), jd_id=2), 2),
 )
 QUALITY_LABELS = (1, 0)
 HTML_EXTENSIONS = (".html",)
@@ -54,8 +55,7 @@ def semantic(spark: SparkSession, sf: str, vec_id: int = QUERY_VECTOR_ID) -> Dat
 
 def scored(spark: SparkSession, sf: str, criteria: Criteria = CRITERIA) -> DataFrame:
     """The scored table, written once under the checkpoint folder when there is one."""
-    return materialize_if_possible(rk.score(resumes(spark, sf), semantic(spark, sf), criteria, on="doc_id"),
-                                   "scored")
+    return materialize_if_possible(rk.score_documents(resumes(spark, sf), criteria), "scored")
 
 
 def labelled(spark: SparkSession, sf: str, criteria: Criteria = CRITERIA) -> DataFrame:
@@ -63,6 +63,12 @@ def labelled(spark: SparkSession, sf: str, criteria: Criteria = CRITERIA) -> Dat
 
 
 def ranking(spark: SparkSession, sf: str, criteria: Criteria = CRITERIA) -> rk.RankingResult:
+    """By the job description, over every document."""
+    return rk.rank_documents(resumes(spark, sf), criteria)
+
+
+def stored_ranking(spark: SparkSession, sf: str, criteria: Criteria = CRITERIA) -> rk.RankingResult:
+    """By stored vectors, over the documents that have one."""
     return rk.rank(resumes(spark, sf), semantic(spark, sf), criteria, on="doc_id")
 
 
@@ -230,11 +236,19 @@ def q_rank_candidates(spark, sf):
 
 
 def q_rerank(spark, sf):
-    result = rk.rank(resumes(spark, sf), semantic(spark, sf), RERANK_CRITERIA, on="doc_id")
-    return result.top_records()
+    return ranking(spark, sf, RERANK_CRITERIA).top_records()
+
+
+def q_rank_stored_vectors(spark, sf):
+    """Re-ranking on vectors stored beforehand: only documents with one take part."""
+    return rk.records(stored_ranking(spark, sf).scored)
 
 
 def q_topn_per_query(spark, sf):
+    return rk.rank_many_documents(resumes(spark, sf), [crit for crit, _ in MANY_QUERIES])
+
+
+def q_topn_stored_vectors(spark, sf):
     queries = [(crit, fx.query_vector(spark, sf, vid)) for crit, vid in MANY_QUERIES]
     return rk.rank_many(resumes(spark, sf), fx.embeddings(spark, sf), queries)
 

@@ -16,6 +16,7 @@ from shortlist.functions import scoring as sc
 from shortlist.functions import text as tx
 from shortlist.functions.scoring import Criteria
 from shortlist.operators import metrics as mt
+from shortlist.operators import embed as em
 from shortlist.plans import catalog as cat
 from shortlist.plans.fixtures import RAW_TEXT_SQL
 from shortlist.sources.extractors import HTML_COMMENT, HTML_DROP_BLOCKS, HTML_ENTITIES, HTML_TAG
@@ -105,6 +106,34 @@ def sem_cte(name: str = "sem", vec_id: int = cat.QUERY_VECTOR_ID, key: str = "do
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {int(vec_id)}) q)"""
 
 
+def _buckets(text: str, key: str, source: str) -> str:
+    """(key, b, c): tokens per bucket."""
+    return f"""SELECT {key}, ('0x' || substr(md5(t), 1, {em.HASH_DIGITS}))::BIGINT % {em.DEFAULT_DIM} AS b, count(*) AS c
+       FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), {lit(em.TOKEN_PATTERN)})) AS t FROM {source})
+       GROUP BY {key}, b"""
+
+
+def vector_ctes() -> str:
+    """Sparse document vectors dv (doc_id, b, x), squared norms nrm, bucket weights wgt."""
+    return f"""tok AS ({_buckets('Resume_Text', 'doc_id', 'res')}),
+n_docs AS (SELECT count(*) AS n FROM res),
+wgt AS (SELECT b, length(bin(any_value(n) // count(*))) AS w FROM tok, n_docs GROUP BY b),
+dv AS (SELECT doc_id, b, c * w AS x FROM tok JOIN wgt USING (b)),
+nrm AS (SELECT doc_id, CAST(sum(x * x) AS DOUBLE) AS s FROM dv GROUP BY doc_id)"""
+
+
+def described_cte(description: str, name: str = "sem") -> str:
+    """Cosine of every document's vector with the job description's."""
+    asked = f"(SELECT 0 AS k, {lit(description)} AS jd)"
+    return f"""{name}_v AS (SELECT b, c * coalesce(w, length(bin(n))) AS y
+                 FROM ({_buckets('jd', 'k', asked)}) LEFT JOIN wgt USING (b), n_docs),
+{name} AS (SELECT res.doc_id, coalesce(any_value(d) / sqrt(any_value(s) * (SELECT CAST(sum(y * y) AS DOUBLE) FROM {name}_v)), 0e0)
+                   AS Semantic_Score
+  FROM res LEFT JOIN nrm USING (doc_id)
+       LEFT JOIN (SELECT doc_id, CAST(sum(x * y) AS DOUBLE) AS d FROM dv JOIN {name}_v USING (b) GROUP BY doc_id) USING (doc_id)
+  GROUP BY res.doc_id)"""
+
+
 def passes(c: Criteria, cand_col: str = "cand") -> str:
     mand = c.mandatory_set
     if not mand:
@@ -147,11 +176,12 @@ def reason(c: Criteria, sem: str = "Semantic_Score") -> str:
             f"{lit(sc.REASON_JOIN)}) ELSE {lit(sc.BASELINE_REASON)} END")
 
 
-def scored_ctes(c: Criteria = cat.CRITERIA, vec_id: int = cat.QUERY_VECTOR_ID) -> str:
-    """raw → res → sem → scored → thr → lab."""
+def scored_ctes(c: Criteria = cat.CRITERIA, vec_id: int | None = None) -> str:
+    """raw → res → sem → scored → thr → lab; by a stored vector if ``vec_id`` is given, else by the job description."""
+    sem = f"{vector_ctes()},\n{described_cte(c.job_description)}" if vec_id is None else sem_cte("sem", vec_id)
     return f"""WITH {RAW},
 {RES},
-{sem_cte('sem', vec_id)},
+{sem},
 sc1 AS (SELECT res.* EXCLUDE (Resume_Text), sem.Semantic_Score, {cand()} AS cand
         FROM res JOIN sem USING (doc_id)),
 sc2 AS (SELECT *, {exp_score(c)} AS Exp_Score, {skill_score(c)} AS Skill_Score,
@@ -283,11 +313,11 @@ def _quality() -> str:
     return "WITH q AS (SELECT doc_id, quality AS actual, 1 - toxic AS predicted FROM labels)"
 
 
-def _many_sql() -> str:
-    ctes = [RAW, RES]
+def _many_sql(stored: bool) -> str:
+    ctes = [RAW, RES] if stored else [RAW, RES, vector_ctes()]
     selects = []
     for i, (c, vid) in enumerate(cat.MANY_QUERIES):
-        ctes.append(sem_cte(f"sem{i}", vid))
+        ctes.append(sem_cte(f"sem{i}", vid) if stored else described_cte(c.job_description, f"sem{i}"))
         ctes.append(f"""s{i} AS (
   SELECT *, {final()} AS Final_Score, (Exp_Years >= {int(c.min_exp)} AND Passes_Mandatory) AS Eligible,
          {reason(c)} AS Reason
@@ -379,7 +409,15 @@ SELECT (SELECT count(*) FROM lab) AS total, (SELECT count_if(Eligible) FROM lab)
 FROM thr, m"""
     r = cat.RERANK_CRITERIA
     q["rerank"] = f"{scored_ctes(r)},\n{top_cte(r.top_n)}\nSELECT {RECORDS} FROM top"
-    q["topn_per_query"] = _many_sql()
+    q["rank_stored_vectors"] = f"{scored_ctes(c, cat.QUERY_VECTOR_ID)}\nSELECT {RECORDS} FROM lab"
+    q["topn_per_query"] = _many_sql(stored=False)
+    q["topn_stored_vectors"] = _many_sql(stored=True)
+    q["embed_documents"] = f"""WITH {RAW},
+{RES},
+{vector_ctes()}
+SELECT doc_id, list(coalesce(x / sqrt(s), 0e0) ORDER BY r.b) AS embedding
+FROM (SELECT doc_id, unnest(range({em.DEFAULT_DIM})) AS b FROM res) r LEFT JOIN dv USING (doc_id, b) LEFT JOIN nrm USING (doc_id)
+GROUP BY doc_id"""
     q["score_histogram"] = S + histogram_sql("scored", "Final_Score", mt.SCORE_BINS)
     q["experience_histogram"] = S + histogram_sql("scored", "Exp_Years", mt.EXPERIENCE_BINS)
     q["score_density"] = S + density_sql("scored", "Final_Score")

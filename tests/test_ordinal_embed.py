@@ -95,6 +95,24 @@ def test_hashed_embedding_and_query(spark):
     assert scores[1] > scores[2] and scores[3] > scores[2]
 
 
+def test_encoders_with_other_settings_are_kept_apart(spark):
+    def factory(scale):
+        def make():
+            return lambda texts: np.array([[scale * len(t), 1.0] for t in texts])
+        return make
+    df = spark.createDataFrame([("abc",)], "t string")
+    got = [em.embed(df, "t", factory(s), normalize=False).first()["embedding"][0] for s in (1.0, 2.0)]
+    assert got == [3.0, 6.0]
+
+
+def test_hashed_vectors_are_whole_numbers(spark):
+    docs = spark.createDataFrame([("a a b",), ("a",), ("",), (None,)], "t string")
+    model = em.hashed_encoder_model(docs, "t", dim=4096)
+    vectors = [r["embedding"] for r in em.apply_hashed(model, docs).collect()]
+    assert sorted(x for x in vectors[0] if x) == [3.0, 4.0]       # b: 4 // 1 has 3 bits; a: twice 4 // 2, 2 bits
+    assert [x for x in vectors[1] if x] == [2.0] and not any(vectors[2]) and not any(vectors[3])
+
+
 def test_cache_only_embeds_new_texts(spark, scratch):
     path = f"{scratch}/cache"
     calls = []

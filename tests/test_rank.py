@@ -10,7 +10,7 @@ from shortlist.plans import fixtures as fx
 
 
 def test_minimum_slice_sf0001_expected(spark):
-    result = cat.ranking(spark, SF0001)
+    result = cat.stored_ranking(spark, SF0001)
     summary = result.summary.first()
     assert (summary["total"], summary["eligible"], summary["returned_top"]) == (200, 85, 5)
     thr = result.thresholds.first()
@@ -74,13 +74,13 @@ def test_split_properties_sf001(spark):
 def test_adding_a_mandatory_skill_never_grows_eligible(spark):
     base = Criteria(top_n=5, min_exp=2, skills=("python", "sql"))
     stricter = Criteria(top_n=5, min_exp=2, skills=("!python", "sql"))
-    n1 = cat.ranking(spark, SF0001, base).summary.first()["eligible"]
-    n2 = cat.ranking(spark, SF0001, stricter).summary.first()["eligible"]
+    n1 = cat.stored_ranking(spark, SF0001, base).summary.first()["eligible"]
+    n2 = cat.stored_ranking(spark, SF0001, stricter).summary.first()["eligible"]
     assert n2 <= n1
 
 
 def test_result_independent_of_partitioning(spark):
-    a = cat.ranking(spark, SF0001).top_records().collect()
+    a = cat.stored_ranking(spark, SF0001).top_records().collect()
     res = cat.resumes(spark, SF0001).repartition(7)
     b = rk.rank(res, cat.semantic(spark, SF0001).repartition(3), cat.CRITERIA).top_records().collect()
     assert a == b
@@ -103,20 +103,20 @@ def test_rank_many_matches_single_queries_and_cuts_early(spark):
 
 
 def test_top_plan_is_take_ordered(spark):
-    result = cat.ranking(spark, SF0001)
+    result = cat.stored_ranking(spark, SF0001)
     plan = result.top._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
 
 
 def test_response_document(spark):
-    row = cat.ranking(spark, SF0001).response().first()
+    row = cat.stored_ranking(spark, SF0001).response().first()
     assert row["summary"]["total"] == 200
     assert row["metrics"]["accuracy"] == 1.0
     assert [r["Resume_ID"] for r in row["top_candidates"]] == ["R0012", "R0192", "R0026", "R0108", "R0066"]
 
 
 def test_candidate_cards(spark):
-    cards = rk.candidate_cards(cat.ranking(spark, SF0001).top).collect()
+    cards = rk.candidate_cards(cat.stored_ranking(spark, SF0001).top).collect()
     assert [c["rank"] for c in cards] == [1, 2, 3, 4, 5]
     assert cards[0]["score"] == "0.621"
     assert all(len(c["skills"]) <= 6 for c in cards)
@@ -160,3 +160,23 @@ def test_top_and_others_cover_equal_ids_over_archives(spark):
     df = spark.createDataFrame(rows, "archive string, Resume_ID string, Source_File string, Final_Score double, Eligible boolean")
     for n in (0, 1, 2, 3):
         assert rk.top_candidates(df, n).count() + rk.others(df, n).count() == 3
+
+
+def test_ranking_follows_the_job_description_over_every_document(spark):
+    import dataclasses
+
+    import pytest
+    res = cat.resumes(spark, SF001)
+    result = rk.rank_documents(res, cat.CRITERIA)
+    assert result.summary.first()["total"] == res.count() == result.scored.count() == 1000
+    other = dataclasses.replace(cat.CRITERIA, job_description="Rust and Linux systems work")
+    a = {r["doc_id"]: r["Semantic_Score"] for r in result.scored.collect()}
+    b = {r["doc_id"]: r["Semantic_Score"] for r in rk.score_documents(res, other).collect()}
+    assert a.keys() == b.keys() and a != b
+    with pytest.raises(ValueError, match="cannot be empty"):
+        rk.rank_documents(res, dataclasses.replace(cat.CRITERIA, job_description="  "))
+
+
+def test_ranking_by_description_of_an_empty_table(spark):
+    res = cat.resumes(spark, SF0001).limit(0)
+    assert rk.rank_documents(res, cat.CRITERIA).summary.first()["total"] == 0
