@@ -294,12 +294,10 @@ def rank_many(resumes: DataFrame, vectors: DataFrame,
               key: str = "vec_id", on: str = "doc_id") -> DataFrame:
     """Top-n per query for several criteria at once.
 
-    One join of resumes with k semantic-score columns, then every rule for
-    each query in one projection, exploded to (query, document) rows.  Labels
-    use per-query thresholds (k rows, broadcast).  The per-query cut is
-    ``row_number() <= n`` partitioned by query, which Spark executes as a
-    ``WindowGroupLimit`` before the shuffle, so each query's partition holds
-    at most n rows per input task.
+    One join of resumes with k semantic-score columns, stored with one row per
+    document.  The per-query cut is ``row_number() <= n`` partitioned by
+    query, which Spark executes as a ``WindowGroupLimit`` before the shuffle,
+    so each query's partition holds at most n rows per input task.
 
     Returns (jd_id, rank, the ten record columns).
     """
@@ -318,34 +316,39 @@ def rank_many_documents(resumes: DataFrame, criteria: Sequence[sc.Criteria], dim
 
 
 def _rank_joined(joined: DataFrame, criteria: Sequence[sc.Criteria]) -> DataFrame:
-    """The rows of ``rank_many`` from resumes with columns sem_0, sem_1, ..."""
-    base_cols = [c for c in joined.columns if not c.startswith("sem_")]
-    structs = []
-    for i, crit in enumerate(criteria):
-        sem_col = f"sem_{i}"
-        rules = score_columns(crit, semantic=sem_col)
-        structs.append(F.struct(F.lit(int(crit.jd_id)).alias("jd_id"),
-                                F.lit(int(crit.top_n)).alias("top_n"),
-                                F.col(sem_col).alias("Semantic_Score"),
-                                *[expr.alias(name) for name, expr in rules.items()]))
-    exploded = joined.select(*base_cols, F.inline(F.array(*structs)))
-    # Read twice (per-query thresholds, then the cut): write it once when possible.
+    """The rows of ``rank_many`` from resumes with columns sem_0, sem_1, ...
+
+    One row per document is stored, with a semantic score per query.  Rows per
+    (query, document) exist only between a scan and the next partial
+    aggregate or group limit; reasons and labels are worked out for winners.
+    """
     from shortlist.session import materialize_if_possible
-    exploded = materialize_if_possible(exploded, "scored_many")
+    base_cols = [c for c in joined.columns if not c.startswith("sem_")]
+    joined = materialize_if_possible(joined, "scored_many")
+    rules = [score_columns(crit, semantic=f"sem_{i}") for i, crit in enumerate(criteria)]
+    ids = [F.lit(int(crit.jd_id)).alias("jd_id") for crit in criteria]
 
-    counts = exploded.groupBy("jd_id", "Final_Score").agg(F.count(F.lit(1)).alias("n"))
+    scores = joined.select(F.inline(F.array(*[
+        F.struct(jd, r["Final_Score"].alias("Final_Score")) for jd, r in zip(ids, rules)])))
+    counts = scores.groupBy("jd_id", "Final_Score").agg(F.count(F.lit(1)).alias("n"))
     q = F.percentile("Final_Score", F.array(F.lit(sc.LOW_QUANTILE), F.lit(sc.HIGH_QUANTILE)), F.col("n"))
     thr = counts.groupBy("jd_id").agg(q.alias("q")).select(
         "jd_id",
         sc.round_half_even(F.col("q")[0], sc.THRESHOLD_DECIMALS).alias("low"),
         sc.round_half_even(F.col("q")[1], sc.THRESHOLD_DECIMALS).alias("high"))
-    # At most len(criteria) rows: a proven bound, so broadcasting is safe.
-    labelled = exploded.join(F.broadcast(thr), "jd_id") \
-                       .withColumn("Label", sc.label("Final_Score", F.col("low"), F.col("high")))
 
+    exploded = joined.select(*base_cols, F.inline(F.array(*[
+        F.struct(jd, F.lit(int(crit.top_n)).alias("top_n"), F.lit(i).alias("_query"),
+                 F.col(f"sem_{i}").alias("Semantic_Score"), r["Final_Score"].alias("Final_Score"),
+                 r["Eligible"].alias("Eligible"))
+        for i, (crit, jd, r) in enumerate(zip(criteria, ids, rules))])))
     max_n = max(int(c.top_n) for c in criteria)
-    w = Window.partitionBy("jd_id").orderBy(*ranking_order(labelled))
-    ranked = labelled.where("Eligible").withColumn("rank", F.row_number().over(w))
+    w = Window.partitionBy("jd_id").orderBy(*ranking_order(exploded))
+    ranked = exploded.where("Eligible").withColumn("rank", F.row_number().over(w))
     top = ranked.where((F.col("rank") <= max_n) & (F.col("rank") <= F.col("top_n")))
+    reasons = [F.when(F.col("_query") == i, score_columns(crit)["Reason"]) for i, crit in enumerate(criteria)]
+    # At most len(criteria) rows: a proven bound, so broadcasting is safe.
+    top = (top.join(F.broadcast(thr), "jd_id").withColumn("Reason", F.coalesce(*reasons))
+           .withColumn("Label", sc.label("Final_Score", F.col("low"), F.col("high"))))
     return top.select("jd_id", "rank", *RECORD_COLUMNS)
 

