@@ -33,8 +33,8 @@ def _bucket_count(n: Column, rows_per_bucket: int) -> Column:
 
 def _range_bucket(key: Column, lo: Column, hi: Column, buckets: Column) -> Column:
     """Monotone in key: floor of a positive affine map of the key into [0, buckets)."""
-    span = (hi - lo).cast("double") + F.lit(1.0)
-    return F.least(buckets - 1, F.floor((key - lo).cast("double") / span * buckets)).cast("long")
+    lo, hi, at = (c.cast("double") for c in (lo, hi, key))    # so no difference of longs overflows
+    return F.least(buckets - 1, F.floor((at - lo) / (hi - lo + F.lit(1.0)) * buckets)).cast("long")
 
 
 def ordinal_within(df: DataFrame, group: str, key: str, name: str = "idx",
@@ -76,5 +76,5 @@ def ordinal_within(df: DataFrame, group: str, key: str, name: str = "idx",
     out = numbered.join(offsets, numbered[group].eqNullSafe(offsets["_g"])
                         & (numbered["_b"] == offsets["_b2"]) & (numbered["_c"] == offsets["_c2"])) \
                   .drop("_g", "_b2", "_c2")
-    return out.withColumn(name, (F.col("_r") + F.col("_before")).cast("int")) \
+    return out.withColumn(name, (F.col("_r") + F.col("_before")).cast("long")) \
               .drop("_b", "_c", "_r", "_before")

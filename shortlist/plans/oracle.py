@@ -361,7 +361,7 @@ FROM (SELECT *, {phone_candidate('raw_text')} AS _pc FROM raw0) WHERE {long_enou
     ext = " OR ".join(f"ends_with(lower(url), {lit(e.lower())})" for e in cat.HTML_EXTENSIONS)
     q["entry_filter"] = (f"SELECT page_id, url FROM pages WHERE ({ext}) "
                          f"AND NOT starts_with(url, {lit(tx.SKIPPED_PREFIX)})")
-    q["entry_ordinal"] = ("SELECT source, doc_id, CAST(idx AS INTEGER) AS idx, printf('R%04d', idx) AS Resume_ID "
+    q["entry_ordinal"] = ("SELECT source, doc_id, CAST(idx AS BIGINT) AS idx, printf('R%04d', idx) AS Resume_ID "
                           "FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) "
                           "AS idx FROM documents)")
     q["html_text"] = f"SELECT page_id, {html_text('html')} AS text FROM pages"

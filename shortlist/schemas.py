@@ -13,7 +13,7 @@ ARCHIVE_SCHEMA = T.StructType([
 # One row per archive member that passed the entry filter.
 ENTRY_SCHEMA = T.StructType([
     T.StructField("archive", T.StringType(), False),
-    T.StructField("idx", T.IntegerType(), False),
+    T.StructField("idx", T.LongType(), False),
     T.StructField("name", T.StringType(), False),
     T.StructField("content", T.BinaryType(), True),
     T.StructField("error", T.StringType(), True),
@@ -22,7 +22,7 @@ ENTRY_SCHEMA = T.StructType([
 # Entries after text extraction.
 RAW_DOCUMENT_SCHEMA = T.StructType([
     T.StructField("archive", T.StringType(), False),
-    T.StructField("idx", T.IntegerType(), False),
+    T.StructField("idx", T.LongType(), False),
     T.StructField("name", T.StringType(), False),
     T.StructField("raw_text", T.StringType(), True),
     T.StructField("error", T.StringType(), True),

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from shortlist.functions.text import DEFAULT_EXTENSIONS, SKIPPED_PREFIX
 from shortlist.schemas import ENTRY_SCHEMA
 
-MEMBER_LIST_SCHEMA = "archive string, idx int, name string, error string"
+MEMBER_LIST_SCHEMA = "archive string, idx bigint, name string, error string"
 
 
 def selected(name: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS,
@@ -138,7 +138,7 @@ def read_members(members: DataFrame, extractor=None, partitions: int | None = No
                 zf.close()
 
     return spread.select("archive", "idx", "name").mapInPandas(
-        run, "archive string, idx int, name string, raw_text string, error string")
+        run, "archive string, idx bigint, name string, raw_text string, error string")
 
 
 def archive_entries(archives: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENSIONS,
@@ -196,4 +196,4 @@ def entry_texts(entries: DataFrame, extractor=None, partitions: int | None = Non
             yield pd.DataFrame({"archive": pdf["archive"], "idx": pdf["idx"], "name": pdf["name"],
                                 "raw_text": texts, "error": errors})
 
-    return spread.mapInPandas(run, "archive string, idx int, name string, raw_text string, error string")
+    return spread.mapInPandas(run, "archive string, idx bigint, name string, raw_text string, error string")

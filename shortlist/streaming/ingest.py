@@ -8,8 +8,9 @@ exactly-once through the checkpoint location.
 
 Ranking needs the whole corpus (the quantile thresholds are global), so it
 is not a streaming aggregate: ``refresh_ranking`` is a ``foreachBatch``
-handler that appends the micro-batch, then re-ranks the full table and
-overwrites the top-N table.
+handler that writes the micro-batch as its own partition (a repeated batch
+overwrites itself), then re-ranks the full table and overwrites the top-N
+table.  ``error_stream`` gives what could not be read.
 """
 
 from __future__ import annotations
@@ -44,6 +45,18 @@ def resume_stream(archives: DataFrame, extensions: Sequence[str] = DEFAULT_EXTEN
     return extract_resumes(docs.where(F.col("error").isNull()), keep=("archive",))
 
 
+def error_stream(archives: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENSIONS,
+                 extractor=None, partitions: int | None = None) -> DataFrame:
+    """(archive, idx, name, error) of archives and members that ``resume_stream`` leaves out.
+
+    Write it with ``start_ingest`` to a folder of its own; it opens the
+    archives once more than the resume stream does.
+    """
+    members = list_members(archives, extensions)
+    docs = read_members(members, extractor=extractor, partitions=partitions)
+    return docs.where(F.col("error").isNotNull()).select("archive", "idx", "name", "error")
+
+
 def start_ingest(resumes: DataFrame, output_path: str, checkpoint_location: str,
                  available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Write the resume stream as parquet, exactly once via the checkpoint."""
@@ -60,7 +73,10 @@ def start_ingest(resumes: DataFrame, output_path: str, checkpoint_location: str,
 
 def refresh_ranking(table_path: str, top_path: str, criteria: Criteria,
                     semantic_for: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` handler: append the batch, re-rank everything, write top-N.
+    """A ``foreachBatch`` handler: store the batch, re-rank everything, write top-N.
+
+    The batch goes to the partition ``ingest_batch=<id>`` of the table, so a
+    batch that Spark repeats after a failure replaces its own rows.
 
     ``semantic_for(resumes)`` returns (archive, Resume_ID, Semantic_Score) for
     the given resumes — e.g. a lookup in the embedding cache after embedding
@@ -70,8 +86,8 @@ def refresh_ranking(table_path: str, top_path: str, criteria: Criteria,
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(table_path)
-        table = spark.read.parquet(table_path)
+        batch.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/ingest_batch={int(batch_id)}")
+        table = spark.read.parquet(table_path).drop("ingest_batch")
         result = rank(table, semantic_for(table), criteria, on=["archive", "Resume_ID"])
         result.top_records().withColumn("batch_id", F.lit(int(batch_id))) \
               .write.mode("overwrite").parquet(top_path)

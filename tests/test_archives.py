@@ -127,3 +127,31 @@ def test_unreadable_archives_stay_in_the_error_output(spark, scratch):
     docs = ar.read_members(ar.list_members(ar.read_archives(spark, os.path.join(scratch, "in"))), partitions=2)
     bad = docs.where(F.col("error").isNotNull()).collect()
     assert [r["archive"].endswith("bad.zip") for r in bad] == [True] and bad[0]["raw_text"] == ""
+
+
+def test_stream_errors_have_an_output_of_their_own(spark, scratch):
+    from shortlist.streaming.ingest import error_stream
+    src, out, ck = (os.path.join(scratch, d) for d in ("drop", "errors", "ck"))
+    os.makedirs(src)
+    for name, data in (("good.zip", make_zip([("c.pdf", LONG)])), ("bad.zip", b"no archive")):
+        with open(os.path.join(src, name), "wb") as f:
+            f.write(data)
+    start_ingest(error_stream(archive_stream(spark, src), partitions=2), out, ck).awaitTermination(180)
+    rows = spark.read.parquet(out).collect()
+    assert [r["archive"].rsplit("/", 1)[-1] for r in rows] == ["bad.zip"] and rows[0]["error"]
+
+
+def test_a_repeated_batch_replaces_its_own_rows(spark, scratch):
+    from shortlist.functions.scoring import Criteria
+    from shortlist.operators.extract import extract_resumes
+    from shortlist.streaming.ingest import refresh_ranking
+    table, top = (os.path.join(scratch, d) for d in ("table", "top"))
+    archives = ar.archives_from_bytes(spark, [("a.zip", make_zip([(f"p{i}.pdf", LONG) for i in range(3)]))])
+    docs = ar.entry_texts(ar.archive_entries(archives))
+    batch = extract_resumes(docs.where(F.col("error").isNull()), keep=("archive",))
+    handle = refresh_ranking(table, top, Criteria(top_n=2),
+                             lambda r: r.select("archive", "Resume_ID", F.lit(0.5).alias("Semantic_Score")))
+    for batch_id in (0, 1, 1):
+        handle(batch, batch_id)
+    assert spark.read.parquet(table).groupBy("ingest_batch").count().count() == 2
+    assert spark.read.parquet(table).count() == 6

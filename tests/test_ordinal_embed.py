@@ -183,3 +183,12 @@ def test_cosine_to_any_dimension(spark, dim):
     assert semantic_scores_many(ids, [q, q], vector_col="v").count() == 2
     with pytest.raises(Exception, match="dimension"):
         semantic_scores_many(ids, [q + [1.0]], vector_col="v").collect()
+
+
+def test_ordinals_of_keys_that_span_all_longs(spark):
+    from shortlist.operators.ordinal import ordinal_within
+    keys = [-2**63, -2**62, -1, 0, 1, 5, 2**62, 2**63 - 1]
+    df = spark.createDataFrame([("g", k) for k in keys], "g string, k long")
+    out = ordinal_within(df, "g", "k", rows_per_bucket=2)
+    assert dict(out.dtypes)["idx"] == "bigint"
+    assert [r["k"] for r in out.orderBy("idx").collect()] == keys
