@@ -23,6 +23,8 @@ from shortlist.llm.common import coded_words, map_slices, with_row_id, words_of
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Marks of a window's row: its text has copies; it stands for several places.
+_COPIED, _MANY = 1 << 31, 1 << 30
 
 
 def difference_cover(period: int) -> list[int]:
@@ -95,7 +97,11 @@ def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def anchors(texts: DataFrame, window: int, period: int) -> DataFrame:
-    """(key, rid, pos, weight) of every anchor of the texts (rid, text, copies)."""
+    """(key, rid, pos) of every anchor of the texts (rid, text, copies).
+
+    pos is negative (-1 - pos) where the row stands for several places: rows
+    of few columns take less room in the shuffle.
+    """
     cover, length = difference_cover(period), window - period + 1
     at_cover = np.isin(np.arange(period), cover)
 
@@ -111,16 +117,21 @@ def anchors(texts: DataFrame, window: int, period: int) -> DataFrame:
             return
         rid = batch.column("rid").to_numpy()[doc[use]]
         weight = batch.column("copies").to_numpy()[doc[use]]
-        yield _batch(_once_per_slice({"key": _mixed(_rolled(hashes, length, _BASE)[use]), "rid": rid,
-                                      "pos": pos[use].astype(np.int32), "weight": np.minimum(weight, 2)}))
-    return map_slices(texts, run, "key bigint, rid bigint, pos int, weight int")
+        rows = _once_per_slice({"key": _mixed(_rolled(hashes, length, _BASE)[use]), "rid": rid,
+                                "pos": pos[use].astype(np.int32), "weight": np.minimum(weight, 2)})
+        many = rows.pop("weight") > 1
+        rows["pos"] = np.where(many, -1 - rows["pos"], rows["pos"]).astype(np.int32)
+        yield _batch(rows)
+    return map_slices(texts, run, "key bigint, rid bigint, pos int")
 
 
 def windows(texts: DataFrame, window: int, period: int) -> DataFrame:
     """Whole windows around the shared anchors ``at`` of (rid, text, copies, at).
 
-    pos is negative (-1 - pos) for texts with copies: they are there for others
-    to match, and need no verdict themselves.
+    Rows are (key, rid, tail): tail holds the second hash in its upper 32 bits,
+    then the marks of ``_COPIED`` and ``_MANY``, then the position (a text of
+    less than 2 GiB has less than 2 ** 30 words).  Texts with copies are there
+    for others to match, and need no verdict themselves.
     """
     def run(batch: pa.RecordBatch):
         hashes, offsets = _word_hashes(batch.column("text"))
@@ -147,15 +158,30 @@ def windows(texts: DataFrame, window: int, period: int) -> DataFrame:
         check = (_mixed(_rolled(_mixed(hashes), window, _BASE2)[use]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         rows = _once_per_slice({"key": _mixed(_rolled(hashes, window, _BASE)[use]), "rid": rid, "pos": pos,
                                 "weight": np.minimum(copies, 2)}, check)
-        rows["pos"] = np.where(copies > 1, -1 - pos, pos).astype(np.int32)
-        yield _batch(rows | {"check": check})
-    return map_slices(texts, run, "key bigint, rid bigint, pos int, weight int, check int")
+        tail = (check.astype(np.int64) << 32) | rows["pos"]
+        tail |= np.where(copies > 1, _COPIED, 0) | np.where(rows["weight"] > 1, _MANY, 0)
+        yield _batch({"key": rows["key"], "rid": rows["rid"], "tail": tail})
+    return map_slices(texts, run, "key bigint, rid bigint, tail bigint")
+
 
+def shared_anchors(rows: DataFrame) -> DataFrame:
+    """(rid, pos) of the anchors that stand at several places."""
+    total = F.sum(F.when(F.col("pos") < 0, 2).otherwise(1)).over(Window.partitionBy("key"))
+    place = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))
+    return rows.withColumn("total", total).where("total > 1").select("rid", place.alias("pos"))
 
-def _shared(rows: DataFrame, *key: str) -> DataFrame:
-    """Rows whose key has a total weight over 1."""
-    total = F.sum("weight").over(Window.partitionBy(*key))
-    return rows.withColumn("total", total).where("total > 1").select("rid", "pos")
+
+def shared_windows(rows: DataFrame) -> DataFrame:
+    """(rid, pos) of the windows that stand at several places, without texts with copies.
+
+    Rows are dealt by key, so that the second hash is unpacked after the shuffle.
+    """
+    def marked(bit):
+        return F.col("tail").bitwiseAND(F.lit(bit)) != 0
+    rows = rows.repartition("key").withColumn("check", F.shiftright("tail", 32))
+    total = F.sum(F.when(marked(_MANY), 2).otherwise(1)).over(Window.partitionBy("key", "check"))
+    pos = F.col("tail").bitwiseAND(F.lit(_MANY - 1)).cast("int")
+    return rows.withColumn("total", total).where("total > 1").where(~marked(_COPIED)).select("rid", pos.alias("pos"))
 
 
 def _kept(window: int, digest_only: bool):
@@ -196,11 +222,11 @@ def substring_dedup(docs: DataFrame, window: int = 35, period: int | None = None
     keyed = rows.select("rid", F.sha2(F.coalesce("text", F.lit("")), 256).alias("same"))
     classes = keyed.groupBy("same").agg(F.min("rid").alias("first"), F.count("*").alias("copies"))
     first = texts.join(classes.select(F.col("first").alias("rid"), F.least("copies", F.lit(2)).cast("int").alias("copies")), "rid")
-    at = (_shared(anchors(first, window, period), "key")
+    at = (shared_anchors(anchors(first, window, period))
           .groupBy("rid").agg(F.collect_list("pos").alias("at")))
     copies = keyed.join(classes, "same").select("rid", F.least("copies", F.lit(2)).cast("int").alias("copies"))
     found = windows(texts.join(at.join(copies, "rid"), "rid"), window, period)
-    marks = (_shared(found, "key", "check").where("pos >= 0")
+    marks = (shared_windows(found)
              .groupBy("rid").agg(F.collect_list("pos").alias("at")))
     none = F.array().cast("array<int>")
     judged = texts.join(copies.join(marks, "rid", "left")
