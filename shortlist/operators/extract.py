@@ -116,8 +116,7 @@ def extract_resumes(raw_docs: DataFrame, ordinal_col: str = "idx", name_col: str
 
 def extract_numbered(raw_docs: DataFrame, group: str, key: str, name_col: str = "name",
                      text_col: str = "raw_text", keep: Sequence[str] = ("archive",),
-                     vocab: Sequence[str] = tx.SKILLS_VOCAB, min_chars: int = tx.MIN_TEXT_CHARS,
-                     rows_per_bucket: int | None = None) -> DataFrame:
+                     vocab: Sequence[str] = tx.SKILLS_VOCAB, min_chars: int = tx.MIN_TEXT_CHARS) -> DataFrame:
     """``extract_resumes`` for a document table without ordinals: each document
     is numbered by ``key`` within its ``group`` (e.g. archive), before the
     length gate, so identifiers may have gaps.
@@ -127,9 +126,8 @@ def extract_numbered(raw_docs: DataFrame, group: str, key: str, name_col: str =
     and extraction runs on the scan's own splits.  ``key`` must be unique
     within a group; groups may be null.
     """
-    from shortlist.operators.ordinal import DEFAULT_ROWS_PER_BUCKET, ordinal_within
-    numbered = ordinal_within(raw_docs.select(group, key), group, key, name="_idx",
-                              rows_per_bucket=rows_per_bucket or DEFAULT_ROWS_PER_BUCKET)
+    from shortlist.operators.ordinal import ordinal_within
+    numbered = ordinal_within(raw_docs.select(group, key), group, key, name="_idx")
     numbered = numbered.select(F.col(group).alias("_ng"), F.col(key).alias("_nk"), "_idx")
     fields = field_columns(text_col, vocab, lowered=LOWER_COL)
     carried = list(dict.fromkeys([*keep, group, key, name_col]))

@@ -1,22 +1,15 @@
-"""1-based ordinal of each row inside its group, in key order, without a hot task.
+"""Positions and per-group ordinals without a hot task.
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sends a whole group to one
 task; when one archive or source holds a third of all rows that task is the
-whole job.  Here a large group is cut into key-range buckets whose size is
-bounded by ``rows_per_bucket``; rows are numbered inside each bucket and
-shifted by the number of rows in the group's earlier buckets.
-
-Buckets are cut in two levels.  Level 1 splits each group's key range
-evenly.  When keys are not evenly spread (a dense run plus a far outlier,
-say), a level-1 bucket can still hold most of the group, so level 2 splits
-every level-1 bucket again over its own key range and row count.  Ordering
-by (level 1, level 2, key) is ordering by key, because both levels are
-monotone in the key.
-
-The buckets are computed from the data (min/max/count per group and per
-bucket), never from physical partition ids, so every recomputation after an
-executor loss gives the same numbers.  ``key`` must be numeric and unique
-within a group.
+whole job.  Here the rows are sorted by a range-partitioned global sort, whose
+splitters Spark takes from the data, so parts stay even for any distribution
+of groups and keys.  The sorted rows are stored once with their part and their
+place in it; numbering then only adds what stands in earlier parts.
+
+Because places are read back from the stored table, every recomputation after
+an executor loss gives the same numbers.  The order must be total (a key unique
+within its group).  Give narrow tables: all columns given are sorted.
 """
 
 from __future__ import annotations
@@ -24,57 +17,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 1_000_000
-
-
-def _bucket_count(n: Column, rows_per_bucket: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(float(rows_per_bucket))))
+from shortlist.session import materialize_if_possible
 
+#: monotonically_increasing_id: the part above, the place in the part in the lower 33 bits.
+_PLACE_BITS = 33
 
-def _range_bucket(key: Column, lo: Column, hi: Column, buckets: Column) -> Column:
-    """Monotone in key: floor of a positive affine map of the key into [0, buckets)."""
-    lo, hi, at = (c.cast("double") for c in (lo, hi, key))    # so no difference of longs overflows
-    return F.least(buckets - 1, F.floor((at - lo) / (hi - lo + F.lit(1.0)) * buckets)).cast("long")
 
+def _sorted(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` in the given order, stored, with ``_part`` and ``_place`` (from 0)."""
+    at = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    stored = materialize_if_possible(at, "sorted")
+    return stored.select(*df.columns, F.shiftright("_at", _PLACE_BITS).alias("_part"),
+                         F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("_place"))
 
-def ordinal_within(df: DataFrame, group: str, key: str, name: str = "idx",
-                   rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``name`` = row_number() over (partition by ``group`` order by ``key``)."""
-    k = F.col(key)
-    # Level 1, one row per group: partially aggregated map-side.  AQE turns
-    # the joins with these small statistics tables into broadcast joins when
-    # they are small at run time.  Null-safe, so a null group is numbered
-    # like any other.
-    stats = df.groupBy(group).agg(
-        F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    st = stats.select(F.col(group).alias("_g"), "_lo", "_hi",
-                      _bucket_count(F.col("_n"), rows_per_bucket).alias("_nb"))
-    tagged = df.join(st, df[group].eqNullSafe(st["_g"])) \
-               .withColumn("_b", _range_bucket(k, F.col("_lo"), F.col("_hi"), F.col("_nb"))) \
-               .drop("_g", "_lo", "_hi", "_nb")
 
-    # Level 2, one row per level-1 bucket: split again over the bucket's own range.
-    stats2 = tagged.groupBy(group, "_b").agg(
-        F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    st2 = stats2.select(F.col(group).alias("_g"), F.col("_b").alias("_b1"), "_lo", "_hi",
-                        _bucket_count(F.col("_n"), rows_per_bucket).alias("_nb"))
-    tagged = tagged.join(st2, tagged[group].eqNullSafe(st2["_g"]) & (tagged["_b"] == st2["_b1"])) \
-                   .withColumn("_c", _range_bucket(k, F.col("_lo"), F.col("_hi"), F.col("_nb"))) \
-                   .drop("_g", "_b1", "_lo", "_hi", "_nb")
+def ordinal_within(df: DataFrame, group: str, key: str, name: str = "idx") -> DataFrame:
+    """Add ``name`` = row_number() over (partition by ``group`` order by ``key``).
 
-    in_bucket = Window.partitionBy(group, "_b", "_c").orderBy(key)
-    numbered = tagged.withColumn("_r", F.row_number().over(in_bucket))
+    Groups may be null and count as one group.  The shift of each (part, group)
+    run is joined on both columns, so a hot group meets its shift part by part.
+    """
+    rows = _sorted(df, F.col(group).asc(), F.col(key).asc())
+    runs = rows.groupBy("_part", group).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), "_first", "_n").select(
+        "_p", "_g", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    out = rows.join(shifts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return out.select(*df.columns, (F.col("_place") + F.col("_shift") + 1).cast("long").alias(name))
 
-    # One row per bucket; the running count runs over a group's buckets only.
-    sizes = tagged.groupBy(group, "_b", "_c").agg(F.count(F.lit(1)).alias("_m"))
-    earlier = Window.partitionBy(group).orderBy("_b", "_c") \
-                    .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0))) \
-                   .select(F.col(group).alias("_g"), F.col("_b").alias("_b2"),
-                           F.col("_c").alias("_c2"), "_before")
 
-    out = numbered.join(offsets, numbered[group].eqNullSafe(offsets["_g"])
-                        & (numbered["_b"] == offsets["_b2"]) & (numbered["_c"] == offsets["_c2"])) \
-                  .drop("_g", "_b2", "_c2")
-    return out.withColumn(name, (F.col("_r") + F.col("_before")).cast("long")) \
-              .drop("_b", "_c", "_r", "_before")
+def with_position(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
+    """Add ``name``: each row's place (from 1) in the given total order."""
+    rows = _sorted(df, *order)
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # One row per part of the sort: a bound that doesn't grow with a part's rows.
+    out = rows.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
+    return out.select(*df.columns, (F.col("_place") + F.col("_before") + 1).cast("long").alias(name))

@@ -33,6 +33,7 @@ from shortlist.functions import scoring as sc
 from shortlist.functions import text as tx
 from shortlist.functions.vectors import cosine_to
 from shortlist.operators.embed import DEFAULT_DIM, check_description, embed_corpus, embed_queries
+from shortlist.operators.ordinal import with_position
 from shortlist.schemas import RECORD_COLUMNS
 
 TIE_BREAK = ("Resume_ID", "Source_File")
@@ -169,6 +170,11 @@ def others_ordered(labelled: DataFrame, top_n: int) -> DataFrame:
     return others(labelled, top_n).orderBy(F.desc("Eligible"), *ranking_order(labelled))
 
 
+def with_rank_position(labelled: DataFrame, name: str = "pos") -> DataFrame:
+    """Add each row's place (from 1) in presentation order: eligible rows first, best score first."""
+    return with_position(labelled, F.desc("Eligible"), *ranking_order(labelled), name=name)
+
+
 def records(df: DataFrame) -> DataFrame:
     """The ten output columns, in their fixed order."""
     return df.select(*RECORD_COLUMNS)

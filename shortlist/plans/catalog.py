@@ -20,6 +20,7 @@ from shortlist.operators.embed import cache_misses, embed_hashed
 from shortlist.operators.extract import extract_numbered, resumes_from_table, skill_matches, spread
 from shortlist.operators.ordinal import ordinal_within
 from shortlist.plans import fixtures as fx
+from shortlist.schemas import RECORD_COLUMNS
 from shortlist.session import materialize_if_possible
 from shortlist.sources.extractors import html_to_text
 
@@ -210,7 +211,8 @@ def q_not_eligible_split(spark, sf):
 
 
 def q_ranked_records(spark, sf):
-    return rk.records(labelled(spark, sf))
+    """Every record with its place in presentation order."""
+    return rk.with_rank_position(labelled(spark, sf)).select("pos", *RECORD_COLUMNS)
 
 
 def q_top_candidates(spark, sf):
@@ -218,7 +220,8 @@ def q_top_candidates(spark, sf):
 
 
 def q_others_pool(spark, sf):
-    return rk.records(ranking(spark, sf).others)
+    """What is left after the top, with places in presentation order."""
+    return rk.with_rank_position(ranking(spark, sf).others).select("pos", *RECORD_COLUMNS)
 
 
 def q_candidate_cards(spark, sf):

@@ -206,7 +206,7 @@ def top_cte(n: int) -> str:
 
 
 def others_sql(n: int) -> str:
-    return (f"SELECT {RECORDS} FROM lab WHERE NOT EXISTS (SELECT 1 FROM top t WHERE "
+    return (f"SELECT row_number() OVER (ORDER BY Eligible DESC, {ORDER}) AS pos, {RECORDS} FROM lab WHERE NOT EXISTS (SELECT 1 FROM top t WHERE "
             f"t.Resume_ID = lab.Resume_ID AND t.Source_File = lab.Source_File)")
 
 
@@ -389,7 +389,7 @@ FROM (SELECT *, {phone_candidate('raw_text')} AS _pc FROM raw0) WHERE {long_enou
     q["reasons"] = f"{S}\nSELECT doc_id, Reason FROM scored"
     q["eligible_split"] = f"{S}\nSELECT doc_id, Resume_ID, Final_Score FROM lab WHERE Eligible"
     q["not_eligible_split"] = f"{S}\nSELECT doc_id, Resume_ID, Final_Score FROM lab WHERE NOT Eligible"
-    q["ranked_records"] = f"{S}\nSELECT {RECORDS} FROM lab"
+    q["ranked_records"] = f"{S}\nSELECT row_number() OVER (ORDER BY Eligible DESC, {ORDER}) AS pos, {RECORDS} FROM lab"
     q["top_candidates"] = f"{S},\n{top_cte(n)}\nSELECT {RECORDS} FROM top"
     q["others_pool"] = f"{S},\n{top_cte(n)}\n{others_sql(n)}"
     q["candidate_cards"] = f"""{S},

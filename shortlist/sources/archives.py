@@ -5,9 +5,9 @@ Two ways in:
 * ``list_members`` + ``read_members`` (files on shared storage): ``binaryFile``
   lists the archives without reading them (the content column is pruned),
   one small task per archive reads only the ZIP central directory and emits
-  (archive, idx, name); the members are then hash-spread on (archive, idx)
-  before their bytes are read and decoded, so one huge archive is unpacked
-  by many tasks and never has to fit in one row.
+  (archive, idx, name); chunks of consecutive members are then spread over
+  tasks, which keep one archive open at a time, so one huge archive is
+  unpacked by many tasks and never has to fit in one row.
 * ``archive_entries`` (bytes already in a DataFrame, e.g. an upload or a
   ``binaryFile`` scan of small archives): members are unpacked from the
   content column.
@@ -30,6 +30,11 @@ from pyspark.sql import functions as F
 from shortlist.functions.text import DEFAULT_EXTENSIONS, SKIPPED_PREFIX
 from shortlist.schemas import ENTRY_SCHEMA
 
+#: Consecutive members of an archive that one task reads together.
+CHUNK_MEMBERS = 256
+#: Bytes or characters of member content gathered before a batch leaves the task.
+BATCH_SIZE = 4 << 20
+
 MEMBER_LIST_SCHEMA = "archive string, idx bigint, name string, error string"
 
 
@@ -97,9 +102,25 @@ def list_members(archives: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENS
     return archives.select("path").mapInPandas(run, MEMBER_LIST_SCHEMA)
 
 
-def read_members(members: DataFrame, extractor=None, partitions: int | None = None) -> DataFrame:
-    """Spread members over tasks, then read and decode each one.
+def _batches(rows: Iterator[tuple], columns: Sequence[str], content: int) -> Iterator[pd.DataFrame]:
+    """Rows in frames of about ``BATCH_SIZE`` of the column at index ``content``."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[content] or ()) + 64
+        if size >= BATCH_SIZE:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def read_members(members: DataFrame, extractor=None, partitions: int | None = None,
+                 chunk: int = CHUNK_MEMBERS) -> DataFrame:
+    """Spread chunks of members over tasks, then read and decode each member.
 
+    Listed members of an archive are consecutive, and stay so within a task,
+    which therefore opens an archive about once per chunk.
     Returns (archive, idx, name, raw_text, error).  ``extractor`` maps member
     bytes to text (default: UTF-8 text, HTML stripped to text); a failure gives
     raw_text '' and an error message, and errors of the listing are passed on.
@@ -107,37 +128,39 @@ def read_members(members: DataFrame, extractor=None, partitions: int | None = No
     from shortlist.sources.extractors import default_extractor
     extract = extractor or default_extractor
     n = partitions or int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = members.repartition(n, "archive", "idx")
+    spread = members.repartition(n, F.col("archive"), F.floor((F.col("idx") - 1) / F.lit(chunk)))
+    columns = ["archive", "idx", "name", "raw_text", "error"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        handles: dict[str, zipfile.ZipFile] = {}
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        opened, zf = None, None
         try:
             for pdf in batches:
-                texts, errors = [], []
-                listed = pdf["error"] if "error" in pdf else [None] * len(pdf)
-                for archive, name, known in zip(pdf["archive"], pdf["name"], listed):
+                for archive, idx, name, known in zip(pdf["archive"], pdf["idx"], pdf["name"], pdf["error"]):
                     if isinstance(known, str):   # an archive or member that could not be listed stays an error
-                        texts.append("")
-                        errors.append(known)
+                        yield archive, idx, name, "", known
                         continue
                     try:
-                        zf = handles.get(archive)
-                        if zf is None:
-                            zf = handles[archive] = zipfile.ZipFile(_open_path(archive))
+                        if archive != opened:
+                            if zf is not None:
+                                zf.close()
+                            opened, zf = None, None
+                            zf = zipfile.ZipFile(_open_path(archive))
+                            opened = archive
                         with zf.open(name) as f:
-                            data = f.read()
-                        texts.append(extract(name, data))
-                        errors.append(None)
+                            text = extract(name, f.read())
                     except Exception as exc:
-                        texts.append("")
-                        errors.append(f"{type(exc).__name__}: {exc}")
-                yield pd.DataFrame({"archive": pdf["archive"], "idx": pdf["idx"], "name": pdf["name"],
-                                    "raw_text": texts, "error": errors})
+                        yield archive, idx, name, "", f"{type(exc).__name__}: {exc}"
+                    else:
+                        yield archive, idx, name, text, None
         finally:
-            for zf in handles.values():
+            if zf is not None:
                 zf.close()
 
-    return spread.select("archive", "idx", "name").mapInPandas(
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _batches(texts(batches), columns, 3)
+
+    error = F.col("error") if "error" in members.columns else F.lit(None).cast("string").alias("error")
+    return spread.select("archive", "idx", "name", error).mapInPandas(
         run, "archive string, idx bigint, name string, raw_text string, error string")
 
 
@@ -146,24 +169,27 @@ def archive_entries(archives: DataFrame, extensions: Sequence[str] = DEFAULT_EXT
     """Archives with their bytes in a column → (archive, idx, name, content, error)."""
     exts = tuple(extensions)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
-            rows = []
             for archive, blob in zip(pdf[path_col], pdf[content_col]):
                 try:
                     zf = zipfile.ZipFile(io.BytesIO(blob))
                 except Exception as exc:
-                    rows.append((archive, 0, "", None, f"{type(exc).__name__}: {exc}"))
+                    yield archive, 0, "", None, f"{type(exc).__name__}: {exc}"
                     continue
                 with zf:
                     names = [n for n in zf.namelist() if selected(n, exts)]
                     for i, name in enumerate(names, start=1):
                         try:
                             with zf.open(name) as f:
-                                rows.append((archive, i, name, f.read(), None))
+                                data = f.read()
                         except Exception as exc:
-                            rows.append((archive, i, name, None, f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(rows, columns=[f.name for f in ENTRY_SCHEMA.fields])
+                            yield archive, i, name, None, f"{type(exc).__name__}: {exc}"
+                        else:
+                            yield archive, i, name, data, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _batches(members(batches), [f.name for f in ENTRY_SCHEMA.fields], 3)
 
     return archives.select(path_col, content_col).mapInPandas(run, ENTRY_SCHEMA)
 

@@ -68,6 +68,24 @@ def test_listing_path_reads_members_from_files(spark, scratch):
     assert "content" not in plan.split("ReadSchema")[-1].split("\n")[0]
 
 
+def test_archives_are_opened_about_once_per_chunk(spark, scratch):
+    """3 archives of 40 members in chunks of 10."""
+    folder = os.path.join(scratch, "chunks")
+    os.makedirs(folder)
+    for a in range(3):
+        with open(os.path.join(folder, f"c{a}.zip"), "wb") as f:
+            f.write(make_zip([(f"p{i}.pdf", LONG + str(i)) for i in range(40)]))
+    members = ar.list_members(ar.read_archives(spark, folder))
+    rows = members.repartition(1).sortWithinPartitions("archive", "idx")
+    docs = ar.read_members(rows, partitions=5, chunk=10)
+    got = docs.withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == 120 and not [r for r in got if r["error"]]
+    # Each chunk of consecutive members lies in one task, so an archive is opened at most once per chunk.
+    assert all(len({r["part"] for r in got if r["archive"] == a and (r["idx"] - 1) // 10 == c}) == 1
+               for a in {r["archive"] for r in got} for c in range(4))
+    assert len({(r["archive"], r["part"]) for r in got}) <= 3 * 4
+
+
 def test_streaming_ingest_available_now(spark, scratch):
     src = os.path.join(scratch, "drop")
     out = os.path.join(scratch, "resumes")

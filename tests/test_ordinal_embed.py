@@ -11,39 +11,57 @@ from shortlist.operators import embed as em
 from shortlist.operators.ordinal import ordinal_within
 
 
-def test_ordinal_matches_row_number_with_hot_group(spark):
-    # One group holds most rows; small buckets force the split path.
-    rows = [("hot", i) for i in range(0, 3000, 3)] + [("cold", i) for i in range(50)] + [(None, 7), (None, 2)]
-    df = spark.createDataFrame(rows, "g string, k long")
-    got = ordinal_within(df, "g", "k", rows_per_bucket=37).select("g", "k", "idx")
-    expect = df.withColumn("idx", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+@pytest.fixture
+def many_parts(spark):
+    """Small sort parts that are not put together again, so groups span several."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _same_as_row_number(df):
+    got = ordinal_within(df, "g", "k").select("g", "k", "idx")
+    expect = df.select("g", "k", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("long").alias("idx"))
     key = lambda r: (r["g"] or "", r["k"], r["idx"])
-    assert sorted(map(key, got.collect())) == sorted(map(key, expect.select("g", "k", "idx").collect()))
-
-
-
-def test_ordinal_splits_a_hot_group_with_uneven_keys(spark):
-    """A dense run plus one far outlier: level 1 puts the run in one bucket,
-    level 2 splits it again, so no bucket holds the group."""
-    rows = [("hot", i) for i in range(2000)] + [("hot", 10 ** 15)] + [("cold", i) for i in range(40)]
-    df = spark.createDataFrame(rows, "g string, k long")
-    got = ordinal_within(df, "g", "k", rows_per_bucket=50)
-    expect = df.withColumn("idx", F.row_number().over(Window.partitionBy("g").orderBy("k")))
-    assert sorted(got.select("g", "k", "idx").collect()) == sorted(expect.collect())
-    # The largest bucket the window sees: rebuild the buckets the same way.
-    from shortlist.operators import ordinal as od
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan
-    st = df.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n"))
-    t = df.join(st, "g").withColumn("b", od._range_bucket(F.col("k"), F.col("lo"), F.col("hi"),
-                                                           od._bucket_count(F.col("n"), 50)))
-    level1 = t.groupBy("g", "b").count().agg(F.max("count")).first()[0]
-    assert level1 >= 2000            # level 1 alone leaves the run together
-    t2 = t.drop("lo", "hi", "n")
-    st2 = t2.groupBy("g", "b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n"))
-    t2 = t2.join(st2, ["g", "b"]).withColumn("c", od._range_bucket(F.col("k"), F.col("lo"), F.col("hi"),
-                                                                   od._bucket_count(F.col("n"), 50)))
-    assert t2.groupBy("g", "b", "c").count().agg(F.max("count")).first()[0] <= 50
+    assert sorted(map(key, got.collect())) == sorted(map(key, expect.collect()))
+
+
+def test_ordinal_matches_row_number_with_hot_group(spark, many_parts):
+    rows = [("hot", i) for i in range(0, 3000, 3)] + [("cold", i) for i in range(50)] + [(None, 7), (None, 2)]
+    _same_as_row_number(spark.createDataFrame(rows, "g string, k long"))
+    _same_as_row_number(spark.createDataFrame([], "g string, k long"))
+
+
+def test_ordinal_of_keys_clustered_at_many_scales(spark, many_parts):
+    """Half of the rows lie at each smaller scale: parts stay even, whatever the spread of keys."""
+    keys = sorted({(1 << 60) >> s | i for s in range(0, 60, 6) for i in range(200)})
+    df = spark.createDataFrame([("hot", k) for k in keys] + [("cold", 3)], "g string, k long")
+    _same_as_row_number(df)
+    from shortlist.operators.ordinal import _sorted
+    sizes = [r["count"] for r in _sorted(df, F.col("g").asc(), F.col("k").asc()).groupBy("_part").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < len(keys) / 2
+
+
+def test_ordinal_reads_its_input_only_to_sort_it(spark):
+    """The plan after the sort scans the stored slim table, twice at most, and never the input."""
+    df = spark.read.parquet(f"{SF0001}/documents.parquet").select("source", "doc_id")
+    plan = ordinal_within(df, "source", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    leaves = [x for x in plan.splitlines() if "Relation" in x]
+    assert 1 <= len(leaves) <= 2 and all("_at" in x for x in leaves)
+
+
+def test_positions_follow_the_order(spark, many_parts):
+    from shortlist.operators.ordinal import with_position
+    df = spark.createDataFrame([(i * 7919 % 500, i) for i in range(500)], "v long, extra long")
+    got = with_position(df, F.desc("v")).orderBy("pos").collect()
+    assert [r["pos"] for r in got] == list(range(1, 501))
+    assert [r["v"] for r in got] == list(range(499, -1, -1))
+    assert with_position(df.where("v < 0"), F.desc("v")).collect() == []
+
 
 def test_cosine_forms_agree(spark):
     rng = np.random.default_rng(1)
@@ -189,6 +207,6 @@ def test_ordinals_of_keys_that_span_all_longs(spark):
     from shortlist.operators.ordinal import ordinal_within
     keys = [-2**63, -2**62, -1, 0, 1, 5, 2**62, 2**63 - 1]
     df = spark.createDataFrame([("g", k) for k in keys], "g string, k long")
-    out = ordinal_within(df, "g", "k", rows_per_bucket=2)
+    out = ordinal_within(df, "g", "k")
     assert dict(out.dtypes)["idx"] == "bigint"
     assert [r["k"] for r in out.orderBy("idx").collect()] == keys
