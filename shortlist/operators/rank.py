@@ -244,6 +244,10 @@ class RankingResult:
             out = _one_row_zip(out, p)
         return out
 
+    def response_json(self) -> DataFrame:
+        """``response`` as one JSON document (column ``json``)."""
+        return self.response().select(F.to_json(F.struct("*")).alias("json"))
+
 
 def _one_row_zip(left: DataFrame, right: DataFrame) -> DataFrame:
     """Combine two one-row frames side by side (scalar subquery, no join)."""

@@ -115,6 +115,16 @@ def test_response_document(spark):
     assert [r["Resume_ID"] for r in row["top_candidates"]] == ["R0012", "R0192", "R0026", "R0108", "R0066"]
 
 
+def test_response_as_json(spark):
+    import json
+    result = cat.stored_ranking(spark, SF0001)
+    doc = json.loads(result.response_json().first()["json"])
+    assert list(doc) == ["summary", "thresholds", "metrics", "top_candidates"]
+    assert doc["summary"] == {"total": result.scored.count(), "eligible": 85, "returned_top": 5}
+    assert [r["Resume_ID"] for r in doc["top_candidates"]] == [
+        r["Resume_ID"] for r in result.top.orderBy(*rk.ranking_order(result.top)).collect()]
+
+
 def test_candidate_cards(spark):
     cards = rk.candidate_cards(cat.stored_ranking(spark, SF0001).top).collect()
     assert [c["rank"] for c in cards] == [1, 2, 3, 4, 5]
