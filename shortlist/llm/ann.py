@@ -9,7 +9,9 @@ given up when its distance so far, scaled to all columns, is too large for the
 threshold by a hypothesis test.  The survivors get exact scores.
 
 Centroids, rotation and first thresholds come from a bounded sample; every
-vector is indexed.  Equal vectors are searched once: ``k`` + 1 of the smallest
+vector is indexed.  A first threshold looks only at the sample's vectors in the
+query's own probed lists, which hold ``k`` + 1 vectors at least; a query that
+still ends with fewer rows than there are is compared with every vector.  Equal vectors are searched once: ``k`` + 1 of the smallest
 ids stand for them, which is all that a list of ``k`` can show.
 """
 
@@ -85,6 +87,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
             sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest of every query (id divisible by ``query_every``): query_id, rank, vec_id, score.
 
+    A query has ``k`` rows, or all candidates where they are fewer.
     Candidates are all usable rows but those with the query's own id; ties go
     to the smaller id; the score is the inner product of the original vectors in
     double precision.  Null, zero, non-finite or odd-length vectors and null ids
@@ -113,45 +116,43 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
     count = int(min(max(1, round(facts["n"] / list_size)), max(1, len(fitted) // 8)))
     raised = lifted(fitted)
     centres = _lists(raised, count)
+    near = ((centres ** 2).sum(1) - 2 * raised @ centres.T).argmin(1)
     if probes is None:
-        near = ((centres ** 2).sum(1) - 2 * raised @ centres.T).argmin(1)
         probes = probes_for(fitted, aimed(fitted), near, centres, k, TARGET)
-    sent = spark.sparkContext.broadcast((centres, fitted))
 
     def place(batches):
-        centres, _ = sent.value
         for b in batches:
             x = lifted(matrix(b.column("v")))
             near = ((centres ** 2).sum(1) - 2 * x @ centres.T).argmin(1) if len(x) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b.column("id"), b.column("v")], names=["list", "id", "v"])
 
+    placed = store(base.select("id", "v").mapInArrow(place, "list int, id bigint, v array<double>"), "placed")
+    size = np.zeros(count, np.int64)
+    for r in placed.groupBy("list").count().collect():             # at most SAMPLE / 8 lists
+        size[r["list"]] = r["count"]
+    sent = spark.sparkContext.broadcast((centres, fitted, near, size))
+
     def probe(batches):
-        centres, known = sent.value
-        take = min(probes, len(centres))
+        centres, known, near, size = sent.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 x = matrix(part.column("v"))
-                far = (centres ** 2).sum(1) - 2 * aimed(x) @ centres.T
-                lists = np.argpartition(far, take - 1, axis=1)[:, :take]
-                # At least k + 1 vectors score this much: the sample is part of the candidates.
-                score = x @ known.T
+                order = ((centres ** 2).sum(1) - 2 * aimed(x) @ centres.T).argsort(axis=1)
+                # Small lists: further ones, until k + 1 vectors are in them.
+                many = np.maximum(probes, 1 + (size[order].cumsum(axis=1) <= k).sum(axis=1))
+                use = np.arange(len(centres)) < many[:, None]
+                mine = np.zeros(use.shape, bool)
+                np.put_along_axis(mine, order, use, axis=1)
+                # At least k + 1 vectors of the probed lists score this much.
+                score = np.where(mine[:, near], x @ known.T, -np.inf)
                 low = np.full(len(x), -np.inf) if len(known) <= k else np.partition(score, -(k + 1), axis=1)[:, -(k + 1)]
-                rep = np.repeat(np.arange(len(x)), take)
+                rep = np.nonzero(use)[0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists.ravel().astype(np.int32)), part.column("qid").take(pa.array(rep)),
+                    [pa.array(order[use].astype(np.int32)), part.column("qid").take(pa.array(rep)),
                      part.column("v").take(pa.array(rep)), pa.array(low[rep])], names=["list", "qid", "v", "low"])
-    placed = base.select("id", "v").mapInArrow(place, "list int, id bigint, v array<double>")
-    asked = (classes.groupBy("v").agg(F.first("qid").alias("qid")).select("qid", "v")
-             .mapInArrow(probe, "list int, qid bigint, v array<double>, low double"))
-    placed, asked = store(placed, "placed"), store(asked, "asked")
-    # Large lists meet their queries in blocks of at most about MEET rows on either side.
-    sizes = (placed.groupBy("list").agg(F.ceil(F.count("*") / MEET).cast("int").alias("cs"))
-             .join(asked.groupBy("list").agg(F.ceil(F.count("*") / MEET).cast("int").alias("qs")), "list"))
-    left = (placed.join(sizes, "list").withColumn("c", F.pmod(F.xxhash64("id"), F.col("cs")).cast("int"))
-            .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "c", "q", "id", "v"))
-    right = (asked.join(sizes, "list").withColumn("q", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int"))
-             .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cs") - 1))).select("list", "c", "q", "qid", "v", "low"))
+    once = classes.groupBy("v").agg(F.first("qid").alias("qid")).select("qid", "v")
+    asked = store(once.mapInArrow(probe, "list int, qid bigint, v array<double>, low double"), "asked")
 
     def scan(cands: pa.Table, asks: pa.Table) -> pa.Table:
         out_q, out_i, out_s = [], [], []
@@ -163,10 +164,16 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
             ask = matrix(asks.column("v").combine_chunks())
             turned = aimed(ask)
             qids = asks.column("qid").to_numpy()
+            low = asks.column("low").to_numpy()
             # Scores from ``low`` on are distances up to this.
-            reach = (ask ** 2).sum(1) + longest - 2 * asks.column("low").to_numpy() + 1e-9 * (longest + 1)
+            reach = (ask ** 2).sum(1) + longest - 2 * low + 1e-9 * (longest + 1)
             for lo in range(0, len(ask), 128):
                 q = np.arange(lo, min(lo + 128, len(ask)))
+                free, q = q[np.isneginf(low[q])], q[~np.isneginf(low[q])]
+                # Without a threshold: all that can be among the best k + 1 of these candidates.
+                rough = ask[free] @ x.T
+                least = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if len(x) > k else np.full(len(free), -np.inf)
+                whole = np.nonzero(rough >= (least - 1e-9 * (np.sqrt((ask[free] ** 2).sum(1) * longest) + 1))[:, None])
                 t, first = turned[q][:, :COLUMNS], y[:, :COLUMNS]
                 part = (t ** 2).sum(1)[:, None] + (first ** 2).sum(1) - 2 * t @ first.T
                 a, c = np.nonzero(part * (dim / min(COLUMNS, dim)) <= (reach[q] * (1 + EPSILON / np.sqrt(COLUMNS)) ** 2)[:, None])
@@ -177,6 +184,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
                     slack = 1.0 if hi == dim else (1 + EPSILON / np.sqrt(hi)) ** 2
                     go = part * (dim / hi) <= reach[a] * slack
                     a, c, part = a[go], c[go], part[go]
+                a, c = np.concatenate([a, free[whole[0]]]), np.concatenate([c, whole[1]])
                 score = (x[c] * ask[a]).sum(axis=1)
                 order = np.lexsort((ids[c], -score, a))
                 a, c, score = a[order], c[order], score[order]
@@ -187,11 +195,28 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
                 out_s.append(score[best])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         return pa.table({"qid": join(out_q, np.int64), "vec_id": join(out_i, np.int64), "score": join(out_s, np.float64)})
-    found = (left.groupBy("list", "c", "q").cogroup(right.groupBy("list", "c", "q"))
-             .applyInArrow(scan, "qid bigint, vec_id bigint, score double"))
     order = [F.desc("score"), "vec_id"]
-    found = (found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
-             .where(F.col("n") <= k + 1).drop("n"))
+
+    def meet(asked: DataFrame, name: str) -> DataFrame:
+        # Large lists meet their queries in blocks of at most about MEET rows on either side.
+        sizes = (placed.groupBy("list").agg(F.ceil(F.count("*") / MEET).cast("int").alias("cs"))
+                 .join(asked.groupBy("list").agg(F.ceil(F.count("*") / MEET).cast("int").alias("qs")), "list"))
+        left = (placed.join(sizes, "list").withColumn("c", F.pmod(F.xxhash64("id"), F.col("cs")).cast("int"))
+                .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "c", "q", "id", "v"))
+        right = (asked.join(sizes, "list").withColumn("q", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int"))
+                 .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cs") - 1))).select("list", "c", "q", "qid", "v", "low"))
+        found = (left.groupBy("list", "c", "q").cogroup(right.groupBy("list", "c", "q"))
+                 .applyInArrow(scan, "qid bigint, vec_id bigint, score double"))
+        return store(found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+                     .where(F.col("n") <= k + 1).drop("n"), name)
+    found = meet(asked, "found")
+    # The test gives up a near candidate now and then: queries that lack rows meet all lists, without a threshold.
+    full = min(k + 1, facts["n"])
+    short = store(once.join(found.groupBy("qid").count().where(F.col("count") >= full), "qid", "left_anti"), "short")
+    if short.head(1):
+        every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("low", F.lit(-np.inf))
+        again = meet(every.select("list", "qid", "v", "low"), "again")
+        found = found.join(short.select("qid"), "qid", "left_anti").unionByName(again)
     return (classes.select("query_id", "qid").join(found, "qid").where("vec_id <> query_id")
             .withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

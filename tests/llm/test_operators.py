@@ -317,6 +317,19 @@ def test_ann_recall(spark, scratch):
     assert np.mean([len(mine[q] & want[q]) / 20 for q in want]) >= 0.9
 
 
+def test_ann_whole_rows(spark, scratch):
+    """With the whole table as the sample and few probed lists every query still has all its rows."""
+    from shortlist.llm import ann
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    far = [(10_000 + 20 * i, (np.eye(32)[i] * 40).tolist()) for i in range(3)]                # lists of their own
+    data = stored(spark, scratch, [(i, v.tolist()) for i, v in enumerate(x)] + far, "vec_id bigint, embedding array<double>", "u")
+    for probes in (None, 1):
+        got = ann.nearest(data, list_size=150, probes=probes).groupBy("query_id").count().collect()
+        assert len(got) == 153 and {r["count"] for r in got} == {20}
+
+
 def test_toxicity(spark, scratch):
     from shortlist.llm.toxicity import character_model, held_out, score
     rng = random.Random(4)
