@@ -12,7 +12,8 @@ Centroids, rotation and first thresholds come from a bounded sample; every
 vector is indexed.  A first threshold looks only at the sample's vectors in the
 query's own probed lists, which hold ``k`` + 1 vectors at least; a query that
 still ends with fewer rows than there are is compared with every vector.  Equal vectors are searched once: ``k`` + 1 of the smallest
-ids stand for them, which is all that a list of ``k`` can show.
+ids stand for them, which is all that a list of ``k`` can show.  Rows equal in
+id and vector are one candidate with a count, which is expanded at the end.
 """
 
 from __future__ import annotations
@@ -96,10 +97,11 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     same = Window.partitionBy("v").orderBy("id")
-    base = store(rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1), "vectors")
+    counted = rows.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("m"))
+    base = store(counted.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"), "vectors")
     queries = rows.where(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), "v").distinct()
     classes = store(queries.withColumn("qid", F.xxhash64("v")), "queries")
-    facts = base.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
+    facts = base.agg(F.count("*").alias("n"), F.sum("m").alias("rows"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not facts["n"]:
         return spark.createDataFrame([], schema)
@@ -124,9 +126,9 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
         for b in batches:
             x = lifted(matrix(b.column("v")))
             near = ((centres ** 2).sum(1) - 2 * x @ centres.T).argmin(1) if len(x) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b.column("id"), b.column("v")], names=["list", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *b.columns], names=["list", *b.schema.names])
 
-    placed = store(base.select("id", "v").mapInArrow(place, "list int, id bigint, v array<double>"), "placed")
+    placed = store(base.select("id", "v", "m").mapInArrow(place, "list int, id bigint, v array<double>, m int"), "placed")
     size = np.zeros(count, np.int64)
     for r in placed.groupBy("list").count().collect():             # at most SAMPLE / 8 lists
         size[r["list"]] = r["count"]
@@ -155,9 +157,11 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
     asked = store(once.mapInArrow(probe, "list int, qid bigint, v array<double>, low double"), "asked")
 
     def scan(cands: pa.Table, asks: pa.Table) -> pa.Table:
-        out_q, out_i, out_s = [], [], []
+        out_q, out_i, out_m, out_s = [], [], [], []
         if cands.num_rows and asks.num_rows:
-            ids = cands.column("id").to_numpy()
+            cands = cands.sort_by("id")
+            ids, m = cands.column("id").to_numpy(), cands.column("m").to_numpy()
+            each = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))        # where each id begins
             x = matrix(cands.column("v").combine_chunks())
             y = lifted(x)
             dim = y.shape[1]
@@ -170,9 +174,10 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
             for lo in range(0, len(ask), 128):
                 q = np.arange(lo, min(lo + 128, len(ask)))
                 free, q = q[np.isneginf(low[q])], q[~np.isneginf(low[q])]
-                # Without a threshold: all that can be among the best k + 1 of these candidates.
+                # Without a threshold: all that can be among the k + 1 best ids of these candidates.
                 rough = ask[free] @ x.T
-                least = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if len(x) > k else np.full(len(free), -np.inf)
+                best = np.maximum.reduceat(rough, each, axis=1)
+                least = np.partition(best, -(k + 1), axis=1)[:, -(k + 1)] if len(each) > k else np.full(len(free), -np.inf)
                 whole = np.nonzero(rough >= (least - 1e-9 * (np.sqrt((ask[free] ** 2).sum(1) * longest) + 1))[:, None])
                 t, first = turned[q][:, :COLUMNS], y[:, :COLUMNS]
                 part = (t ** 2).sum(1)[:, None] + (first ** 2).sum(1) - 2 * t @ first.T
@@ -188,13 +193,19 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
                 score = (x[c] * ask[a]).sum(axis=1)
                 order = np.lexsort((ids[c], -score, a))
                 a, c, score = a[order], c[order], score[order]
-                place = np.arange(len(a)) - np.searchsorted(a, a)
-                best = place <= k
+                # An id shows k rows at most; past k + 1 ids nothing is left to show.
+                same = np.lexsort((np.arange(len(a)), ids[c], a))
+                key = np.flatnonzero(np.diff(ids[c][same], prepend=0) | np.diff(a[same], prepend=-1))
+                nth = np.empty(len(a), np.int64)
+                nth[same] = np.arange(len(a)) - np.repeat(key, np.diff(key, append=len(a)))
+                seen = np.concatenate([[0], np.cumsum(nth == 0)])
+                best = (nth < k) & (seen[1:] - seen[np.searchsorted(a, a)] <= k + 1)
                 out_q.append(qids[a[best]])
                 out_i.append(ids[c[best]])
+                out_m.append(m[c[best]])
                 out_s.append(score[best])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        return pa.table({"qid": join(out_q, np.int64), "vec_id": join(out_i, np.int64), "score": join(out_s, np.float64)})
+        return pa.table({"qid": join(out_q, np.int64), "vec_id": join(out_i, np.int64), "m": join(out_m, np.int32), "score": join(out_s, np.float64)})
     order = [F.desc("score"), "vec_id"]
 
     def meet(asked: DataFrame, name: str) -> DataFrame:
@@ -202,21 +213,29 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, probes: int
         sizes = (placed.groupBy("list").agg(F.ceil(F.count("*") / MEET).cast("int").alias("cs"))
                  .join(asked.groupBy("list").agg(F.ceil(F.count("*") / MEET).cast("int").alias("qs")), "list"))
         left = (placed.join(sizes, "list").withColumn("c", F.pmod(F.xxhash64("id"), F.col("cs")).cast("int"))
-                .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "c", "q", "id", "v"))
+                .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "c", "q", "id", "v", "m"))
         right = (asked.join(sizes, "list").withColumn("q", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int"))
                  .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cs") - 1))).select("list", "c", "q", "qid", "v", "low"))
         found = (left.groupBy("list", "c", "q").cogroup(right.groupBy("list", "c", "q"))
-                 .applyInArrow(scan, "qid bigint, vec_id bigint, score double"))
-        return store(found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
-                     .where(F.col("n") <= k + 1).drop("n"), name)
+                 .applyInArrow(scan, "qid bigint, vec_id bigint, m int, score double"))
+        line = Window.partitionBy("qid").orderBy(*order, "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return store(found.withColumn("n", F.row_number().over(Window.partitionBy("qid", "vec_id").orderBy(F.desc("score"))))
+                     .where(F.col("n") <= k).withColumn("seen", F.sum((F.col("n") == 1).cast("int")).over(line))
+                     .where(F.col("seen") <= k + 1).drop("n", "seen"), name)
+
+    def shown(found: DataFrame) -> DataFrame:
+        return classes.select("query_id", "qid").join(found, "qid").where("vec_id <> query_id")
     found = meet(asked, "found")
     # The test gives up a near candidate now and then: queries that lack rows meet all lists, without a threshold.
-    full = min(k + 1, facts["n"])
-    short = store(once.join(found.groupBy("qid").count().where(F.col("count") >= full), "qid", "left_anti"), "short")
+    own = base.where(F.col("id") % query_every == 0).groupBy(F.col("id").alias("query_id")).agg(F.sum("m").alias("own"))
+    lacking = (classes.select("query_id", "qid").join(shown(found).groupBy("query_id", "qid").agg(F.sum("m").alias("has")), ["query_id", "qid"], "left")
+               .join(own, "query_id", "left")
+               .where(F.coalesce("has", F.lit(0)) < F.least(F.lit(k), F.lit(facts["rows"]) - F.coalesce("own", F.lit(0)))))
+    short = store(once.join(lacking.select("qid").distinct(), "qid", "left_semi"), "short")
     if short.head(1):
         every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("low", F.lit(-np.inf))
         again = meet(every.select("list", "qid", "v", "low"), "again")
         found = found.join(short.select("qid"), "qid", "left_anti").unionByName(again)
-    return (classes.select("query_id", "qid").join(found, "qid").where("vec_id <> query_id")
+    return (shown(found).withColumn("one", F.explode(F.sequence(F.lit(1), "m")))
             .withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

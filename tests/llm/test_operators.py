@@ -330,6 +330,21 @@ def test_ann_whole_rows(spark, scratch):
         assert len(got) == 153 and {r["count"] for r in got} == {20}
 
 
+def test_ann_repeated_rows(spark, scratch):
+    """Own rows, however many, don't take the place of other ids; repeated rows are candidates each."""
+    from shortlist.llm.ann import nearest
+    rng = np.random.default_rng(9)
+    one = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    rows = one + one + [one[20]] * 30                                          # doubled; id 20 32 times
+    rows += [(40, (np.array(one[40][1]) * (1 + j / 100)).tolist()) for j in range(1, 30)]      # id 40 with 30 vectors
+    got = nearest(stored(spark, scratch, rows, "vec_id bigint, embedding array<double>", "m")).collect()
+    mine = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        mine.setdefault(r.query_id, []).append(r.vec_id)
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    assert all(mine[q] == exact(x, ids, q, 20) for q in (0, 20)) and len(mine[40]) == 20 and 40 not in mine[40]
+
+
 def test_toxicity(spark, scratch):
     from shortlist.llm.toxicity import character_model, held_out, score
     rng = random.Random(4)
