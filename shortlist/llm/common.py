@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -56,10 +57,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """Number the rows of a stored table.
 
-    A file scan always splits into the same partitions, so the number is the
-    same in every pass and after a lost executor; give stored tables only.
+    The number is the place of the row's file among the table's files, sorted by
+    path, and the row's place in the file.  So it is the same in every pass,
+    however the scan is split; give stored tables only.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    paths = sorted({re.sub("^([^:/]+):///", r"\1:/", p) for p in df.inputFiles()})
+    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "__path string, __file bigint")
+    place = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    number = F.coalesce("__file", F.raise_error(F.concat(F.lit("not a file of the table: "), "__path")).cast("bigint"))
+    return (place.join(F.broadcast(files), "__path", "left").withColumn(name, F.shiftleft(number, 33) + F.col("__row"))
+            .drop("__path", "__file", "__row"))
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],

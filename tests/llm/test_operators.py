@@ -52,6 +52,22 @@ def with_ids(docs, got):
     return with_row_id(docs.select("doc_id", "text")).join(got, "rid").collect()
 
 
+def test_row_ids_of_any_split(spark, scratch):
+    """The rows keep their numbers when a scan is split otherwise, as after a lost executor."""
+    from shortlist.llm.common import with_row_id
+    data = stored(spark, scratch, [(i, "x" * (i % 90)) for i in range(3000)], "doc_id bigint, text string", "a table", 7)
+    seen = []
+    for split in ("1", "3", "40"):
+        spark.conf.set("spark.sql.files.minPartitionNum", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            seen.append({r.doc_id: r.rid for r in with_row_id(data.select("doc_id")).collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0] == seen[1] == seen[2] and len(set(seen[0].values())) == 3000
+
+
 @pytest.mark.parametrize("window", [1, 5, 12, 35])
 def test_substring(docs, empty, window):
     from shortlist.llm.substring import substring_dedup
