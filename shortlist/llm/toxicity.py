@@ -2,7 +2,7 @@
 
 A disguised word is a path through a character lattice: digits and signs may
 stand for letters, a repeated letter may be one letter, signs may be padding,
-and single letters set apart may be one word.  Viterbi decoding finds the
+and a gap between short pieces may be none.  Viterbi decoding finds the
 likeliest letters under a character trigram model, whose counts come from all
 documents.  The restored text is scored by a logistic model over restored words
 and word beginnings, fitted on a bounded sample of labelled rows.
@@ -31,12 +31,16 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
         "!": "il", "|": "il", "+": "t"}
 #: Log-probabilities of the channel.
 AS_SIGN, REPEATED, PADDING = -1.0, -0.5, -7.0
+#: Of a gap that parts no words, where a piece of several letters is beside it; between single letters it is free.
+GLUED = -1.0
+PIECE = 3                          # letters of a piece set apart, at most
 LETTERS = 28                       # 0: none (a word's edge), 1-26: a-z, 27: any other letter
 PART_BYTES = 4 << 20                # text whose words and features a task holds at a time
 WINDOW = 256                       # longer words are decoded in pieces of this length
 _CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0
                   for b in range(256)], np.uint8)
 _ODD = re.compile(r"[0-9@$!|+]|([^\W\d_])\1\1|[^\W_][^\w@$!|+]+[^\W_]")
+_MAYBE = re.compile(r"[^\W_]_+[^\W_]|([^\W\d_])\1")           # the plain reading is as likely
 _SIGNS = re.compile(r"[^\W\d_]")
 _SPACED = re.compile(r"[^\w@$!|+]|_")
 
@@ -93,6 +97,8 @@ def _decode(words: list[str], model: np.ndarray) -> list[str]:
                 skip[i, t] = REPEATED + AS_SIGN if t and w[t - 1] == c else PADDING
             elif c.isalpha():
                 letter[0, i, t] = 27
+            elif c == " ":
+                letter[0, i, t], skip[i, t] = 0, _gap(w, t)
             else:
                 skip[i, t] = 0.0
         skip[i, len(w):] = 0.0
@@ -120,11 +126,84 @@ def _decode(words: list[str], model: np.ndarray) -> list[str]:
     for t in range(width - 1, -1, -1):
         a = before[t, np.arange(n), first, last]
         for i in np.flatnonzero(a != 255).tolist():
-            said[i].append(words[i][t] if last[i] == 27 else chr(96 + last[i]))
+            said[i].append(" " if last[i] == 0 else words[i][t] if last[i] == 27 else chr(96 + last[i]))
         first, last = np.where(a == 255, first, a), np.where(a == 255, last, first)
     return ["".join(reversed(x)) for x in said]
 
 
+def _gap(pieces: str, t: int) -> float:
+    alone = pieces[max(t - 2, 0):t - 1] in ("", " ") and pieces[t + 2:t + 3] in ("", " ")
+    return 0.0 if alone else GLUED
+
+
+def unspaced(stretches: list[str], model: np.ndarray) -> list[str]:
+    """Pieces of letters, a blank between two: blanks that part no words go.
+
+    The lattice of ``decode`` where only the gaps are open: a letter follows either a letter or a word's edge.
+    """
+    out = [""] * len(stretches)
+    order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
+    for lo in range(0, len(order), 2048):
+        some = order[lo:lo + 2048]
+        for i, edges in zip(some, _edges([stretches[i] for i in some], model)):
+            letters = stretches[i].replace(" ", "")
+            cuts = [0, *np.flatnonzero(edges[1:len(letters)]) + 1, len(letters)]
+            out[i] = " ".join([letters[a:b] for a, b in zip(cuts, cuts[1:])])
+    return out
+
+
+def _edges(stretches: list[str], model: np.ndarray) -> np.ndarray:
+    """Whether a word begins with each letter."""
+    n = len(stretches)
+    size = np.array([len(s) - s.count(" ") for s in stretches])
+    letter, gap = np.zeros((n, size.max()), np.int64), np.full((n, size.max()), np.nan)
+    for i, s in enumerate(stretches):
+        at = 0
+        for t, c in enumerate(s):
+            if c == " ":
+                gap[i, at] = _gap(s, t)
+            else:
+                letter[i, at] = ord(c) - 96 if "a" <= c <= "z" else 27
+                at += 1
+    width = letter.shape[1]
+    inner, edge = np.full(n, -np.inf), model[0, 0, letter[:, 0]]    # scores: a letter before the last one, or an edge
+    came = np.zeros((2, width, n), bool)                          # from an edge
+    ends = np.zeros(n, bool)
+    for t in range(width):
+        b, a = letter[:, t], letter[:, t - 1]
+        last = size == t + 1
+        ends[last] = (edge + model[0, b, 0] > inner + model[a, b, 0])[last]
+        if t + 1 == width:
+            break
+        c, open_ = letter[:, t + 1], ~np.isnan(gap[:, t + 1])
+        near, far = inner + model[a, b, c], edge + model[0, b, c]
+        near0, far0 = inner + model[a, b, 0], edge + model[0, b, 0]
+        came[0, t + 1], came[1, t + 1] = far > near, far0 > near0
+        inner = np.maximum(near, far) + np.where(open_, gap[:, t + 1], 0)
+        edge = np.where(open_, np.maximum(near0, far0) + model[b, 0, c], -np.inf)
+    got, state = np.zeros((n, width), bool), np.zeros(n, bool)
+    for t in range(width - 1, -1, -1):
+        state = np.where(size == t + 1, ends, state)
+        got[:, t] = state
+        state = np.where(state, came[1, t], came[0, t])
+    return got
+
+
+def _stretches(words: list[str], index: np.ndarray, text: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct runs of two or more short pieces, and (run, text) index pairs."""
+    pieces = [w if len(w) == 1 else _bare(w) for w in words]
+    short = np.fromiter((0 < len(p) <= PIECE and all(c.isalpha() or c in LEET for c in p) and (len(p) == 1 or bool(_SIGNS.search(p)))
+                         for p in pieces), bool, len(pieces))[index]
+    run = short[1:] & short[:-1] & (text[1:] == text[:-1])          # goes on with the next word
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], run, [0]]).astype(np.int8)))
+    names: dict[str, int] = {}
+    which, where = [], []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        which.append(names.setdefault(" ".join([pieces[i] for i in index[a:b + 1].tolist()]), len(names)))
+        where.append(text[a])
+    return list(names), np.array(which, np.int64), np.array(where, np.int64)
+
+
 def _bare(word: str) -> str:
     word = word.lstrip(".,;:?\"'()[]{}%*&#-_~=<>¿¡«»").rstrip(".,;:?!\"'()[]{}%*&#-_~=<>|«»")
     return word[:-3].rstrip("$") if word.endswith("$$$") else word
@@ -147,9 +226,32 @@ def restored(texts: pa.Array, model: np.ndarray) -> tuple[list[str], np.ndarray,
     odd = [i for i, w in enumerate(clean) if _ODD.search(w) and _SIGNS.search(w)]
     for i, w in zip(odd, decode([_SPACED.sub("", clean[i]) for i in odd], model)):
         clean[i] = w
-    index = np.concatenate([index, np.arange(len(words), len(clean))])
-    text = np.concatenate([text, text[[x for x, _ in apart]].astype(np.int64) if apart else np.empty(0, np.int64)])
-    return clean, index, text
+    whole = [(np.arange(len(words), len(clean)), text[[x for x, _ in apart]].astype(np.int64) if apart else np.empty(0, np.int64))]
+    # Second readings, beside the plain one: underscores and doubled letters, and words of short pieces.
+    done = set(odd)
+    maybe = [i for i, w in enumerate(clean[:len(words)]) if i not in done and _MAYBE.search(w)]
+    other = np.full(len(words), -1)
+    for i, w in zip(maybe, decode([_SPACED.sub("", clean[i]) for i in maybe], model)):
+        if w != clean[i]:
+            other[i] = len(clean)
+            clean.append(w)
+    has = other[index] >= 0
+    whole.append((other[index[has]], text[has]))
+    runs, which, where = _stretches(words, index, text)
+    plain = [all(c == " " or c.isalpha() for c in r) and not _MAYBE.search(r) for r in runs]
+    read = iter(unspaced([r for r, p in zip(runs, plain) if p], model))
+    signs = iter(decode([r for r, p in zip(runs, plain) if not p], model))
+    at, size, new = [], np.zeros(len(runs), np.int64), {}
+    for i, (r, p) in enumerate(zip(runs, plain)):
+        mine = set(next(read if p else signs).split()) - set(r.split())
+        size[i] = len(mine)
+        at += [new.setdefault(w, len(clean) + len(new)) for w in mine]
+    clean += list(new)
+    many = size[which]
+    begin = (np.cumsum(size) - size)[which]
+    spot = np.arange(int(many.sum())) + np.repeat(begin - (np.cumsum(many) - many), many)
+    whole.append((np.array(at, np.int64)[spot], np.repeat(where, many)))
+    return clean, np.concatenate([index, *(i for i, _ in whole)]), np.concatenate([text, *(t for _, t in whole)])
 
 
 def features(word: str) -> list[str]:

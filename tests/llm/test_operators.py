@@ -393,6 +393,36 @@ def test_toxicity(spark, scratch):
     assert score(docs.where("false"), labels).collect() == []
 
 
+def test_toxicity_spaced_and_doubled(spark, scratch):
+    """Words set apart begin anywhere in a stretch; pieces, underscores and doubled letters hide no word."""
+    from shortlist.llm.toxicity import score
+    rng = random.Random(8)
+    calm = ["river", "stone", "window", "garden", "letter", "morning", "a", "you", "i", "am", "the", "is", "such", "to"]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(calm) for _ in range(rng.randint(5, 30))]
+        if i % 4 == 0:
+            words[rng.randrange(len(words))] = rng.choice(["idiot", "moron"])
+        rows.append((i, " ".join(words)))
+    hidden = ["a m o r o n", "y o u i d i o t", "river id iot stone", "such a mo ron", "i_d_i_o_t river", "iiddiioott stone", "the idioot",
+              "you 1d i0t"]
+    fair = ["i am a river", "you is to the a", "a letter to you", "the river_stone", "window"]
+    docs = stored(spark, scratch, rows + [(1000 + i, t) for i, t in enumerate(hidden)] + [(2000 + i, t) for i, t in enumerate(fair)],
+                  "doc_id bigint, text string", "docs")
+    labels = stored(spark, scratch, [(i, int(i % 4 == 0)) for i in range(600)], "doc_id bigint, toxic int", "labels")
+    got = {r.doc_id: r.predicted for r in score(docs, labels).collect()}
+    assert [t for i, t in enumerate(hidden) if not got[1000 + i]] == [] and [t for i, t in enumerate(fair) if got[2000 + i]] == []
+
+
+def test_gaps_as_in_the_whole_lattice():
+    """The lattice of gaps alone gives what the whole lattice gives."""
+    from shortlist.llm.toxicity import LETTERS, decode, unspaced
+    rng = np.random.default_rng(3)
+    model = np.log(rng.dirichlet(np.full(LETTERS, 0.3), (LETTERS, LETTERS)) + 1e-9)
+    some = [" ".join("".join(rng.choice(list("abcdefgh"), rng.integers(1, 4), replace=False)) for _ in range(rng.integers(2, 9))) for _ in range(300)]
+    assert unspaced(some, model) == decode(some, model) and any(" " not in w for w in unspaced(some, model))
+
+
 def test_viterbi_restores():
     from shortlist.llm.toxicity import LETTERS, decode
     flat = np.log(np.full((LETTERS,) * 3, 1 / LETTERS))
