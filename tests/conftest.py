@@ -4,16 +4,13 @@ import tempfile
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-TESTS = os.path.join(ROOT, "tests")
-sys.path.insert(0, ROOT)
+TESTS = os.path.dirname(os.path.abspath(__file__))
+ROOT = os.path.dirname(TESTS)
+sys.path[:0] = [ROOT, TESTS]
 # Python workers import the package (and test-defined encoders) by module name.
 os.environ["PYTHONPATH"] = os.pathsep.join(
     [ROOT, TESTS] + ([os.environ["PYTHONPATH"]] if os.environ.get("PYTHONPATH") else []))
 
-SF0001 = "/root/testdata/sf0.001"
-SF001 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

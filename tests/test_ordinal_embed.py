@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from paths import SF0001
 from shortlist.functions.vectors import cosine, cosine_to, l2_normalize
 from shortlist.operators import embed as em
 from shortlist.operators.ordinal import ordinal_within

@@ -6,7 +6,7 @@ import sys
 import duckdb
 import pytest
 
-from conftest import ROOT, SF0001
+from paths import ROOT, SF0001
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 from parity import TABLES, compare  # noqa: E402

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001, SF001
+from paths import SF0001, SF001
 from shortlist.functions.scoring import Criteria
 from shortlist.operators import rank as rk
 from shortlist.plans import catalog as cat

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from conftest import SF0001
+from paths import SF0001
 from shortlist.schemas import RECORD_COLUMNS, RESUME_COLUMNS
 from shortlist.sources import tables as tb
 from shortlist.sources.extractors import default_extractor, html_to_text

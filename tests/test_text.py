@@ -112,7 +112,7 @@ def test_extraction_plan_has_no_python(spark):
 
 
 def test_vocabulary_table_paths_agree(spark):
-    from conftest import SF0001
+    from paths import SF0001
     from shortlist.operators.extract import skills_with_vocabulary, vocabulary
     from shortlist.plans import fixtures as fx
     vocab_df = spark.createDataFrame([(s,) for s in tx.SKILLS_VOCAB] + [("python",), (None,)], "skill string")
@@ -144,7 +144,7 @@ TUNED_TRAPS = [
 
 def test_tuned_patterns_match_the_rule_patterns(spark):
     """The Java-tuned spellings extract exactly what the rule patterns do."""
-    from conftest import SF001
+    from paths import SF001
     from shortlist.plans import fixtures as fx
     traps = spark.createDataFrame([(i, t) for i, t in enumerate(TUNED_TRAPS)], "doc_id long, raw_text string")
     docs = fx.resumes_raw(spark, SF001).select("doc_id", "raw_text").unionByName(traps)
@@ -157,7 +157,7 @@ def test_tuned_patterns_match_the_rule_patterns(spark):
 
 
 def test_skills_codegen_forms_match_the_filter_form(spark):
-    from conftest import SF001
+    from paths import SF001
     from shortlist.plans import fixtures as fx
     docs = fx.resumes_raw(spark, SF001)
     entries = tx.sorted_vocab()
