@@ -84,9 +84,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("capture.type") == "revisit", F.col("refers_to")).alias("refers_to"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shortlist.llm.periodic import periodic_runs
+    got = periodic_runs(table(spark, sf_dir, "documents"), least=12, planted=True, texts=False)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    return got.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.s")).alias("start"),
+        F.col("best.n").alias("length"), (-F.col("best.q")).alias("period"),
+        F.expr("best.n * 1000 div -best.q").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_chat, op4_ann, op5_token_counts, op6_direct_codes,
                                   op7_bpe, op8_simhash,
-                                  op9_decontaminate, op10_warc)}
+                                  op9_decontaminate, op10_warc, op13_periodic_runs)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -80,3 +81,44 @@ def decontaminate(rows, items, window):
                     who |= got
         out.append((len(w), sorted(hits), sorted(str(i) for i in who if i is not None)))
     return out
+
+
+def planted_words(doc_id, text):
+    """The words of a document after its planted tail."""
+    w = words(text)
+    if doc_id is None or not w:
+        return w
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(w)
+    if h % 10:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+
+
+def runs(w, least=12):
+    """[(start, length, period)] by trying every lag at every place."""
+    seen = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i < len(w) - q:
+            j = i
+            while j < len(w) - q and w[j] == w[j + q]:
+                j += 1
+            if j - i + q >= max(least, 2 * q) and j > i:
+                seen.setdefault((i, j + q - i), q)
+            i = max(j, i + 1)
+    return sorted((s, n, q) for (s, n), q in seen.items())
+
+
+def periodic(doc_id, text, least=12, planted=True):
+    """(n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256)."""
+    w = planted_words(doc_id, text) if planted else words(text)
+    found = runs(w, least)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return (len(found), *best, 1000 * best[1] // best[2] if found else None,
+            hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
