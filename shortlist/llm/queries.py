@@ -84,6 +84,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("capture.type") == "revisit", F.col("refers_to")).alias("refers_to"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shortlist.llm.minhash import near_duplicates
+    got = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return got.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shortlist.llm.merkle import manifest
+    got = manifest(table(spark, sf_dir, "documents"), tampered={"text": F.replace("text", F.lit("\n"), F.lit(""))},
+                   when=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shortlist.llm.periodic import periodic_runs
     got = periodic_runs(table(spark, sf_dir, "documents"), least=12, planted=True, texts=False)
@@ -96,11 +109,79 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_chat, op4_ann, op5_token_counts, op6_direct_codes,
                                   op7_bpe, op8_simhash,
-                                  op9_decontaminate, op10_warc, op13_periodic_runs)}
+                                  op9_decontaminate, op10_warc, op11_minhash, op12_merkle, op13_periodic_runs)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+def _field_sql(name: str, value: str | None = None) -> str:
+    text = f"({value or name})::VARCHAR"
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen({text})::VARCHAR || ':' || {text} END"
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars")] + [_field_sql("text", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: crc32 of a decimal number, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, c: list_reduce(range(8), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, c)),
+    4294967295::BIGINT))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                               'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 2], ' ') AS gram
+                   FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS pos FROM w WHERE len(words) > 0)),
+             n AS (SELECT doc_id, count(*) AS size, sha256(string_agg(gram, chr(10) ORDER BY gram)) AS whole FROM s GROUP BY doc_id),
+             c AS (SELECT whole, any_value(size) AS size, min(doc_id) AS rep FROM n GROUP BY whole),
+             g AS (SELECT s.doc_id AS rep, gram, size FROM s JOIN c ON s.doc_id = c.rep),
+             b AS (SELECT x.rep AS l, y.rep AS r, count(*) AS both FROM g x JOIN g y ON x.gram = y.gram AND x.rep < y.rep
+                   WHERE 100 * least(x.size, y.size) >= 85 * greatest(x.size, y.size) GROUP BY ALL),
+             e AS (SELECT l, r FROM b JOIN c x ON l = x.rep JOIN c y ON r = y.rep WHERE 100 * both >= 85 * (x.size + y.size - both)),
+             both_ways AS (SELECT l, r FROM e UNION SELECT r, l FROM e),
+             walk AS (SELECT rep AS node, rep AS root FROM c
+                      UNION
+                      SELECT r, root FROM walk JOIN both_ways ON node = l WHERE root < r),
+             least_of AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
+        SELECT w.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id,
+               w.doc_id = coalesce(m.root, w.doc_id) AS kept
+        FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON n.whole = c.whole LEFT JOIN least_of m ON c.rep = m.node""",
+    "op12_merkle": f"""
+        WITH RECURSIVE leaves AS (
+               SELECT doc_id, {_leaf_sql('text')} AS leaf,
+                      CASE WHEN {_CRC32} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS tampered,
+                      dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t,
+                      row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i,
+                      count(*) OVER (PARTITION BY source) AS n FROM documents),
+             low AS (SELECT t, 0 AS lev, i, leaf AS d, n FROM leaves
+                     UNION ALL
+                     SELECT t, lev + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3
+                     FROM low WHERE n > 1 GROUP BY t, lev, i // 3, n),
+             tops AS (SELECT t, d, lev FROM low WHERE n = 1),
+             high AS (SELECT 0 AS lev, t AS i, d, (SELECT count(*) FROM tops) AS n FROM tops
+                      UNION ALL
+                      SELECT lev + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3
+                      FROM high WHERE n > 1 GROUP BY lev, i // 3, n),
+             low_by AS (SELECT a.t, a.lev, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+                               coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+                        FROM low a JOIN low b ON a.t = b.t AND a.lev = b.lev AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+             high_by AS (SELECT a.lev, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+                                coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+                         FROM high a JOIN high b ON a.lev = b.lev AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+             inner_fold AS (SELECT doc_id, t, i, 0 AS lev, coalesce(tampered, leaf) AS d, '' AS proof FROM leaves
+                            UNION ALL
+                            SELECT f.doc_id, f.t, f.i // 3, f.lev + 1, sha256(b.l || f.d || b.r), f.proof || b.l || b.r
+                            FROM inner_fold f JOIN low_by b ON f.t = b.t AND f.lev = b.lev AND f.i = b.i),
+             outer_fold AS (SELECT f.doc_id, f.t AS i, 0 AS lev, f.d, f.proof FROM inner_fold f JOIN tops USING (t, lev)
+                            UNION ALL
+                            SELECT f.doc_id, f.i // 3, f.lev + 1, sha256(b.l || f.d || b.r), f.proof || b.l || b.r
+                            FROM outer_fold f JOIN high_by b ON f.lev = b.lev AND f.i = b.i),
+             root AS (SELECT d, lev FROM high WHERE n = 1)
+        SELECT doc_id, leaf, tops.d AS subroot, root.d AS root, sha256(proof) AS proof_sha256, f.d AS folded_root,
+               f.d = root.d AS verified
+        FROM outer_fold f JOIN root ON f.lev = root.lev JOIN leaves USING (doc_id) JOIN tops ON leaves.t = tops.t""",
     "op3_chat": r"""
         WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
              p AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM r WHERE role <> 'system'),

@@ -122,3 +122,73 @@ def periodic(doc_id, text, least=12, planted=True):
     kept = " ".join(x for i, x in enumerate(w) if i not in gone)
     return (len(found), *best, 1000 * best[1] // best[2] if found else None,
             hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def merkle(rows):
+    """[(doc_id, source, lang, n_chars, text)] -> {row number: the seven columns}, by the definition."""
+    def sha(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(row):
+        return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha(*out[-1][k:k + 3]) for k in range(0, len(out[-1]), 3)])
+        return out
+
+    def steps(lev, i):
+        for nodes in lev[:-1]:
+            at = i - i % 3
+            yield nodes[at:i], nodes[i + 1:at + 3]
+            i //= 3
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(row[1], []).append(k)
+    first = lambda v: (v is not None, v if v is not None else 0)
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for name in names:
+        groups[name].sort(key=lambda k: (first(rows[k][0]), leaf(rows[k])))
+    trees = {name: levels([leaf(rows[k]) for k in groups[name]]) for name in names}
+    top = levels([trees[name][-1][0] for name in names])
+    out = {}
+    for t, name in enumerate(names):
+        for i, k in enumerate(groups[name]):
+            row = rows[k]
+            path = [*steps(trees[name], i), *steps(top, t)]
+            fold = leaf(row)
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0 and row[4] is not None:
+                fold = leaf((*row[:4], row[4].replace("\n", "")))
+            for a, b in path:
+                fold = sha(*a, fold, *b)
+            root = top[-1][0]
+            out[k] = (row[0], leaf(row), trees[name][-1][0], root, sha(*(d for a, b in path for d in (*a, *b))), fold, fold == root)
+    return out
+
+
+def shingle_set(text, shingle=3):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+
+def jaccard_components(rows, percent=85, shingle=3):
+    """[(doc_id, text)] -> [(n_shingles, component id)] by comparing all pairs."""
+    sets = [shingle_set(t, shingle) for _, t in rows]
+    piece = list(range(len(rows)))
+
+    def find(a):
+        while piece[a] != a:
+            a = piece[a]
+        return a
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * len(a | sets[j]):
+                x, y = find(i), find(j)
+                piece[max(x, y)] = min(x, y)
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        r = find(i)
+        least[r] = name if r not in least or least[r] is None else least[r] if name is None else min(name, least[r])
+    return [(len(s), least[find(i)]) for i, s in enumerate(sets)]
