@@ -137,13 +137,13 @@ ORACLE_SQL: dict[str, str] = {
              n AS (SELECT doc_id, count(*) AS size, sha256(string_agg(gram, chr(10) ORDER BY gram)) AS whole FROM s GROUP BY doc_id),
              c AS (SELECT whole, any_value(size) AS size, min(doc_id) AS rep FROM n GROUP BY whole),
              g AS (SELECT s.doc_id AS rep, gram, size FROM s JOIN c ON s.doc_id = c.rep),
-             b AS (SELECT x.rep AS l, y.rep AS r, count(*) AS both FROM g x JOIN g y ON x.gram = y.gram AND x.rep < y.rep
+             b AS (SELECT x.rep AS l, y.rep AS r, count(*) AS common FROM g x JOIN g y ON x.gram = y.gram AND x.rep < y.rep
                    WHERE 100 * least(x.size, y.size) >= 85 * greatest(x.size, y.size) GROUP BY ALL),
-             e AS (SELECT l, r FROM b JOIN c x ON l = x.rep JOIN c y ON r = y.rep WHERE 100 * both >= 85 * (x.size + y.size - both)),
-             both_ways AS (SELECT l, r FROM e UNION SELECT r, l FROM e),
+             e AS (SELECT l, r FROM b JOIN c x ON l = x.rep JOIN c y ON r = y.rep WHERE 100 * common >= 85 * (x.size + y.size - common)),
+             ways AS (SELECT l, r FROM e UNION SELECT r, l FROM e),
              walk AS (SELECT rep AS node, rep AS root FROM c
                       UNION
-                      SELECT r, root FROM walk JOIN both_ways ON node = l WHERE root < r),
+                      SELECT r, root FROM walk JOIN ways ON node = l WHERE root < r),
              least_of AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
         SELECT w.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id,
                w.doc_id = coalesce(m.root, w.doc_id) AS kept
