@@ -146,8 +146,8 @@ def label(score: Column | str, low: Column | float, high: Column | float) -> Col
 
 
 def reason(semantic: Column | str, exp_years: Column | str, skills_list: Column | str,
-           requested: Sequence[str]) -> Column:
-    """Human-readable reason: semantic band, years, and matched requested skills.
+           requested: Sequence[str] | Column) -> Column:
+    """Human-readable reason: semantic band, years, and matched requested skills (a list or an array column).
 
     Matched skills keep the request's order, spelling and duplicates; the
     candidate set here keeps blank tokens (only stripped and lower-cased).
@@ -159,9 +159,10 @@ def reason(semantic: Column | str, exp_years: Column | str, skills_list: Column
     exp_part = F.when(years > 0, F.format_string(EXPERIENCE_PHRASE.replace("{}", "%s"),
                                                   years.cast("string")))
     parts = [sem_part, exp_part]
-    if requested:
+    if isinstance(requested, Column) or requested:
+        wanted = requested if isinstance(requested, Column) else _str_array(list(requested))
         cand = F.transform(F.split(_col(skills_list), ","), lambda s: F.lower(strip_ws(s)))
-        matched = F.filter(_str_array(list(requested)),
+        matched = F.filter(wanted,
                            lambda s: F.array_contains(cand, F.lower(s)))
         first = F.slice(matched, 1, REASON_MAX_SKILLS)
         parts.append(F.when(F.size(matched) > 0,
@@ -181,26 +182,3 @@ def percent_text(ratio: Column | str, decimals: int = 1) -> Column:
 def title_text(name: Column | str) -> Column:
     """A snake_case name as a title, e.g. 'score_distribution' → 'Score Distribution'."""
     return F.initcap(F.replace(_col(name), F.lit("_"), F.lit(" ")))
-
-
-MAX_CRITERIA = 10_000
-
-
-def criteria_from_table(df, max_rows: int = MAX_CRITERIA) -> list[Criteria]:
-    """Criteria rows (jd_id, job_description, top_n, min_exp, skills) → Criteria objects.
-
-    Criteria are query parameters: they are brought to the driver only after
-    checking how many there are.
-    """
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} criteria rows, more than {max_rows}")
-    out = []
-    for r in df.collect():
-        d = r.asDict()
-        out.append(Criteria(job_description=d.get("job_description") or "",
-                            top_n=int(d.get("top_n") if d.get("top_n") is not None else DEFAULT_TOP_N),
-                            min_exp=int(d.get("min_exp") or 0),
-                            skills=tuple(d.get("skills") or ()),
-                            jd_id=int(d.get("jd_id") or 0)))
-    return out

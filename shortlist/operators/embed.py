@@ -92,12 +92,16 @@ class HashedEncoder:
         return weigh.transform(counted).withColumn(out_col, vector_to_array("_weighted")).drop("_weighted", terms_col)
 
 
+def bucket_of(token: F.Column, dim: int) -> F.Column:
+    """The bucket of a token: leading md5 digits modulo ``dim``."""
+    return F.conv(F.substring(F.md5(token), 1, HASH_DIGITS), 16, 10).cast("bigint") % dim
+
+
 def term_counts(df: DataFrame, text_col: str, dim: int = DEFAULT_DIM, out_col: str = "terms") -> DataFrame:
     """Add ``out_col``: how many tokens of the text (null: none) fall in each bucket, a sparse vector."""
     from pyspark.ml.feature import CountVectorizerModel
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
-    buckets = F.transform(tokens, lambda t: (
-        F.conv(F.substring(F.md5(t), 1, HASH_DIGITS), 16, 10).cast("bigint") % dim).cast("string"))
+    buckets = F.transform(tokens, lambda t: bucket_of(t, dim).cast("string"))
     counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_buckets", outputCol=out_col)
     return counter.transform(df.withColumn("_buckets", buckets)).drop("_buckets")
 
@@ -188,7 +192,7 @@ def cache_misses(docs: DataFrame, cache: DataFrame, text_col: str = "Resume_Text
     return hashed_docs.join(known, "text_hash", "left_anti").select(key, "text_hash")
 
 
-def _exists(spark, path: str) -> bool:
+def path_exists(spark, path: str) -> bool:
     """Whether ``path`` is there, in any store that Spark can reach."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
@@ -205,7 +209,7 @@ def update_cache(docs: DataFrame, cache_path: str, text_col: str,
     Returns the cache as read back after the append.
     """
     spark = docs.sparkSession
-    cache = spark.read.parquet(cache_path) if _exists(spark, cache_path) else None   # None: first run
+    cache = spark.read.parquet(cache_path) if path_exists(spark, cache_path) else None   # None: first run
     hashed = docs.select(text_hash(text_col).alias("text_hash"), F.col(text_col))
     new = hashed if cache is None else hashed.join(cache.select("text_hash"), "text_hash", "left_anti")
     new = new.dropDuplicates(["text_hash"])

@@ -114,6 +114,21 @@ def extract_resumes(raw_docs: DataFrame, ordinal_col: str = "idx", name_col: str
     )
 
 
+def resumes_of_archives(archives: DataFrame, extensions: Sequence[str] = tx.DEFAULT_EXTENSIONS, extractor=None,
+                        partitions: int | None = None, vocab: Sequence[str] = tx.SKILLS_VOCAB) -> DataFrame:
+    """Archive files (``read_archives``) → the resume table, stored once.
+
+    Members that can't be read are left out; if none is left, reading the
+    result fails with ``guards.NO_RESUMES``.
+    """
+    from shortlist.operators.guards import NO_RESUMES, nonempty
+    from shortlist.session import materialize_if_possible
+    from shortlist.sources.archives import list_members, read_members
+    docs = read_members(list_members(archives, extensions), extractor=extractor, partitions=partitions)
+    resumes = extract_resumes(docs.where(F.col("error").isNull()), vocab=vocab)
+    return nonempty(materialize_if_possible(resumes, "resumes"), NO_RESUMES)
+
+
 def extract_numbered(raw_docs: DataFrame, group: str, key: str, name_col: str = "name",
                      text_col: str = "raw_text", keep: Sequence[str] = ("archive",),
                      vocab: Sequence[str] = tx.SKILLS_VOCAB, min_chars: int = tx.MIN_TEXT_CHARS) -> DataFrame:
@@ -164,68 +179,3 @@ def resumes_from_table(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def skill_matches(resumes: DataFrame, key: str, skills_col: str = "Skills_List") -> DataFrame:
     """One row per (document, skill) found: the exploded vocabulary containment."""
     return resumes.select(F.col(key), F.explode(tx.split_skill_list(skills_col)).alias("skill"))
-
-
-MAX_VOCAB_ENTRIES = 1_000_000
-LITERAL_VOCAB_LIMIT = 512
-
-
-def vocabulary(vocab_df: DataFrame, col: str = "skill", max_entries: int = MAX_VOCAB_ENTRIES) -> list[str]:
-    """A vocabulary table → sorted distinct entries, after checking its size.
-
-    The vocabulary is a parameter of the scan (every task needs all of it),
-    so it is brought to the driver only behind an explicit bound.
-    """
-    distinct = vocab_df.select(F.col(col).alias("skill")).where(F.col("skill").isNotNull()).distinct()
-    n = distinct.count()
-    if n > max_entries:
-        raise ValueError(f"vocabulary has {n} entries, more than {max_entries}")
-    return sorted(r[0] for r in distinct.collect())
-
-
-def skills_with_vocabulary(docs: DataFrame, vocab: list[str], text_col: str = "raw_text",
-                           out_col: str = "skills", literal_limit: int = LITERAL_VOCAB_LIMIT) -> DataFrame:
-    """Add ``out_col`` = vocabulary entries contained in lower(text), code-point sorted.
-
-    Small vocabularies use the native ``contains`` filter (one pass per
-    entry).  Large ones use an Aho-Corasick automaton per task over the
-    JVM-lowered text: one pass over the text whatever the vocabulary size.
-    """
-    entries = sorted(set(vocab))
-    if len(entries) <= literal_limit:
-        lowered = docs.withColumn(LOWER_COL, F.lower(F.col(text_col)))
-        return lowered.withColumn(out_col, tx.extract_skills(text_col, entries, lowered=LOWER_COL)) \
-                      .drop(LOWER_COL)
-    return _aho_corasick_skills(docs, entries, text_col, out_col)
-
-
-def _aho_corasick_skills(docs: DataFrame, entries: list[str], text_col: str, out_col: str) -> DataFrame:
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(entries)
-    fields = docs.schema.fields + [T.StructField(out_col, T.ArrayType(T.StringType()), False)]
-    schema = T.StructType(fields)
-    lowered = docs.withColumn(LOWER_COL, F.lower(F.col(text_col)))
-
-    def run(batches):
-        import ahocorasick
-        automaton = ahocorasick.Automaton()
-        for word in shared.value:
-            if word:
-                automaton.add_word(word, word)
-        if len(automaton):
-            automaton.make_automaton()
-        for pdf in batches:
-            found = []
-            for text in pdf[LOWER_COL]:
-                hits = {w for _, w in automaton.iter(text)} if isinstance(text, str) and text and len(automaton) else set()
-                if "" in shared.value and isinstance(text, str):
-                    hits.add("")  # every text contains the empty entry
-                found.append(sorted(hits))
-            out = pdf.drop(columns=[LOWER_COL])
-            out[out_col] = pd.Series(found, index=pdf.index, dtype=object)
-            yield out
-
-    return lowered.mapInPandas(run, schema)

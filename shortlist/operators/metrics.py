@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,53 +161,59 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str,
     return agg.select(F.inline(F.array(*rows))).drop("row")
 
 
-def per_class_metrics(df: DataFrame, actual: str, predicted: str,
-                      labels: Sequence = LABELS) -> DataFrame:
-    """(label, precision, recall, f1, support); 0 where a ratio is undefined.
+def _class_counts(df: DataFrame, actual: str, predicted: str, labels: Sequence, weight: str | None) -> DataFrame:
+    """One row: per label hits, predicted and actual rows, then all hits and all rows, from one pass.
 
-    F1 is 2tp / (2tp + fp + fn), the count form of the harmonic mean.
+    With ``weight`` a row stands for that many rows.
     """
     a, p = F.col(actual).cast("string"), F.col(predicted).cast("string")
+
+    def count(cond: Column) -> Column:
+        return F.count_if(cond) if weight is None else F.coalesce(F.sum(F.when(cond, F.col(weight))), F.lit(0))
+
     aggs = []
     for i, x in enumerate(labels):
         lx = F.lit(str(x))
-        aggs += [F.count_if((a == lx) & (p == lx)).alias(f"tp_{i}"),
-                 F.count_if(p == lx).alias(f"pred_{i}"),
-                 F.count_if(a == lx).alias(f"true_{i}")]
-    agg = df.agg(*aggs)
+        aggs += [count((a == lx) & (p == lx)).alias(f"tp_{i}"), count(p == lx).alias(f"pred_{i}"), count(a == lx).alias(f"true_{i}")]
+    return df.agg(*aggs, count(a == p).alias("hits"), count((a == p).isNotNull()).alias("rows"))
+
+
+def _ratio(num: Column, den: Column) -> Column:
+    return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
+
+
+def _class_ratios(i: int) -> tuple[Column, Column, Column]:
+    """Precision, recall and F1 of label ``i``."""
+    tp, pred, true = F.col(f"tp_{i}"), F.col(f"pred_{i}"), F.col(f"true_{i}")
+    return _ratio(tp, pred), _ratio(tp, true), _ratio(2 * tp, true + pred)
 
-    def ratio(num: Column, den: Column) -> Column:
-        return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
+def per_class_metrics(df: DataFrame, actual: str, predicted: str,
+                      labels: Sequence = LABELS, weight: str | None = None) -> DataFrame:
+    """(label, precision, recall, f1, support); 0 where a ratio is undefined.
+
+    F1 is 2tp / (2tp + fp + fn), the count form of the harmonic mean.
+    """
     rows = []
     for i, x in enumerate(labels):
-        tp, pred, true = F.col(f"tp_{i}"), F.col(f"pred_{i}"), F.col(f"true_{i}")
-        rows.append(F.struct(
-            F.lit(i).alias("row"), F.lit(str(x)).alias("label"),
-            ratio(tp, pred).alias("precision"),
-            ratio(tp, true).alias("recall"),
-            ratio(2 * tp, true + pred).alias("f1"),
-            true.alias("support")))
-    return agg.select(F.inline(F.array(*rows))).drop("row")
+        precision, recall, f1 = _class_ratios(i)
+        rows.append(F.struct(F.lit(i).alias("row"), F.lit(str(x)).alias("label"), precision.alias("precision"),
+                             recall.alias("recall"), f1.alias("f1"), F.col(f"true_{i}").alias("support")))
+    return _class_counts(df, actual, predicted, labels, weight).select(F.inline(F.array(*rows))).drop("row")
 
 
 def classification_metrics(df: DataFrame, actual: str, predicted: str,
-                           labels: Sequence = LABELS) -> DataFrame:
+                           labels: Sequence = LABELS, weight: str | None = None) -> DataFrame:
     """One row: accuracy and macro precision/recall/F1 over the fixed labels
-    (absent labels count as 0), rounded to 4 decimals."""
-    per = per_class_metrics(df, actual, predicted, labels)
-    acc = df.agg(F.avg((F.col(actual).cast("string") == F.col(predicted).cast("string"))
-                       .cast("double")).alias("acc")).select("acc").scalar()
-    k = float(len(labels))
-    # Sum of a fixed number of rows; the order is fixed by the label list.
-    macro = per.agg(*[(F.sum(c) / F.lit(k)).alias(c) for c in ("precision", "recall", "f1")])
-    return macro.select(
-        round_half_even(F.coalesce(acc, F.lit(0.0)), METRIC_DECIMALS).alias("accuracy"),
-        round_half_even(F.col("precision"), METRIC_DECIMALS).alias("macro_precision"),
-        round_half_even(F.col("recall"), METRIC_DECIMALS).alias("macro_recall"),
-        round_half_even(F.col("f1"), METRIC_DECIMALS).alias("macro_f1"))
-
-
-def ranking_metrics(scored: DataFrame, actual: str = "Label", predicted: str = "Label") -> DataFrame:
+    (absent labels count as 0), rounded to 4 decimals; one pass over ``df``."""
+    ratios = [_class_ratios(i) for i in range(len(labels))]
+    names = ("macro_precision", "macro_recall", "macro_f1")
+    macro = [round_half_even(reduce(add, [r[j] for r in ratios]) / F.lit(float(len(labels))), METRIC_DECIMALS).alias(name)
+             for j, name in enumerate(names)]
+    return _class_counts(df, actual, predicted, labels, weight).select(
+        round_half_even(_ratio(F.col("hits"), F.col("rows")), METRIC_DECIMALS).alias("accuracy"), *macro)
+
+
+def ranking_metrics(scored: DataFrame, actual: str = "Label", predicted: str = "Label", weight: str | None = None) -> DataFrame:
     """The ranking's own metrics: thresholded label as pseudo-truth vs itself."""
-    return classification_metrics(scored, actual, predicted, LABELS)
+    return classification_metrics(scored, actual, predicted, LABELS, weight)

@@ -3,8 +3,9 @@
 Plan shape for one query (all lazy):
 
 * ``score_documents``: every document's text becomes sparse term counts in the
-  extraction pass; the encoder is fitted on them, the job description embedded
-  with it, and each row scored where it lies: no join, no document left out.
+  extraction pass (``terms.TermIndex``); dot products and norms are whole-number
+  sums over postings, grouped by document.  ``rank_index`` ranks a stored index
+  again and reads no text.
 * ``semantic_scores``, for vectors stored elsewhere: a narrow projection over the vector table (one DOUBLE
   per row leaves it, never the vector).
 * ``score``: resumes ⋈ semantic scores on the document key (a shuffle join
@@ -32,13 +33,15 @@ from pyspark.sql import functions as F
 from shortlist.functions import scoring as sc
 from shortlist.functions import text as tx
 from shortlist.functions.vectors import cosine_to
-from shortlist.operators.embed import DEFAULT_DIM, check_description, embed_corpus, embed_queries
+from shortlist.operators.embed import DEFAULT_DIM, check_description
 from shortlist.operators.ordinal import with_position
+from shortlist.operators.terms import KEY, TermIndex, transient_index
 from shortlist.schemas import RECORD_COLUMNS
 
 TIE_BREAK = ("Resume_ID", "Source_File")
 #: Columns that tell rows with the same Resume_ID and Source_File apart, where present.
-ROW_KEYS = ("archive", "doc_id", "idx")
+#: The last ones number stored rows, so that repeated rows differ too.
+ROW_KEYS = ("archive", "doc_id", "idx", *KEY, "_row")
 
 
 def semantic_scores(vectors: DataFrame, query: Sequence[float], key: str | Sequence[str] = "vec_id",
@@ -92,11 +95,7 @@ def with_semantic(resumes: DataFrame, descriptions: Sequence[str], names: Sequen
     """
     for text in descriptions:
         check_description(text)
-    counted, encoder = embed_corpus(resumes, "Resume_Text", dim)
-    queries = embed_queries(encoder, resumes.sparkSession, descriptions)
-    vectors = encoder.vectors(counted)
-    return vectors.select(*[c for c in vectors.columns if c != "embedding"],
-                          *[cosine_to("embedding", q).alias(name) for q, name in zip(queries, names)])
+    return transient_index(resumes, "Resume_Text", dim).semantic(descriptions, names)
 
 
 def score_documents(resumes: DataFrame, criteria: sc.Criteria, dim: int = DEFAULT_DIM) -> DataFrame:
@@ -109,6 +108,11 @@ def rank_documents(resumes: DataFrame, criteria: sc.Criteria, dim: int = DEFAULT
     return rank(with_semantic(resumes, [criteria.job_description], ["Semantic_Score"], dim), None, criteria, **options)
 
 
+def rank_index(index: TermIndex, criteria: sc.Criteria, **options) -> RankingResult:
+    """``rank`` by the job description over a stored index: no text is read."""
+    return rank(index.semantic([criteria.job_description], ["Semantic_Score"]), None, criteria, **options)
+
+
 def score_counts(scored: DataFrame) -> DataFrame:
     """(Final_Score, n): bounded by the number of distinct 4-decimal scores."""
     return scored.groupBy("Final_Score").agg(F.count(F.lit(1)).alias("n"))
@@ -118,8 +122,12 @@ def thresholds(scored: DataFrame, low_q: float = sc.LOW_QUANTILE,
                high_q: float = sc.HIGH_QUANTILE) -> DataFrame:
     """One row (low, high): exact linear-interpolated quantiles of Final_Score over
     all rows (eligible or not), rounded to 6 decimals."""
+    return thresholds_of(score_counts(scored), low_q, high_q)
+
+
+def thresholds_of(counts: DataFrame, low_q: float = sc.LOW_QUANTILE, high_q: float = sc.HIGH_QUANTILE) -> DataFrame:
+    """``thresholds`` from (Final_Score, n) pairs; a score's pairs may be spread over several rows."""
     q = F.percentile("Final_Score", F.array(F.lit(low_q), F.lit(high_q)), F.col("n"))
-    counts = score_counts(scored)
     return counts.agg(q.alias("q")).select(
         sc.round_half_even(F.col("q")[0], sc.THRESHOLD_DECIMALS).alias("low"),
         sc.round_half_even(F.col("q")[1], sc.THRESHOLD_DECIMALS).alias("high"))
@@ -171,8 +179,17 @@ def others_ordered(labelled: DataFrame, top_n: int) -> DataFrame:
 
 
 def with_rank_position(labelled: DataFrame, name: str = "pos") -> DataFrame:
-    """Add each row's place (from 1) in presentation order: eligible rows first, best score first."""
-    return with_position(labelled, F.desc("Eligible"), *ranking_order(labelled), name=name)
+    """Add each row's place (from 1) in presentation order: eligible rows first, best score first.
+
+    Where stored rows carry their number, only scores, ids and numbers are
+    sorted and stored; the wide rows meet their place in a join.
+    """
+    order = [F.desc("Eligible"), *ranking_order(labelled)]
+    number = ["_row"] if "_row" in labelled.columns else list(KEY) if set(KEY) <= set(labelled.columns) else []
+    if not number:
+        return with_position(labelled, *order, name=name)
+    slim = labelled.select("Eligible", "Final_Score", *tie_break(labelled))
+    return labelled.join(with_position(slim, *order, name=name).select(*number, name), number)
 
 
 def records(df: DataFrame) -> DataFrame:
@@ -180,10 +197,20 @@ def records(df: DataFrame) -> DataFrame:
     return df.select(*RECORD_COLUMNS)
 
 
+def reduction(scored: DataFrame) -> DataFrame:
+    """(Final_Score, Eligible, n): all that thresholds, summary and metrics need of the scored table."""
+    return scored.groupBy("Final_Score", "Eligible").agg(F.count(F.lit(1)).alias("n"))
+
+
 def summary(labelled: DataFrame, top_n: int) -> DataFrame:
     """One row (total, eligible, returned_top) from a single aggregate."""
-    agg = labelled.agg(F.count(F.lit(1)).alias("total"),
-                       F.count_if(F.col("Eligible")).alias("eligible"))
+    return summary_of(reduction(labelled), top_n)
+
+
+def summary_of(counts: DataFrame, top_n: int) -> DataFrame:
+    """``summary`` from the ``reduction``."""
+    agg = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+                     F.coalesce(F.sum(F.when(F.col("Eligible"), F.col("n"))), F.lit(0)).alias("eligible"))
     return agg.select("total", "eligible",
                       F.least(F.lit(int(top_n)).cast("long"), F.col("eligible")).alias("returned_top"))
 
@@ -219,6 +246,7 @@ class RankingResult:
     others: DataFrame
     summary: DataFrame
     criteria: sc.Criteria
+    counts: DataFrame
 
     def top_records(self) -> DataFrame:
         return records(self.top)
@@ -228,7 +256,7 @@ class RankingResult:
 
     def metrics(self) -> DataFrame:
         from shortlist.operators.metrics import ranking_metrics
-        return ranking_metrics(self.scored, "Label", "Label")
+        return ranking_metrics(with_labels(self.counts, self.thresholds), "Label", "Label", weight="n")
 
     def response(self) -> DataFrame:
         """One-row nested response: summary, thresholds, metrics and the top records."""
@@ -265,7 +293,9 @@ def rank(resumes: DataFrame, semantic: DataFrame | None, criteria: sc.Criteria,
     written once under the session's checkpoint folder and read back (or
     persisted when there is none), so extraction and the join run once and
     later filters cannot be pushed back into the extraction projection.
-    ``materialize=False`` keeps one lazy plan.
+    ``materialize=False`` keeps one lazy plan.  Stored rows are numbered, so the
+    top and the others hold every row once even where rows repeat; a lazy plan
+    tells repeated rows apart by the ``ROW_KEYS`` they carry only.
 
     ``require_rows=True`` raises ``ValueError`` for an empty input (one extra,
     short-circuiting job).  ``observation`` (a ``pyspark.sql.Observation``)
@@ -276,15 +306,21 @@ def rank(resumes: DataFrame, semantic: DataFrame | None, criteria: sc.Criteria,
     if observation is not None:
         scored = scored.observe(observation, F.count(F.lit(1)).alias("ranked_rows"))
     if materialize or materialize is None:
+        if "_doc" not in scored.columns:
+            scored = scored.withColumn("_row", F.monotonically_increasing_id())
         scored = materialize_if_possible(scored, "scored")
     if require_rows and scored.isEmpty():
         raise ValueError("Input DataFrame is empty.")
-    thr = thresholds(scored)
+    # At most some 30,000 rows whatever the corpus: read by every summary instead of the scored table.
+    counts = reduction(scored)
+    if materialize or materialize is None:
+        counts = materialize_if_possible(counts, "counts")
+    thr = thresholds_of(counts)
     labelled = with_labels(scored, thr)
     top = top_candidates(labelled, criteria.top_n)
     rest = others(labelled, criteria.top_n)
     return RankingResult(scored=labelled, thresholds=thr, top=top, others=rest,
-                         summary=summary(labelled, criteria.top_n), criteria=criteria)
+                         summary=summary_of(counts, criteria.top_n), criteria=criteria, counts=counts)
 
 
 def semantic_scores_many(vectors: DataFrame, queries: Sequence[Sequence[float]],
@@ -318,11 +354,13 @@ def rank_many(resumes: DataFrame, vectors: DataFrame,
 
 
 def rank_many_documents(resumes: DataFrame, criteria: Sequence[sc.Criteria], dim: int = DEFAULT_DIM) -> DataFrame:
-    """``rank_many`` by the criteria's job descriptions, over every row of ``resumes``."""
+    """``rank_many`` by the criteria's job descriptions, over every row of ``resumes`` (``criteria.rank_table``)."""
+    from shortlist.operators.criteria import criteria_table, rank_table
     if not criteria:
         raise ValueError("at least one query is needed")
-    return _rank_joined(with_semantic(resumes, [c.job_description for c in criteria],
-                                      [f"sem_{i}" for i in range(len(criteria))], dim), criteria)
+    for c in criteria:
+        check_description(c.job_description)
+    return rank_table(transient_index(resumes, "Resume_Text", dim), criteria_table(resumes.sparkSession, criteria))
 
 
 def _rank_joined(joined: DataFrame, criteria: Sequence[sc.Criteria]) -> DataFrame:

@@ -17,11 +17,14 @@ from shortlist.functions.vectors import l2_normalize
 from shortlist.operators import metrics as mt
 from shortlist.operators import rank as rk
 from shortlist.operators.embed import cache_misses, embed_hashed
-from shortlist.operators.extract import extract_numbered, resumes_from_table, skill_matches, spread
+from shortlist.operators.extract import extract_numbered, extract_resumes, resumes_from_table, spread
 from shortlist.operators.ordinal import ordinal_within
+from shortlist.operators.terms import open_index, transient_index, write_batch
+from shortlist.operators.criteria import rank_table
+from shortlist.operators.vocabulary import skills_by_vocabulary, vocabulary_matches
 from shortlist.plans import fixtures as fx
 from shortlist.schemas import RECORD_COLUMNS
-from shortlist.session import materialize_if_possible
+from shortlist.session import materialize_if_possible, new_path
 from shortlist.sources.extractors import html_to_text
 
 # The UI defaults of the reference: top 5, at least 2 years, python mandatory.
@@ -103,7 +106,16 @@ def q_extract_skills(spark, sf):
 
 
 def q_skills_theta_join(spark, sf):
-    return skill_matches(resumes(spark, sf), "doc_id")
+    """Every (document, vocabulary entry) with the entry in the text, the vocabulary as a table."""
+    entries = spark.createDataFrame([(s,) for s in tx.SKILLS_VOCAB], "skill string")
+    long = fx.resumes_raw(spark, sf).where(tx.long_enough("raw_text"))
+    return vocabulary_matches(spread(long), entries, ["doc_id"])
+
+
+def q_skills_vocabulary_table(spark, sf):
+    """The same for a vocabulary taken from a given table."""
+    found = skills_by_vocabulary(spread(fx.documents(spark, sf).select("doc_id", "text")), fx.vocabulary(spark, sf), ["doc_id"], "text")
+    return found.select("doc_id", F.size("skills").cast("bigint").alias("n_skills"), "Skills_List")
 
 
 def q_extract_fields(spark, sf):
@@ -233,6 +245,24 @@ def q_summary(spark, sf):
     return ranking(spark, sf).summary
 
 
+def q_display_text(spark, sf):
+    """Scores as percentages and snake-case names as titles."""
+    from shortlist.functions.scoring import percent_text, title_text
+    return labelled(spark, sf).select(
+        "doc_id", percent_text("Semantic_Score").alias("percent"),
+        title_text(F.concat(F.lower("Label"), F.lit("_match"))).alias("title"))
+
+
+def q_row_counters(spark, sf):
+    """How many documents came in, passed the length gate and were ranked, gathered by the jobs themselves."""
+    from pyspark.sql import Observation
+    members, ranked = Observation("members"), Observation("ranked")
+    raw = fx.resumes_raw(spark, sf).select(F.col("doc_id").alias("idx"), F.col("source").alias("name"), "raw_text", F.lit("a").alias("archive"))
+    rk.rank_documents(extract_resumes(raw, observation=members), CRITERIA, observation=ranked)
+    return spark.createDataFrame([(members.get["members"], members.get["extracted"], ranked.get["ranked_rows"])],
+                                 "members bigint, extracted bigint, ranked_rows bigint")
+
+
 def q_rank_candidates(spark, sf):
     """The whole ranking response flattened into one row."""
     result = ranking(spark, sf)
@@ -244,8 +274,18 @@ def q_rank_candidates(spark, sf):
         F.array_join(F.transform("top_candidates", lambda r: r["Resume_ID"]), ",").alias("top_ids"))
 
 
+def stored_index(spark: SparkSession, sf: str, batches: int = 2):
+    """A term index of the documents, written in batches under the checkpoint folder and opened again."""
+    path = new_path(spark, "index")
+    res = resumes(spark, sf)
+    for b in range(batches):
+        write_batch(res.where(F.col("doc_id") % batches == b), path, b)
+    return open_index(spark, path)
+
+
 def q_rerank(spark, sf):
-    return ranking(spark, sf, RERANK_CRITERIA).top_records()
+    """Another job description over a stored index: the ranking reads no text."""
+    return rk.rank_index(stored_index(spark, sf), RERANK_CRITERIA).top_records()
 
 
 def q_rank_stored_vectors(spark, sf):
@@ -257,6 +297,11 @@ def q_topn_per_query(spark, sf):
     return rk.rank_many_documents(resumes(spark, sf), [crit for crit, _ in MANY_QUERIES])
 
 
+def q_topn_criteria_table(spark, sf):
+    """Top rows of every query of a criteria table taken from a given table."""
+    return rank_table(transient_index(resumes(spark, sf)), fx.criteria(spark, sf))
+
+
 def q_topn_stored_vectors(spark, sf):
     queries = [(crit, fx.query_vector(spark, sf, vid)) for crit, vid in MANY_QUERIES]
     return rk.rank_many(resumes(spark, sf), fx.embeddings(spark, sf), queries)

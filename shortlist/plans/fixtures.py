@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RAW_TEXT_SQL = """text || chr(10) || 'Contact: User' || CAST(doc_id AS STRING) || '@Example.com | +1 (415) 555-'
   || lpad(CAST(doc_id % 10000 AS STRING), 4, '0')
@@ -27,6 +28,16 @@ RAW_TEXT_SQL = """text || chr(10) || 'Contact: User' || CAST(doc_id AS STRING) |
 
 RESUMES_RAW_SQL = f"SELECT doc_id, source, {RAW_TEXT_SQL} AS raw_text FROM documents"
 
+# Criteria drawn from the benchmark items: their text as job description, the rest by item number.
+CRITERIA_SQL = """SELECT item_id AS jd_id, text AS job_description, CAST(1 + item_id % 7 AS INTEGER) AS top_n,
+  CAST(item_id % 9 AS INTEGER) AS min_exp,
+  CASE item_id % 5 WHEN 0 THEN '!Python, sql ,machine learning' WHEN 1 THEN 'rust,! c++ ' WHEN 2 THEN '!sql,!python,spark'
+                   WHEN 3 THEN 'React,react,linux' END AS skill_text
+  FROM benchmark"""
+
+# Vocabulary drawn from the benchmark items: their words and pairs of neighbouring words.
+VOCABULARY_WORD = r"[^ \n]+"
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -48,6 +59,22 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
+def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A criteria table with one row per benchmark item."""
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    return spark.sql(CRITERIA_SQL).withColumn("skills", F.split("skill_text", ",")).drop("skill_text")
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary table (skill): lower-cased words of the benchmark items and pairs of neighbours."""
+    words = table(spark, sf_dir, "benchmark").select(
+        F.regexp_extract_all(F.lower("text"), F.lit(VOCABULARY_WORD), F.lit(0)).alias("w"))
+    at = words.select("w", F.posexplode("w").alias("i", "word"))
+    follower = F.get("w", F.col("i") + 1)
+    return at.select("word", follower.alias("next")).select(
+        F.explode(F.array("word", F.concat_ws(" ", "word", "next"))).alias("skill")).distinct()
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     """One stored vector used as the job-description embedding (a bounded 1-row fetch)."""
     row = embeddings(spark, sf_dir).where(f"vec_id = {int(vec_id)}").select("embedding").first()

@@ -11,6 +11,7 @@ them as DECIMAL.
 from __future__ import annotations
 
 import math
+from html.entities import html5
 
 from shortlist.functions import scoring as sc
 from shortlist.functions import text as tx
@@ -18,8 +19,9 @@ from shortlist.functions.scoring import Criteria
 from shortlist.operators import metrics as mt
 from shortlist.operators import embed as em
 from shortlist.plans import catalog as cat
-from shortlist.plans.fixtures import RAW_TEXT_SQL
-from shortlist.sources.extractors import HTML_COMMENT, HTML_DROP_BLOCKS, HTML_ENTITIES, HTML_TAG
+from shortlist.plans.fixtures import CRITERIA_SQL, RAW_TEXT_SQL, VOCABULARY_WORD
+from shortlist.sources import extractors as ex
+from shortlist.sources.extractors import HTML_COMMENT, HTML_DROP_BLOCKS, HTML_TAG
 
 WS = tx.WS
 
@@ -299,14 +301,37 @@ SELECT {round_even(acc, mt.METRIC_DECIMALS)} AS accuracy,
        {round_even(f"({by_row['f1']}) / {k}", mt.METRIC_DECIMALS)} AS macro_f1"""
 
 
-def html_text(e: str) -> str:
-    t = f"regexp_replace({e}, {lit(HTML_DROP_BLOCKS)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {lit(HTML_COMMENT)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {lit(HTML_TAG)}, ' ', 'g')"
-    for entity, char in HTML_ENTITIES:
-        t = f"replace({t}, {lit(entity)}, {lit(char)})"
-    t = f"regexp_replace({t}, {lit(f'[{WS}]+')}, ' ', 'g')"
-    return f"trim({t})"
+def chars(s: str) -> str:
+    """A string as DuckDB code points, so control characters need no quoting."""
+    return "(" + " || ".join(f"chr({ord(c)})" for c in s) + ")"
+
+
+def unescape(e: str) -> str:
+    """Character references of ``e`` replaced; ``names`` is the table of names."""
+    number = f"regexp_extract(p, {lit(ex.REFERENCE_NUMBER)}, 0)"
+    code = (f"(CASE WHEN p[2] IN ('x', 'X') THEN CASE WHEN length(regexp_extract(p, {lit(ex.REFERENCE_HEX)}, 1)) <= 6 "
+            f"THEN CAST('0x0' || regexp_extract(p, {lit(ex.REFERENCE_HEX)}, 1) AS BIGINT) ELSE {ex.LAST_CODE + 1} END "
+            f"WHEN length(regexp_extract(p, {lit(ex.REFERENCE_DECIMAL)}, 1)) <= 7 "
+            f"THEN CAST('0' || regexp_extract(p, {lit(ex.REFERENCE_DECIMAL)}, 1) AS BIGINT) ELSE {ex.LAST_CODE + 1} END)")
+    nothing = " OR ".join([f"{code} & 65534 = 65534", *[f"{code} BETWEEN {a} AND {b}" for a, b in ex.NO_CHARACTER]])
+    char = (f"CASE WHEN {code} = 0 OR {code} > {ex.LAST_CODE} OR {code} BETWEEN 55296 AND 57343 THEN chr({ord(ex.REPLACEMENT)}) "
+            f"WHEN {code} BETWEEN 128 AND 159 THEN substr({chars(ex.WINDOWS_80)}, ({code} - 127)::INTEGER, 1) "
+            f"WHEN {nothing} THEN '' ELSE chr({code}::INTEGER) END")
+    name, legacy = (f"regexp_extract(p, {lit(x)}, 0)" for x in (ex.REFERENCE_NAME, ex.REFERENCE_LEGACY))
+    piece = (f"CASE WHEN {number} <> '' THEN {char} || substr(p, length({number}) + 1) "
+             f"WHEN names[{name}] IS NOT NULL THEN names[{name}] || substr(p, length({name}) + 1) "
+             f"WHEN {legacy} <> '' THEN names[{legacy}] || substr(p, length({legacy}) + 1) ELSE '&' || p END")
+    return (f"(CASE WHEN contains({e}, '&') THEN array_to_string(list_transform(string_split({e}, '&'), "
+            f"lambda p, i: CASE WHEN i = 1 THEN p ELSE {piece} END), '') ELSE {e} END)")
+
+
+def html_text_sql() -> str:
+    stripped = f"regexp_replace(regexp_replace(regexp_replace(html, {lit(HTML_DROP_BLOCKS)}, ' ', 'g'), {lit(HTML_COMMENT)}, ' ', 'g'), {lit(HTML_TAG)}, ' ', 'g')"
+    table = ", ".join(f"({lit(n)}, {chars(v)})" for n, v in html5.items())
+    ws = lit(f"[{WS}]+")
+    return f"""WITH t AS (SELECT map(list(n), list(v)) AS names FROM (VALUES {table}) v(n, v)),
+s AS (SELECT page_id, {stripped} AS html FROM pages)
+SELECT page_id, trim(regexp_replace({unescape('html')}, {ws}, ' ', 'g')) AS text FROM s, t"""
 
 
 def _quality() -> str:
@@ -334,6 +359,46 @@ def _many_sql(stored: bool) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(selects)
 
 
+def _criteria_table_sql() -> str:
+    """Every document against every criteria row, by joins."""
+    items = f"list_transform(string_split(skill_text, ','), lambda x: {strip('x')})"
+    required = f"list_transform({items}, lambda s: CASE WHEN starts_with(s, '!') THEN {strip('substr(s, 2)')} ELSE s END)"
+    mandatory = f"list_transform(list_filter({items}, lambda s: starts_with(s, '!')), lambda s: {strip('substr(s, 2)')})"
+    rcand = f"list_transform(string_split(Skills_List, ','), lambda x: lower({strip('x')}))"
+    matched = f"list_filter(requested, lambda s: list_contains({rcand}, lower(s)))"
+    parts = [f"CASE WHEN Semantic_Score >= {dbl(sc.STRONG_SEMANTIC)} THEN {lit(sc.STRONG_PHRASE)} "
+             f"WHEN Semantic_Score >= {dbl(sc.MODERATE_SEMANTIC)} THEN {lit(sc.MODERATE_PHRASE)} END",
+             f"CASE WHEN Exp_Years > 0 THEN CAST(Exp_Years AS VARCHAR) || {lit(sc.EXPERIENCE_PHRASE.replace('{}', ''))} END",
+             f"CASE WHEN len({matched}) > 0 THEN {lit(sc.SKILLS_PHRASE.replace('{}', ''))} || "
+             f"array_to_string(({matched})[1:{sc.REASON_MAX_SKILLS}], ', ') END"]
+    arr = f"list_filter([{', '.join(parts)}], lambda p: p IS NOT NULL)"
+    why = (f"CASE WHEN len({arr}) > 0 THEN {lit(sc.REASON_PREFIX)} || array_to_string({arr}, {lit(sc.REASON_JOIN)}) "
+           f"ELSE {lit(sc.BASELINE_REASON)} END")
+    return f"""WITH {RAW},
+{RES},
+{vector_ctes()},
+crit AS (SELECT *, list_distinct(list_transform(requested, lambda s: lower(s))) AS required,
+                list_distinct(list_transform(must, lambda s: lower(s))) AS mandatory
+         FROM (SELECT *, coalesce({required}, []) AS requested, coalesce({mandatory}, []) AS must FROM ({CRITERIA_SQL}))),
+qv AS (SELECT jd_id, b, c * coalesce(w, length(bin(n))) AS y FROM ({_buckets('job_description', 'jd_id', 'crit')}) LEFT JOIN wgt USING (b), n_docs),
+qn AS (SELECT jd_id, CAST(sum(y * y) AS DOUBLE) AS q FROM qv GROUP BY jd_id),
+dots AS (SELECT doc_id, jd_id, CAST(sum(x * y) AS DOUBLE) AS d FROM dv JOIN qv USING (b) GROUP BY ALL),
+p1 AS (SELECT res.* EXCLUDE (Resume_Text), crit.*, {cand()} AS cand, coalesce(d / sqrt(s * q), 0e0) AS Semantic_Score
+       FROM res CROSS JOIN crit LEFT JOIN nrm USING (doc_id) LEFT JOIN qn USING (jd_id) LEFT JOIN dots USING (doc_id, jd_id)),
+p2 AS (SELECT *, len(list_filter(mandatory, lambda m: NOT list_contains(cand, m))) = 0 AS ok,
+              CASE WHEN Exp_Years < min_exp THEN 0e0 ELSE least(1e0, (Exp_Years - min_exp + 1) / 10e0) END AS Exp_Score FROM p1),
+p3 AS (SELECT *, CASE WHEN NOT ok THEN 0e0 WHEN len(required) = 0 THEN 1e0
+                      ELSE len(list_filter(required, lambda r: list_contains(cand, r))) / CAST(len(required) AS DOUBLE) END AS Skill_Score
+       FROM p2),
+p4 AS (SELECT *, {final()} AS Final_Score, Exp_Years >= min_exp AND ok AS Eligible FROM p3),
+cut AS (SELECT jd_id, {round_even(f'quantile_cont(Final_Score, {sc.LOW_QUANTILE})', sc.THRESHOLD_DECIMALS)} AS low,
+               {round_even(f'quantile_cont(Final_Score, {sc.HIGH_QUANTILE})', sc.THRESHOLD_DECIMALS)} AS high FROM p4 GROUP BY jd_id),
+won AS (SELECT *, CAST(row_number() OVER (PARTITION BY jd_id ORDER BY {ORDER}) AS INTEGER) AS rank FROM p4 WHERE Eligible),
+named AS (SELECT *, {why} AS Reason, CASE WHEN Final_Score >= high THEN 'High' WHEN Final_Score >= low THEN 'Medium' ELSE 'Low' END AS Label
+          FROM won JOIN cut USING (jd_id) WHERE rank <= top_n)
+SELECT jd_id, rank, {RECORDS} FROM named"""
+
+
 def build() -> dict[str, str]:
     S = scored_ctes()
     n = cat.CRITERIA.top_n
@@ -349,6 +414,12 @@ def build() -> dict[str, str]:
     q["skills_theta_join"] = (f"WITH {RAW}, vocab AS (SELECT unnest({str_list(tx.sorted_vocab())}) AS skill) "
                               f"SELECT raw.doc_id, vocab.skill FROM raw JOIN vocab "
                               f"ON contains(lower(raw.raw_text), vocab.skill) WHERE {long_enough('raw.raw_text')}")
+    q["skills_vocabulary_table"] = f"""WITH w AS (SELECT regexp_extract_all(lower(text), {lit(VOCABULARY_WORD)}) AS w FROM benchmark),
+vocab AS (SELECT DISTINCT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS skill FROM w),
+found AS (SELECT doc_id, list(skill ORDER BY skill) AS skills
+          FROM documents JOIN vocab ON contains(lower(text), skill) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(skills), 0) AS n_skills, coalesce(array_to_string(skills, ', '), '') AS Skills_List
+FROM documents d LEFT JOIN found USING (doc_id)"""
     q["extract_fields"] = (f"WITH {RAW},\n{RES}\nSELECT doc_id, Resume_ID, Source_File, Resume_Text, Email, "
                            f"Phone, Exp_Years, Skills_List FROM res")
     q["resume_table"] = f"""WITH raw0 AS (SELECT doc_id, source AS archive, {RAW_TEXT_SQL} AS raw_text,
@@ -364,7 +435,7 @@ FROM (SELECT *, {phone_candidate('raw_text')} AS _pc FROM raw0) WHERE {long_enou
     q["entry_ordinal"] = ("SELECT source, doc_id, CAST(idx AS BIGINT) AS idx, printf('R%04d', idx) AS Resume_ID "
                           "FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) "
                           "AS idx FROM documents)")
-    q["html_text"] = f"SELECT page_id, {html_text('html')} AS text FROM pages"
+    q["html_text"] = html_text_sql()
     items = (f"list_filter(list_transform(string_split("
              f"CASE WHEN doc_id % 2 = 0 THEN '!' ELSE '' END || regexp_extract(raw_text, {lit(r'Skills: ([^\n]*)')}, 1), ','), "
              f"lambda x: {strip('x')}), lambda x: x <> '')")
@@ -412,6 +483,10 @@ FROM thr, m"""
     r = cat.RERANK_CRITERIA
     q["rerank"] = f"{scored_ctes(r)},\n{top_cte(r.top_n)}\nSELECT {RECORDS} FROM top"
     q["rank_stored_vectors"] = f"{scored_ctes(c, cat.QUERY_VECTOR_ID)}\nSELECT {RECORDS} FROM lab"
+    q["topn_criteria_table"] = _criteria_table_sql()
+    q["display_text"] = (f"{S}\nSELECT doc_id, printf('%.1f%%', Semantic_Score * 100e0) AS percent, Label || ' Match' AS title FROM lab")
+    q["row_counters"] = (f"WITH {RAW} SELECT count(*) AS members, count_if({long_enough('raw_text')}) AS extracted, "
+                         f"count_if({long_enough('raw_text')}) AS ranked_rows FROM raw")
     q["topn_per_query"] = _many_sql(stored=False)
     q["topn_stored_vectors"] = _many_sql(stored=True)
     q["embed_documents"] = f"""WITH {RAW},

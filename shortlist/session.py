@@ -56,6 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the session's shared checkpoint folder."""
+    base = checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("spark.checkpoint.dir is not set: no shared folder to write to")
+    return os.path.join(base, f"shortlist-{name}-{uuid.uuid4().hex}")
+
+
 def materialize_if_possible(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once when the session names a shared checkpoint folder.
 
@@ -78,9 +86,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     filters into the scan.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set; cannot materialize")
-    path = os.path.join(base, f"shortlist-{name}-{uuid.uuid4().hex}")
+    path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

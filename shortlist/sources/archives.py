@@ -4,10 +4,11 @@ Two ways in:
 
 * ``list_members`` + ``read_members`` (files on shared storage): ``binaryFile``
   lists the archives without reading them (the content column is pruned),
-  one small task per archive reads only the ZIP central directory and emits
-  (archive, idx, name); chunks of consecutive members are then spread over
-  tasks, which keep one archive open at a time, so one huge archive is
-  unpacked by many tasks and never has to fit in one row.
+  one small task per archive reads the ZIP central directory, once, and emits
+  each member's name and place; chunks of consecutive members, cut by number
+  and bytes, are then spread over tasks, which read a member's own bytes at
+  its place and never the directory again.  So one huge archive is unpacked
+  by many tasks and never has to fit in one row.
 * ``archive_entries`` (bytes already in a DataFrame, e.g. an upload or a
   ``binaryFile`` scan of small archives): members are unpacked from the
   content column.
@@ -19,8 +20,11 @@ that cannot be read gets an ``error`` instead of failing the job.
 
 from __future__ import annotations
 
+import bz2
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -32,10 +36,19 @@ from shortlist.schemas import ENTRY_SCHEMA
 
 #: Consecutive members of an archive that one task reads together.
 CHUNK_MEMBERS = 256
+#: Packed bytes of consecutive members that one task reads together, about.
+CHUNK_BYTES = 32 << 20
 #: Bytes or characters of member content gathered before a batch leaves the task.
 BATCH_SIZE = 4 << 20
 
-MEMBER_LIST_SCHEMA = "archive string, idx bigint, name string, error string"
+#: place: start of the member's local header; packed: its packed bytes; before: those of the members before it.
+MEMBER_COLUMNS = ("archive", "idx", "name", "error", "place", "packed", "method", "flags", "crc", "before")
+MEMBER_LIST_SCHEMA = ("archive string, idx bigint, name string, error string, place bigint, packed bigint, "
+                      "method int, flags int, crc bigint, before bigint")
+#: Fixed values of the ZIP format: signature and size of a local header, where it tells the sizes of name and
+#: extra field, and the flag of encryption.
+LOCAL_HEADER, LOCAL_HEADER_SIZE, LOCAL_SIZES_AT = b"PK\x03\x04", 30, 26
+ENCRYPTED = 1
 
 
 def selected(name: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS,
@@ -75,17 +88,51 @@ def _open_path(path: str):
     return pafs.LocalFileSystem().open_input_file(path)
 
 
+def _failed(archive: str, exc: Exception) -> tuple:
+    """One error row for an unreadable archive; the job goes on."""
+    return (archive, 0, "", f"{type(exc).__name__}: {exc}", None, None, None, None, None, 0)
+
+
 def _list_zip(archive: str, source, extensions: Sequence[str]) -> list[tuple]:
     try:
         with zipfile.ZipFile(source) as zf:
-            names = [n for n in zf.namelist() if selected(n, extensions)]
-        return [(archive, i, n, None) for i, n in enumerate(names, start=1)]
-    except Exception as exc:  # unreadable archive: one error row, the job goes on
-        return [(archive, 0, "", f"{type(exc).__name__}: {exc}")]
+            found = [m for m in zf.infolist() if selected(m.filename, extensions)]
+    except Exception as exc:
+        return [_failed(archive, exc)]
+    out, before = [], 0
+    for i, m in enumerate(found, start=1):
+        out.append((archive, i, m.filename, None, m.header_offset, m.compress_size, m.compress_type, m.flag_bits, m.CRC, before))
+        before += m.compress_size
+    return out
+
+
+def _unpacked(data: bytes, method: int) -> bytes:
+    if method == zipfile.ZIP_STORED:
+        return data
+    if method == zipfile.ZIP_DEFLATED:
+        return zlib.decompress(data, -zlib.MAX_WBITS)
+    if method == zipfile.ZIP_BZIP2:
+        return bz2.decompress(data)
+    raise NotImplementedError(f"compression method {method}")
+
+
+def read_member(archive, place: int, packed: int, method: int, flags: int, crc: int) -> bytes:
+    """A member's bytes from an open archive file, by two ranged reads."""
+    if flags & ENCRYPTED:
+        raise RuntimeError("the member is encrypted")
+    archive.seek(place)
+    head = archive.read(LOCAL_HEADER_SIZE)
+    if head[:len(LOCAL_HEADER)] != LOCAL_HEADER or len(head) < LOCAL_HEADER_SIZE:
+        raise zipfile.BadZipFile("no local header at the member's place")
+    archive.seek(place + LOCAL_HEADER_SIZE + sum(struct.unpack_from("<HH", head, LOCAL_SIZES_AT)))
+    data = _unpacked(archive.read(packed), method)
+    if zlib.crc32(data) != crc:
+        raise zipfile.BadZipFile("bad CRC-32")
+    return data
 
 
 def list_members(archives: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -> DataFrame:
-    """(archive, idx, name, error) for every selected member, reading only ZIP directories."""
+    """Name and place of every selected member (``MEMBER_COLUMNS``), reading each ZIP directory once."""
     exts = tuple(extensions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,8 +143,9 @@ def list_members(archives: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENS
                     with _open_path(path) as fh:
                         rows.extend(_list_zip(path, fh, exts))
                 except OSError as exc:
-                    rows.append((path, 0, "", f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(rows, columns=["archive", "idx", "name", "error"])
+                    rows.append(_failed(path, exc))
+            frame = pd.DataFrame(rows, columns=list(MEMBER_COLUMNS))
+            yield frame.astype({c: "Int64" for c in MEMBER_COLUMNS[4:]})
 
     return archives.select("path").mapInPandas(run, MEMBER_LIST_SCHEMA)
 
@@ -119,8 +167,10 @@ def read_members(members: DataFrame, extractor=None, partitions: int | None = No
                  chunk: int = CHUNK_MEMBERS) -> DataFrame:
     """Spread chunks of members over tasks, then read and decode each member.
 
-    Listed members of an archive are consecutive, and stay so within a task,
-    which therefore opens an archive about once per chunk.
+    ``members`` is what ``list_members`` gives.  Consecutive members of an
+    archive stay in one task up to ``chunk`` of them or ``CHUNK_BYTES`` packed
+    bytes; the task opens the archive file about once per chunk and reads the
+    members' own bytes only.
     Returns (archive, idx, name, raw_text, error).  ``extractor`` maps member
     bytes to text (default: UTF-8 text, HTML stripped to text); a failure gives
     raw_text '' and an error message, and errors of the listing are passed on.
@@ -128,39 +178,38 @@ def read_members(members: DataFrame, extractor=None, partitions: int | None = No
     from shortlist.sources.extractors import default_extractor
     extract = extractor or default_extractor
     n = partitions or int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = members.repartition(n, F.col("archive"), F.floor((F.col("idx") - 1) / F.lit(chunk)))
+    spread = members.repartition(n, F.col("archive"), F.floor((F.col("idx") - 1) / F.lit(chunk)),
+                                 F.floor(F.col("before") / F.lit(CHUNK_BYTES)))
     columns = ["archive", "idx", "name", "raw_text", "error"]
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        opened, zf = None, None
+        opened, fh = None, None
         try:
             for pdf in batches:
-                for archive, idx, name, known in zip(pdf["archive"], pdf["idx"], pdf["name"], pdf["error"]):
+                for archive, idx, name, known, *place, _before in pdf.itertuples(index=False):
                     if isinstance(known, str):   # an archive or member that could not be listed stays an error
                         yield archive, idx, name, "", known
                         continue
                     try:
                         if archive != opened:
-                            if zf is not None:
-                                zf.close()
-                            opened, zf = None, None
-                            zf = zipfile.ZipFile(_open_path(archive))
+                            if fh is not None:
+                                fh.close()
+                            opened, fh = None, None
+                            fh = _open_path(archive)
                             opened = archive
-                        with zf.open(name) as f:
-                            text = extract(name, f.read())
+                        text = extract(name, read_member(fh, *map(int, place)))
                     except Exception as exc:
                         yield archive, idx, name, "", f"{type(exc).__name__}: {exc}"
                     else:
                         yield archive, idx, name, text, None
         finally:
-            if zf is not None:
-                zf.close()
+            if fh is not None:
+                fh.close()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _batches(texts(batches), columns, 3)
 
-    error = F.col("error") if "error" in members.columns else F.lit(None).cast("string").alias("error")
-    return spread.select("archive", "idx", "name", error).mapInPandas(
+    return spread.select(*MEMBER_COLUMNS).mapInPandas(
         run, "archive string, idx bigint, name string, raw_text string, error string")
 
 

@@ -173,3 +173,144 @@ def test_a_repeated_batch_replaces_its_own_rows(spark, scratch):
         handle(batch, batch_id)
     assert spark.read.parquet(table).groupBy("ingest_batch").count().count() == 2
     assert spark.read.parquet(table).count() == 6
+
+
+def test_directories_are_read_once_and_members_by_their_place(spark, scratch):
+    """Members of every method and place; after the listing no ZIP directory is opened."""
+    import random
+    rng = random.Random(3)
+    folder = os.path.join(scratch, "in")
+    os.makedirs(folder)
+    want = {}
+    for a, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2)):
+        with open(os.path.join(folder, f"a{a}.zip"), "wb") as f:
+            f.write(b"junk before the archive" * a)
+            with zipfile.ZipFile(f, "a" if a else "w", method) as zf:
+                for i in range(30):
+                    text = LONG * rng.randrange(1, 40) + str(i)
+                    zf.writestr(f"dir{i % 3}/é{i}.pdf", text)
+                    want[f"a{a}.zip", i + 1] = (f"dir{i % 3}/é{i}.pdf", text)
+    members = ar.list_members(ar.read_archives(spark, folder))
+    rows = spark.createDataFrame(members.collect(), ar.MEMBER_LIST_SCHEMA)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(name, data):
+        import zipfile as z
+        if not hasattr(z.ZipFile, "_counted"):
+            opened = z.ZipFile.__init__
+            def count(self, *args, **kwargs):
+                seen.add(1)
+                opened(self, *args, **kwargs)
+            z.ZipFile.__init__, z.ZipFile._counted = count, True
+        return data.decode()
+    got = ar.read_members(rows, extractor=counting, partitions=4, chunk=7).collect()
+    assert {(r["archive"].rsplit("/", 1)[-1], r["idx"]): (r["name"], r["raw_text"]) for r in got} == want
+    assert seen.value == 0 and not [r for r in got if r["error"]]
+
+
+def test_damaged_members_are_errors_of_their_own(spark, scratch):
+    folder = os.path.join(scratch, "in")
+    os.makedirs(folder)
+    data = bytearray(make_zip([("a.pdf", LONG), ("b.pdf", LONG + "b"), ("c.pdf", LONG + "c")]))
+    second = data.index(LONG.encode() + b"b")
+    data[data.index(b"PK\x03\x04", second)] ^= 1             # no header at the third member's place
+    data[second + 5] ^= 1                                     # a wrong byte in the second one
+    with open(os.path.join(folder, "a.zip"), "wb") as f:
+        f.write(data)
+    got = ar.read_members(ar.list_members(ar.read_archives(spark, folder)), partitions=2).orderBy("idx").collect()
+    assert [(r["idx"], bool(r["error"])) for r in got] == [(1, False), (2, True), (3, True)] and got[0]["raw_text"] == LONG
+    assert "CRC" in got[1]["error"] and "header" in got[2]["error"]
+
+
+def test_chunks_are_cut_by_bytes(spark, scratch, monkeypatch):
+    folder = os.path.join(scratch, "in")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "a.zip"), "wb") as f:
+        f.write(make_zip([(f"p{i}.pdf", LONG * 10) for i in range(40)]))
+    monkeypatch.setattr(ar, "CHUNK_BYTES", 4 * len(LONG * 10))
+    docs = ar.read_members(ar.list_members(ar.read_archives(spark, folder)), partitions=8)
+    got = docs.withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == 40 and len({r["part"] for r in got}) > 3
+
+
+def test_resumes_and_errors_from_one_pass(spark, scratch):
+    from shortlist.streaming.ingest import start_ingest_with_errors
+    src, out, bad, ck, log = (os.path.join(scratch, d) for d in ("drop", "resumes", "errors", "ck", "log"))
+    os.makedirs(src)
+    os.makedirs(log)
+    for name, data in (("good.zip", make_zip([("c.pdf", LONG), ("d.pdf", LONG + "d")])), ("bad.zip", b"no archive")):
+        with open(os.path.join(src, name), "wb") as f:
+            f.write(data)
+
+    def logged(name, data):
+        import tempfile
+        tempfile.mkstemp(prefix=name, dir=log)
+        return data.decode()
+    start_ingest_with_errors(archive_stream(spark, src), out, bad, ck, extractor=logged, partitions=2).awaitTermination(180)
+    assert sorted(r["Source_File"] for r in spark.read.parquet(out).collect()) == ["c.pdf", "d.pdf"]
+    assert [r["archive"].rsplit("/", 1)[-1] for r in spark.read.parquet(bad).collect()] == ["bad.zip"]
+    assert len(os.listdir(log)) == 2      # each member was decoded once for both outputs
+
+
+def test_merged_ranking_state_equals_ranking_everything(spark, scratch):
+    """A batch reads itself and the state; thresholds, labels and top are those of the whole table."""
+    from shortlist.functions.scoring import Criteria
+    from shortlist.operators.extract import extract_resumes
+    from shortlist.operators.rank import rank
+    from shortlist.streaming.ingest import refresh_ranking
+    table, top = (os.path.join(scratch, d) for d in ("table", "top"))
+    crit = Criteria(top_n=4, min_exp=2, skills=("!python",))
+    asked = []
+
+    def semantic_for(r):
+        asked.append(r.count())
+        return r.select("archive", "Resume_ID", (F.col("Exp_Years") / 40.0).alias("Semantic_Score"))
+    handle = refresh_ranking(table, top, crit, semantic_for)
+    for batch_id, sizes in enumerate(((1, 9), (20, 5), (7, 3))):
+        made = [(f"p{i}.pdf", LONG.replace("6 years", f"{(i * 7 + batch_id) % 31} years")) for i in range(*sorted(sizes))]
+        archives = ar.archives_from_bytes(spark, [(f"a{batch_id}.zip", make_zip(made))])
+        docs = ar.entry_texts(ar.archive_entries(archives))
+        batch = extract_resumes(docs.where(F.col("error").isNull()), keep=("archive",))
+        for _ in range(1 + batch_id % 2):      # a repeated batch changes nothing
+            handle(batch, batch_id)
+        whole = spark.read.parquet(table).drop("ingest_batch")
+        want = rank(whole, whole.select("archive", "Resume_ID", (F.col("Exp_Years") / 40.0).alias("Semantic_Score")), crit,
+                    on=["archive", "Resume_ID"]).top_records().collect()
+        assert sorted(map(tuple, spark.read.parquet(top).drop("batch_id").collect())) == sorted(map(tuple, want))
+    assert asked == [8, 15, 15, 4]
+
+
+def test_indexed_ingest_ranks_by_the_job_description(spark, scratch):
+    from shortlist.functions.scoring import Criteria
+    from shortlist.operators.rank import rank_documents
+    from shortlist.streaming.ingest import start_indexed_ingest
+    src, index, top, ck = (os.path.join(scratch, d) for d in ("drop", "index", "top", "ck"))
+    os.makedirs(src)
+    crit = Criteria("Rust and Python work", top_n=3, min_exp=0, skills=("sql",))
+    texts = [LONG, LONG.replace("Python", "Rust"), LONG + "Rust Rust", LONG.replace("SQL", "Go"), LONG + "work"]
+    for k in range(2):
+        with open(os.path.join(src, f"s{k}.zip"), "wb") as f:
+            f.write(make_zip([(f"{k}{i}.pdf", t + str(i + k)) for i, t in enumerate(texts[k:])]))
+        resumes = resume_stream(archive_stream(spark, src), partitions=2)
+        start_indexed_ingest(resumes, index, top, ck, crit).awaitTermination(180)
+    docs = ar.read_members(ar.list_members(ar.read_archives(spark, src)), partitions=2)
+    want = rank_documents(extract_resumes(docs, keep=("archive",)), crit).top_records().collect()
+    assert sorted(map(tuple, spark.read.parquet(top).drop("batch_id").collect())) == sorted(map(tuple, want))
+
+
+def test_an_archive_without_valid_resumes_fails_when_read(spark, scratch):
+    import pytest
+    from shortlist.operators.extract import resumes_of_archives
+    from shortlist.operators.guards import nonempty
+    for name, entries in (("good", ENTRIES), ("bad", [("a.pdf", "too short"), ("n.txt", LONG)])):
+        os.makedirs(os.path.join(scratch, name))
+        with open(os.path.join(scratch, name, "a.zip"), "wb") as f:
+            f.write(make_zip(entries))
+    good = resumes_of_archives(ar.read_archives(spark, os.path.join(scratch, "good")), partitions=2)
+    assert sorted(r["Source_File"] for r in good.collect()) == ["one.pdf", "two.PDF"]
+    bad = resumes_of_archives(ar.read_archives(spark, os.path.join(scratch, "bad")), partitions=2)
+    with pytest.raises(Exception, match="No valid resumes"):
+        bad.collect()
+    with pytest.raises(Exception, match="is empty"):
+        nonempty(spark.range(0)).count()
+    assert nonempty(spark.range(3)).count() == 3

@@ -98,13 +98,3 @@ def test_display_helpers(spark):
     df = spark.createDataFrame([(0.98765, "score_distribution")], "r double, n string")
     row = df.select(sc.percent_text("r").alias("p"), sc.title_text("n").alias("t")).first()
     assert (row["p"], row["t"]) == ("98.8%", "Score Distribution")
-
-
-def test_criteria_from_table(spark):
-    df = spark.createDataFrame([(1, "data", 3, 2, ["!sql", "spark"]), (2, "ml", None, None, None)],
-                               "jd_id int, job_description string, top_n int, min_exp int, skills array<string>")
-    got = sorted(sc.criteria_from_table(df), key=lambda c: c.jd_id)
-    assert got[0] == sc.Criteria("data", 3, 2, ("!sql", "spark"), 1)
-    assert got[1].top_n == sc.DEFAULT_TOP_N and got[1].skills == ()
-    with pytest.raises(ValueError):
-        sc.criteria_from_table(df, max_rows=1)

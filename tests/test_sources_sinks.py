@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from paths import SF0001
 from shortlist.schemas import RECORD_COLUMNS, RESUME_COLUMNS
@@ -60,3 +61,17 @@ def test_default_extractor():
     assert default_extractor("cv.pdf", b"plain words") == "plain words"
     with pytest.raises(ValueError):
         default_extractor("cv.pdf", b"%PDF-1.4 broken")
+
+
+def test_character_references_of_the_column_form_equal_the_byte_form(spark):
+    import html
+    from html.entities import html5
+    from shortlist.sources.extractors import _html_bytes_to_text, html_to_text, unescape
+    traps = ["&amp;lt; &notit; &notin; &AMP &ampamp; &&amp; &; &x; &#; &#x; &#65;&#065&#x41;&#X0041 &#0; &#128; &#x9f; &#129; &#13;&#xd800; &#x110000;",
+             "&#99999999999999999999; &#xFFFFFFFFFFFFFF; &#1; &#x0b; &#xFDD0; &#x1FFFF; &#x1F600; &#128512 &#xe9;t&eacute;&eacutex &copy2024 &frac12;&frac123",
+             "no reference & here &", "", "a&nbsp;b&#160;c &Tab;x&NewLine;y", "&NotEqualTilde; &acE; &fjlig; &thisnamehasmorethanthirtytwocharactersinit; &#x41g &#6a",
+             "&lt;b&gt;<b>&#60;i&#62;</b>"] + [f"&{n} &{n}x &{n.rstrip(';')}" for n in html5] + [f"&#{c}; &#x{c:x}z" for c in (*range(300), *range(0xFDC8, 0xFDF8), 0xFFFE, 0x10FFFF)]
+    df = spark.createDataFrame(list(enumerate(traps)), "i int, h string").repartition(4)
+    got = {r["i"]: (r["u"], r["t"]) for r in df.select("i", unescape(F.col("h")).alias("u"), html_to_text("h").alias("t")).collect()}
+    assert [t for i, t in enumerate(traps) if got[i][0] != html.unescape(t)] == []
+    assert [t for i, t in enumerate(traps) if got[i][1] != _html_bytes_to_text(t.encode())] == []

@@ -111,29 +111,6 @@ def test_extraction_plan_has_no_python(spark):
         assert node not in plan
 
 
-def test_vocabulary_table_paths_agree(spark):
-    from paths import SF0001
-    from shortlist.operators.extract import skills_with_vocabulary, vocabulary
-    from shortlist.plans import fixtures as fx
-    vocab_df = spark.createDataFrame([(s,) for s in tx.SKILLS_VOCAB] + [("python",), (None,)], "skill string")
-    vocab = vocabulary(vocab_df)
-    assert vocab == tx.sorted_vocab()
-    docs = fx.resumes_raw(spark, SF0001)
-    native = skills_with_vocabulary(docs, vocab).select("doc_id", "skills")
-    automaton = skills_with_vocabulary(docs, vocab, literal_limit=0).select("doc_id", "skills")
-    assert sorted(native.collect()) == sorted(automaton.collect())
-    direct = docs.select("doc_id", tx.extract_skills("raw_text").alias("skills"))
-    assert sorted(native.collect()) == sorted(direct.collect())
-
-
-def test_vocabulary_size_is_checked(spark):
-    import pytest
-    from shortlist.operators.extract import vocabulary
-    df = spark.createDataFrame([(str(i),) for i in range(20)], "skill string")
-    with pytest.raises(ValueError):
-        vocabulary(df, max_entries=10)
-
-
 TUNED_TRAPS = [
     "foo.bar@x.com", "a.b-c@d.org and e@f.gh", "x@@y.com", "...@a.bc", "abc@d.ef@g.hi",
     "mail:a@b.cd;b@c.de", "é@x.com ü.v@w.xyz", "a\xa0\xa0b　 c\x1c \x85d", "   \t\r\n",
