@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from shortlist.llm.common import coded_words, gather, map_slices, per_worker
+from shortlist.llm.common import coded_words, gather, map_slices, other_columns, per_worker
 
 SHORT = 256
 _NONE = np.int32(2 ** 31 - 1)
@@ -58,26 +58,28 @@ class Bpe:
             key[r], new[r] = vocab[a] * size + vocab[b], vocab[a + b]
         order = np.argsort(key, kind="stable")
         self.size, self.keys, self.ranks, self.merged = size, key[order], order.astype(np.int32), new
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        pattern = split["pattern"]["Regex"]
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        # Letter classes and lower case beyond ASCII are those of the Unicode version the file's reader has.
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.splitter = pre_tokenizers.Split(Regex(pattern), split["behavior"].lower(), split["invert"])
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
 
     # words -> pieces
 
     def pieces(self, word: str) -> list[str]:
         """Pieces of a normalised word."""
+        if not word.isascii():
+            return [piece for piece, _ in self.splitter.pre_tokenize_str(word)]
         if word.isalpha():
             return [word]
         if word[:-1].isalpha() and word[-1] in ".,;:!?":
             return [word[:-1], word[-1]]
         return self.pattern.findall(word)
 
-    @staticmethod
-    def normal(word: str) -> str:
-        if word.isascii():
-            return word.lower()
-        word = unicodedata.normalize("NFC", word)
-        return "".join(c.lower() for c in word) if "Σ" in word else word.lower()
+    def normal(self, word: str) -> str:
+        return word.lower() if word.isascii() else self.normalizer.normalize_str(word)
 
     # pieces -> ids
 
@@ -215,9 +217,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = Fa
     """``docs`` without its text, plus n_tokens, ids and decoded text (or digests of both).
 
     Null texts count as empty; empty texts have no ids and decode to "".  Very
-    long texts and words are encoded whole.  Extra columns pass through.
+    long texts and words are encoded whole.  Extra columns pass through; one
+    with the name of a result gives way to it.
     """
-    rest = [c for c in docs.columns if c != text_col]
+    rest = other_columns(docs, text_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")))
     base = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     added = ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest
              else "n_tokens bigint, ids array<int>" + ", decoded string" * decoded)

@@ -54,19 +54,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"shortlist-{name}-{uuid.uuid4().hex}")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def other_columns(df: DataFrame, text_col: str, *results: str) -> list[str]:
+    """Columns that pass through an operator: all but the text and those named like a result."""
+    taken = {c.lower() for c in results}
+    return [c for c in df.columns if c != text_col and c.lower() not in taken]
+
+
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
-    """Number the rows of a stored table.
+    """Number the rows of a stored table; a column ``name`` it already has raises ``ValueError``.
 
     The number is the place of the row's file among the table's files, sorted by
     path, and the row's place in the file.  So it is the same in every pass,
     however the scan is split; give stored tables only.
     """
+    if free_name(df, name) != name:
+        raise ValueError(f"the table has a column {name}; give another name for the row number")
+    path, row, file = (free_name(df, c) for c in ("__path", "__row", "__file"))
     paths = sorted({re.sub("^([^:/]+):///", r"\1:/", p) for p in df.inputFiles()})
-    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "__path string, __file bigint")
-    place = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-    number = F.coalesce("__file", F.raise_error(F.concat(F.lit("not a file of the table: "), "__path")).cast("bigint"))
-    return (place.join(F.broadcast(files), "__path", "left").withColumn(name, F.shiftleft(number, 33) + F.col("__row"))
-            .drop("__path", "__file", "__row"))
+    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), f"{path} string, {file} bigint")
+    place = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    number = F.coalesce(file, F.raise_error(F.concat(F.lit("not a file of the table: "), path)).cast("bigint"))
+    return (place.join(F.broadcast(files), path, "left").withColumn(name, F.shiftleft(number, 33) + F.col(row))
+            .drop(path, file, row))
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],

@@ -6,19 +6,25 @@ offsets lead back to the original), its words are joined by single spaces, and
 the result is scanned once.
 
 The benchmark is the small side: it is sent to the tasks in blocks of
-``BLOCK_BYTES`` of text at most (or one item), one scan for each block, so what
-is broadcast at once is bounded whatever its size.
+``BLOCK_BYTES`` of text at most (or one item), one scan for each block.  Blocks
+come one after another: each is fetched, scanned to a stored table and let go,
+so the driver and the tasks hold one at a time whatever the benchmark's size.
+A worker builds a block's automaton once for all its tasks.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import map_slices, with_row_id
+from shortlist.llm.common import map_slices, per_worker, store, with_row_id
 
 BLOCK_BYTES = 8 << 20
 
@@ -53,22 +59,33 @@ def automaton(items: list[tuple[str | None, str | None]], window: int) -> ahocor
     return found
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
-    """The benchmark's (id, text) rows in blocks of bounded size."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+    """The benchmark's (id, text) rows in blocks of bounded size, fetched as they are asked for."""
     sizes = benchmark.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     if sizes <= block_bytes:
-        return [[tuple(r) for r in benchmark.collect()]]
+        yield [tuple(r) for r in benchmark.collect()]
+        return
     count = -(-sizes // block_bytes) * 2
     part = F.pmod(F.xxhash64("text", "id"), F.lit(count))
-    return [[tuple(r) for r in benchmark.where(part == i).collect()] for i in range(count)]
+    for i in range(count):
+        yield [tuple(r) for r in benchmark.where(part == i).collect()]
+
+
+def _built(name: str, items: list[tuple], window: int) -> ahocorasick.Automaton:
+    """The automaton of the block called ``name``, made once in a worker; the one before it goes."""
+    held = per_worker(("decontam",), dict)
+    if name not in held:
+        held.clear()
+        held[name] = automaton(items, window)
+    return held[name]
 
 
-def _scan(texts: DataFrame, items: list[tuple], window: int) -> DataFrame:
-    """rid, n_words, first and last hit words of each occurrence run, items found."""
-    sent = texts.sparkSession.sparkContext.broadcast(items)
+def _scan(texts: DataFrame, sent: Broadcast, window: int) -> DataFrame:
+    """rid, n_words, hit words, items found, for one block (id, text) of the benchmark."""
+    name = uuid.uuid4().hex
 
     def run(batches):
-        found = automaton(sent.value, window)
+        found = _built(name, sent.value, window)
         ids = [i for i, _ in sent.value]
         schema = pa.schema([("rid", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())),
                             ("items", pa.list_(pa.string()))])
@@ -106,12 +123,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     """
     texts = with_row_id(docs.select(F.col(text_col).alias("text")))
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
-    parts = [_scan(texts.select("rid", "text"), block, window) for block in _blocks(items, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
+    whole, ahead = None, None
+    for block in _blocks(items, block_bytes):
+        if ahead is not None:                        # another block follows: this one's scan is stored and let go
+            part = store(_scan(texts.select("rid", "text"), ahead, window), "decontam")
+            ahead.destroy()
+            whole = part if whole is None else whole.unionByName(part)
+        ahead = texts.sparkSession.sparkContext.broadcast(block)
+    last = _scan(texts.select("rid", "text"), ahead, window)
+    if whole is None:
+        return last
+    whole = whole.unionByName(store(last, "decontam"))
+    ahead.destroy()
     return whole.groupBy("rid").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

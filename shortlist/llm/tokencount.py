@@ -12,8 +12,12 @@ Texts are cut into chunks of ``CHUNK`` characters.  A space after another
 character, and the start of a text, lead to one state from any state, so a
 chunk's state map is constant behind the first such place; in front of it the
 map depends on the state of entry.  All chunks run in lockstep: first the
-constant parts, then the fronts as the maps before them compose to known
-states.
+constant parts, then the fronts, each from the entry states that can reach it.
+A front's map starts with the state that the ``WARM`` characters before it
+lead to, and gets the exits of the maps before it; these are few, as states
+soon meet.  The maps are composed by a parallel prefix scan: every (chunk,
+entry) points to the next chunk at its exit, and pointers are doubled, so a
+text of many chunks without a space takes logarithmically many steps.
 """
 
 from __future__ import annotations
@@ -26,9 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
-from shortlist.llm.common import map_slices, per_worker
+from shortlist.llm.common import map_slices, other_columns, per_worker
 
 CHUNK = 128
+#: Characters before a front that are run to guess its entry.
+WARM = 48
+#: Entry states of a front that guesses may add; those on the true path always count.
+GUESSES = 4
 #: Table entries (4 bytes each) kept before the compiled states are dropped and built anew.
 TABLE_ENTRIES = 24_000_000
 SPACE = "▁"
@@ -167,6 +175,48 @@ class Transducer:
         states[order], counts[order] = state, count
         return states, counts
 
+    def _scan(self, cls: np.ndarray, starts: np.ndarray, body: np.ndarray, ends: np.ndarray, exits: np.ndarray,
+              fronts: np.ndarray) -> np.ndarray:
+        """Counts of the chunks' fronts: their maps over entry states, composed by pointer doubling.
+
+        ``exits`` holds the exit state of every chunk that has a constant part.
+        """
+        rank = np.full(len(starts) + 1, -1)
+        rank[fronts] = np.arange(len(fronts))
+        sure = body[fronts - 1] < ends[fronts - 1]            # the chunk before ends in a known state
+        onward = np.where(body[fronts] == ends[fronts], rank[fronts + 1], -1)   # a front that is its whole chunk feeds the next
+        entry = exits[fronts - 1]
+        warm = fronts[~sure]
+        first = np.maximum(starts[warm] - WARM, starts[warm - 1])
+        entry[~sure] = self.run(cls, first, starts[warm] - first, np.full(len(warm), _START))[0]
+        front, state, exit_, count = np.arange(len(fronts)), entry, np.empty(0, np.int64), np.empty(0, np.int64)
+        while True:
+            new = np.arange(len(exit_), len(front))           # entries whose exit isn't known yet
+            chunk = fronts[front[new]]
+            out, more = self.run(cls, starts[chunk], body[chunk] - starts[chunk], state[new])
+            exit_, count = np.concatenate([exit_, out]), np.concatenate([count, more])
+            key = front << 32 | state
+            order = np.argsort(key)
+            wanted = onward[front] << 32 | exit_
+            at = np.minimum(np.searchsorted(key, wanted, sorter=order), len(key) - 1)
+            there = key[order[at]] == wanted
+            after = np.where((onward[front] >= 0) & there, order[at], -1)
+            true, jump = np.zeros(len(front), bool), after
+            true[:len(fronts)][sure] = True
+            while (jump >= 0).any():                          # what the true entries lead to
+                true[jump[true & (jump >= 0)]] = True
+                jump = np.where(jump >= 0, jump[jump], -1)
+            open_ = (onward[front] >= 0) & ~there
+            if not (open_ & true).any():
+                break
+            many = np.bincount(front, minlength=len(fronts))
+            open_ &= true | (many[onward[front]] < GUESSES)
+            more = np.unique(wanted[open_])
+            front, state = np.concatenate([front, more >> 32]), np.concatenate([state, more & 0xFFFFFFFF])
+        total = np.zeros(len(fronts), np.int64)
+        total[front[true]] = count[true]
+        return total
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         self.tidy()
@@ -188,16 +238,9 @@ class Transducer:
         places = np.append(np.flatnonzero(reset), len(cls))
         body = np.minimum(places[np.searchsorted(places, starts)], ends)
         exits, counts = self.run(cls, body, ends - body, np.full(len(doc), _START))
-        known = body < ends
-        todo = np.flatnonzero(body > starts)
-        while len(todo):                             # compose the maps in front, as entries become known
-            ready = todo[known[todo - 1]]
-            out, more = self.run(cls, starts[ready], body[ready] - starts[ready], exits[ready - 1])
-            counts[ready] += more
-            whole = body[ready] == ends[ready]
-            exits[ready[whole]] = out[whole]
-            todo = todo[~known[todo - 1]]
-            known[ready] = True
+        fronts = np.flatnonzero(body > starts)
+        if len(fronts):
+            counts[fronts] += self._scan(cls, starts, body, ends, exits, fronts)
         return np.bincount(doc, counts, len(texts)).astype(np.int64)
 
 
@@ -206,9 +249,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text_col: str =
 
     Counts as the model's library does, without begin or end tokens.  Null
     texts count as empty: 0 bytes, 0 tokens.  Texts are counted whole, however
-    long.  Extra columns pass through.
+    long.  Extra columns pass through; one with the name of a result gives way.
     """
-    rest = [c for c in docs.columns if c != text_col]
+    rest = other_columns(docs, text_col, "n_bytes", "n_tokens", "over_limit")
     base = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
 
     def run(batch: pa.RecordBatch):

@@ -367,8 +367,11 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     Null and empty texts score as texts without any feature.  Without labels
     of both kinds all rows score alike (0.5 without any label, which counts as
-    not toxic by a hair: 0.4999).  Repeated rows score alike; extra columns pass through.
+    not toxic by a hair: 0.4999).  Repeated rows score alike; extra columns pass
+    through, but one named score or predicted gives way to the result.
     """
+    columns = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    docs = docs.select(columns)
     spark = docs.sparkSession
     model = character_model(docs)
     labelled = store(sample(docs, labels, sample_rows), "labelled")
@@ -377,7 +380,6 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         bias = -4e-4
     sent = spark.sparkContext.broadcast((model, list(weights), np.array([*weights.values(), 0.0])))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    columns = docs.columns
 
     def run(batch: pa.RecordBatch):
         model, names, weight = sent.value

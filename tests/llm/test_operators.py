@@ -180,6 +180,19 @@ def test_bpe_random_words():
         assert flat[s:s + n].tolist() == lib.encode(w, add_special_tokens=False).ids, w
 
 
+def test_bpe_of_every_code_point():
+    """Alone, after a letter, and between letters: letter classes and lower case as the library has them."""
+    from shortlist.llm.bpe import Bpe
+    lib, bpe = library(), Bpe(WORD_BPE)
+    points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for lo in range(0, len(points), 1 << 15):
+        words = [w for c in points[lo:lo + (1 << 15)] for w in ((c, f"a{c}e", f"x{c}") if c.isprintable() or ord(c) % 7 == 0 else (f"a{c}e",))]
+        flat, starts, lengths = bpe.encode_words(words)
+        want = lib.encode_batch(words, add_special_tokens=False)
+        wrong = [w for w, s, n, e in zip(words, starts.tolist(), lengths.tolist(), want) if flat[s:s + n].tolist() != e.ids]
+        assert not wrong, wrong[:10]
+
+
 def test_token_counts(docs, empty):
     from sentencepiece import SentencePieceProcessor
 
