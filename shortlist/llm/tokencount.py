@@ -15,7 +15,7 @@ map depends on the state of entry.  All chunks run in lockstep: first the
 constant parts, then the fronts, each from the entry states that can reach it.
 A front's map starts with the state that the ``WARM`` characters before it
 lead to, and gets the exits of the maps before it; these are few, as states
-soon meet.  The maps are composed by a parallel prefix scan: every (chunk,
+soon meet or recur.  The maps are composed by a parallel prefix scan: every (chunk,
 entry) points to the next chunk at its exit, and pointers are doubled, so a
 text of many chunks without a space takes logarithmically many steps.
 """
@@ -36,7 +36,7 @@ CHUNK = 128
 #: Characters before a front that are run to guess its entry.
 WARM = 48
 #: Entry states of a front that guesses may add; those on the true path always count.
-GUESSES = 4
+GUESSES = 32
 #: Table entries (4 bytes each) kept before the compiled states are dropped and built anew.
 TABLE_ENTRIES = 24_000_000
 SPACE = "▁"
@@ -189,6 +189,8 @@ class Transducer:
         warm = fronts[~sure]
         first = np.maximum(starts[warm] - WARM, starts[warm - 1])
         entry[~sure] = self.run(cls, first, starts[warm] - first, np.full(len(warm), _START))[0]
+        chain = np.cumsum(np.concatenate([[0], onward[:-1] != np.arange(1, len(fronts))]))   # fronts that feed one another
+        spread, reached = 1, 0
         front, state, exit_, count = np.arange(len(fronts)), entry, np.empty(0, np.int64), np.empty(0, np.int64)
         while True:
             new = np.arange(len(exit_), len(front))           # entries whose exit isn't known yet
@@ -210,8 +212,16 @@ class Transducer:
             if not (open_ & true).any():
                 break
             many = np.bincount(front, minlength=len(fronts))
-            open_ &= true | (many[onward[front]] < GUESSES)
-            more = np.unique(wanted[open_])
+            # A state on the true path is tried at the next fronts too, at more of them as long as that helps.
+            spread = spread * 2 if int(true.sum()) - reached >= spread else max(spread // 2, 1)
+            reached = int(true.sum())
+            lead = np.unique(wanted[open_ & true])
+            far = ((lead >> 32)[:, None] + np.arange(spread)).ravel()
+            ahead = np.repeat(lead & 0xFFFFFFFF, spread)
+            near = far < len(fronts)
+            near[near] = chain[far[near]] == np.repeat(chain[lead >> 32], spread)[near]
+            more = np.concatenate([wanted[open_ & (true | (many[onward[front]] < GUESSES))], far[near] << 32 | ahead[near]])
+            more = np.setdiff1d(more, key)
             front, state = np.concatenate([front, more >> 32]), np.concatenate([state, more & 0xFFFFFFFF])
         total = np.zeros(len(fronts), np.int64)
         total[front[true]] = count[true]

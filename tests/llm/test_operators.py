@@ -466,3 +466,39 @@ def test_pipeline(spark):
             assert after.columns == columns
         docs, ids = after, set(left)
     assert ids and len(ids) < table(spark, SF, "documents").count()
+
+
+def test_long_texts_without_spaces(monkeypatch):
+    """Fronts composed by the prefix scan: entry states that soon meet, that cycle, and more of them than are guessed."""
+    from sentencepiece import SentencePieceProcessor
+
+    from shortlist.llm import tokencount
+    lib, rng = SentencePieceProcessor(model_file=PIECES), random.Random(4)
+    texts = ["ab" * 20000, "a" * 50000, "abcabd" * 7000, "".join(rng.choice("ABCdefghijk0123+/") for _ in range(100000)),
+             "".join(chr(rng.randrange(0x4e00, 0x5000)) for _ in range(30000)), "x" * 300 + " " + "y" * 9000, "short", ""]
+    want = [len(lib.encode(t)) for t in texts]
+    for guesses, warm in ((32, 48), (1, 0), (2, 3)):
+        monkeypatch.setattr(tokencount, "GUESSES", guesses)
+        monkeypatch.setattr(tokencount, "WARM", warm)
+        assert tokencount.Transducer(PIECES).count(texts).tolist() == want
+
+
+def test_columns_named_like_results(spark, scratch):
+    """An extra column with the name of a result gives way; in the pipeline it keeps its values."""
+    import corpus_pipeline
+    from shortlist.llm.bpe import encode
+    from shortlist.llm.common import store, table, with_row_id
+    from shortlist.llm.tokencount import count_tokens
+    rows = [(i, t, -i, 0.5 - i, -1, "old", 9) for i, t in enumerate(["one two", "three", "river stone window"])]
+    docs = stored(spark, scratch, rows, "doc_id bigint, text string, rid bigint, score double, predicted int, ids string, n_tokens int")
+    assert sorted(r.n_tokens for r in count_tokens(docs, PIECES).collect()) != [9, 9, 9]
+    assert all(isinstance(r.ids, list) for r in encode(docs, WORD_BPE).collect())
+    with pytest.raises(ValueError, match="rid"):
+        with_row_id(docs)
+    wide = table(spark, SF, "documents").withColumns({"rid": -F.col("doc_id"), "score": F.col("doc_id") * 2.0, "predicted": F.lit(7), "row": F.lit("r")})
+    wide = store(wide, "wide")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = store(stage(spark, wide, SF), name)
+        assert after.columns == wide.columns
+        assert after.where("rid <> -doc_id OR score <> doc_id * 2 OR predicted <> 7 OR row <> 'r'").count() == 0 < after.count()
+        wide = after
