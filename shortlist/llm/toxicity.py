@@ -10,6 +10,7 @@ and word beginnings, fitted on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import coded_words, map_slices, store
+from shortlist.llm.common import coded_words, map_slices, per_worker, store
 
 #: Labelled rows that the classifier is fitted on, at most (chosen by a hash of the id).
 SAMPLE_ROWS = 20_000
@@ -35,7 +36,10 @@ AS_SIGN, REPEATED, PADDING = -1.0, -0.5, -7.0
 GLUED = -1.0
 PIECE = 3                          # letters of a piece set apart, at most
 LETTERS = 28                       # 0: none (a word's edge), 1-26: a-z, 27: any other letter
+BEGINNINGS = (4, 5, 6)             # letters of the word beginnings that are features
+MEMORY = 100_000                   # readings of each kind that a worker keeps
 PART_BYTES = 4 << 20                # text whose words and features a task holds at a time
+DOUBLES = 4                        # repeated letters of a word whose readings are weighed one by one
 WINDOW = 256                       # longer words are decoded in pieces of this length
 _CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0
                   for b in range(256)], np.uint8)
@@ -131,6 +135,45 @@ def _decode(words: list[str], model: np.ndarray) -> list[str]:
     return ["".join(reversed(x)) for x in said]
 
 
+def once(words: list[str], model: np.ndarray) -> list[str]:
+    """``decode`` for words whose only doubt is doubled letters: few letters may be repeats, so all readings are weighed.
+
+    Words with other doubts, or over ``DOUBLES`` repeats, go through the whole lattice.
+    """
+    out: list[str | None] = [None] * len(words)
+    alike: dict[tuple[int, int], list[int]] = {}
+    other = []
+    for i, w in enumerate(words):
+        twice = sum(a == b for a, b in zip(w, w[1:]))
+        if 0 < twice <= DOUBLES and len(w) <= WINDOW and w.isascii() and w.isalpha():
+            alike.setdefault((len(w), twice), []).append(i)
+        else:
+            other.append(i)
+    for i, got in zip(other, decode([words[i] for i in other], model)):
+        out[i] = got
+    for (width, twice), some in alike.items():
+        text = np.frombuffer("".join([words[i] for i in some]).encode(), np.uint8).reshape(len(some), width)
+        letter = text.astype(np.int64) - 96
+        again = np.zeros(letter.shape, bool)
+        again[:, 1:] = letter[:, 1:] == letter[:, :-1]
+        which = np.where(again, np.cumsum(again, axis=1) - 1, 0)       # number of the repeat at its place
+        best, chosen = np.full(len(some), -np.inf), np.zeros(len(some), np.int64)
+        for dropped in range(1 << twice):                              # bit k: the k-th repeat is no letter
+            gone = again & (dropped >> which & 1).astype(bool)
+            total, a, b = np.zeros(len(some)), np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+            for t in range(width):
+                c, skip = letter[:, t], gone[:, t]
+                total += np.where(skip, REPEATED, model[a, b, c])
+                a, b = np.where(skip, a, b), np.where(skip, b, c)
+            total += model[a, b, 0]
+            better = total > best
+            best, chosen = np.where(better, total, best), np.where(better, dropped, chosen)
+        keep = ~(again & (chosen[:, None] >> which & 1).astype(bool))
+        for i, x, k in zip(some, text, keep):
+            out[i] = x[k].tobytes().decode()
+    return out
+
+
 def _gap(pieces: str, t: int) -> float:
     alone = pieces[max(t - 2, 0):t - 1] in ("", " ") and pieces[t + 2:t + 3] in ("", " ")
     return 0.0 if alone else GLUED
@@ -189,9 +232,9 @@ def _edges(stretches: list[str], model: np.ndarray) -> np.ndarray:
     return got
 
 
-def _stretches(words: list[str], index: np.ndarray, text: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _stretches(words: list[str], bare: list[str], index: np.ndarray, text: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct runs of two or more short pieces, and (run, text) index pairs."""
-    pieces = [w if len(w) == 1 else _bare(w) for w in words]
+    pieces = [w if len(w) == 1 else b for w, b in zip(words, bare)]
     short = np.fromiter((0 < len(p) <= PIECE and all(c.isalpha() or c in LEET for c in p) and (len(p) == 1 or bool(_SIGNS.search(p)))
                          for p in pieces), bool, len(pieces))[index]
     run = short[1:] & short[:-1] & (text[1:] == text[:-1])          # goes on with the next word
@@ -204,9 +247,23 @@ def _stretches(words: list[str], index: np.ndarray, text: np.ndarray) -> tuple[l
     return list(names), np.array(which, np.int64), np.array(where, np.int64)
 
 
-def _bare(word: str) -> str:
-    word = word.lstrip(".,;:?\"'()[]{}%*&#-_~=<>¿¡«»").rstrip(".,;:?!\"'()[]{}%*&#-_~=<>|«»")
-    return word[:-3].rstrip("$") if word.endswith("$$$") else word
+def _bare(words: list[str]) -> list[str]:
+    """Words without the signs around them (three dollars at the end are signs)."""
+    column = pc.utf8_rtrim(pc.utf8_ltrim(pa.array(words, pa.string()), ".,;:?\"'()[]{}%*&#-_~=<>¿¡«»"), ".,;:?!\"'()[]{}%*&#-_~=<>|«»")
+    return [w[:-3].rstrip("$") if w.endswith("$$$") else w for w in column.to_pylist()]
+
+
+def _remembered(kind: str, words: list[str], model: np.ndarray, work) -> list[str]:
+    """``work(words, model)``, where a worker keeps what it worked out last under this model; it only saves work."""
+    held, name = per_worker(("toxicity", kind), dict), hashlib.sha256(model.tobytes()).hexdigest()
+    if held.get("") != name or len(held) > MEMORY:
+        held.clear()
+        held[""] = name
+    got = [held.get(w) if w else "" for w in words]
+    missing = [i for i, g in enumerate(got) if g is None]
+    for i, g in zip(missing, work([words[i] for i in missing], model)):
+        got[i] = held[words[i]] = g
+    return got
 
 
 def restored(texts: pa.Array, model: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -222,7 +279,8 @@ def restored(texts: pa.Array, model: np.ndarray) -> tuple[list[str], np.ndarray,
             cuts = [a, *(np.flatnonzero(np.diff(text[a:b])) + a + 1).tolist(), b]
             apart += [(x, y) for x, y in zip(cuts, cuts[1:]) if y - x >= 3]
     joined = ["".join([words[i] for i in index[x:y].tolist()]) for x, y in apart]
-    clean = [_bare(w) for w in words] + joined
+    bare = _bare(words)
+    clean = bare + joined
     odd = [i for i, w in enumerate(clean) if _ODD.search(w) and _SIGNS.search(w)]
     for i, w in zip(odd, decode([_SPACED.sub("", clean[i]) for i in odd], model)):
         clean[i] = w
@@ -231,16 +289,16 @@ def restored(texts: pa.Array, model: np.ndarray) -> tuple[list[str], np.ndarray,
     done = set(odd)
     maybe = [i for i, w in enumerate(clean[:len(words)]) if i not in done and _MAYBE.search(w)]
     other = np.full(len(words), -1)
-    for i, w in zip(maybe, decode([_SPACED.sub("", clean[i]) for i in maybe], model)):
+    for i, w in zip(maybe, _remembered("once", [_SPACED.sub("", clean[i]) for i in maybe], model, once)):
         if w != clean[i]:
             other[i] = len(clean)
             clean.append(w)
     has = other[index] >= 0
     whole.append((other[index[has]], text[has]))
-    runs, which, where = _stretches(words, index, text)
+    runs, which, where = _stretches(words, bare, index, text)
     plain = [all(c == " " or c.isalpha() for c in r) and not _MAYBE.search(r) for r in runs]
-    read = iter(unspaced([r for r, p in zip(runs, plain) if p], model))
-    signs = iter(decode([r for r, p in zip(runs, plain) if not p], model))
+    read = iter(_remembered("unspaced", [r for r, p in zip(runs, plain) if p], model, unspaced))
+    signs = iter(_remembered("signs", [r for r, p in zip(runs, plain) if not p], model, decode))
     at, size, new = [], np.zeros(len(runs), np.int64), {}
     for i, (r, p) in enumerate(zip(runs, plain)):
         mine = set(next(read if p else signs).split()) - set(r.split())
@@ -256,21 +314,41 @@ def restored(texts: pa.Array, model: np.ndarray) -> tuple[list[str], np.ndarray,
 
 def features(word: str) -> list[str]:
     """A restored word and its beginnings."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) >= n)] if word else []
+    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)] if word else []
+
+
+def _known_features(words: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the known features each word has, and these word by word."""
+    column = pa.array(words, pa.string())
+    length = pc.utf8_length(column).to_numpy(zero_copy_only=False)
+    at, what = [], []
+    for n in (None, *BEGINNINGS):
+        wanted = {f if n is None else f[:-1]: i for f, i in known.items()
+                  if n is None or (len(f) == n + 1 and f.endswith("*"))}
+        value = column if n is None else pc.utf8_slice_codeunits(column, 0, n)
+        found = pc.fill_null(pc.index_in(value, pa.array(list(wanted), pa.string())), -1).to_numpy(zero_copy_only=False)
+        has = np.flatnonzero((found >= 0) & (length >= (n or 1)))
+        at.append(has)
+        what.append(np.array([*wanted.values(), 0], np.int64)[found[has]])
+    at, what = np.concatenate(at), np.concatenate(what)
+    order = np.argsort(at, kind="stable")
+    return np.bincount(at, minlength=len(words)), what[order]
 
 
 def _pairs(texts: pa.Array, model: np.ndarray, known: dict[str, int] | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Features present in each text: names, and distinct (feature, text) pairs; ``known`` only, if given."""
     words, index, text = restored(texts, model)
     names: dict[str, int] = dict(known or {})
-    own = [[names.setdefault(f, len(names)) for f in features(w) if known is None or f in known] for w in words]
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    if known is not None:
+    if known is None:
+        own = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter((f for x in own for f in x), np.int64, int(size.sum()))
+    else:
+        size, flat = _known_features(words, known)
         use = size[index] > 0
         index, text = index[use], text[use]
     which = np.unique(index * max(len(texts), 1) + text)           # each word once per text
     index, text = which // max(len(texts), 1), which % max(len(texts), 1)
-    flat = np.fromiter((f for x in own for f in x), np.int64, int(size.sum()))
     starts = np.cumsum(size) - size
     many = size[index]
     ends = np.cumsum(many)

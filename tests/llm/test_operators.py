@@ -502,3 +502,47 @@ def test_columns_named_like_results(spark, scratch):
         assert after.columns == wide.columns
         assert after.where("rid <> -doc_id OR score <> doc_id * 2 OR predicted <> 7 OR row <> 'r'").count() == 0 < after.count()
         wide = after
+
+
+def test_doubled_letters_are_read_as_by_the_whole_lattice():
+    from shortlist.llm.toxicity import LETTERS, decode, once
+    rng = random.Random(2)
+    model = np.log(np.random.default_rng(0).dirichlet(np.full(LETTERS, 0.3), (LETTERS, LETTERS)) + 1e-9)
+    words = ["".join(rng.choice("abcde") * rng.choice([1, 1, 1, 2, 2, 3]) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    words += ["", "a", "aa", "äää", "mmoorroonn", "b0ok", "x" * 300]
+    assert once(words, model) == decode(words, model)
+
+
+def test_readings_are_the_best_of_all_lattice_paths():
+    """Every path through the lattice of a short word, spelled out."""
+    from itertools import product
+
+    from shortlist.llm.toxicity import AS_SIGN, LEET, LETTERS, PADDING, REPEATED, decode
+    model = np.log(np.random.default_rng(5).dirichlet(np.full(LETTERS, 0.4), (LETTERS, LETTERS)) + 1e-9)
+    rng = random.Random(9)
+    for _ in range(150):
+        word = "".join(rng.choice("abio013$!aab") for _ in range(rng.randrange(1, 7)))
+        options = []
+        for t, c in enumerate(word):
+            same = t and word[t - 1] == c
+            if c in LEET:
+                options.append([(x, AS_SIGN) for x in LEET[c]] + [("", REPEATED + AS_SIGN if same else PADDING)])
+            else:
+                options.append([(c, 0.0)] + ([("", REPEATED)] if same else []))
+        best: dict[str, float] = {}
+        for path in product(*options):
+            text = "".join(x for x, _ in path)
+            codes = [0, 0, *(ord(x) - 96 for x in text), 0]
+            value = sum(v for _, v in path) + sum(model[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+            best[text] = max(best.get(text, -np.inf), value)
+        assert best[decode([word], model)[0]] == pytest.approx(max(best.values()), abs=1e-9)
+
+
+def test_known_features_are_those_of_the_words():
+    from shortlist.llm.toxicity import _known_features, features
+    known = {f: i for i, f in enumerate(["idio*", "moron", "a", "ab*", "abcd*", "abcde*", "abcdef*", "e*", "*", "bäre*"])}
+    words = ["moron", "idiot", "idio", "idi", "abcdefgh", "*", "e*", "", "a", "bären", "idio*"]
+    size, flat = _known_features(words, known)
+    ends = np.cumsum(size)
+    assert [sorted(flat[e - n:e].tolist()) for n, e in zip(size.tolist(), ends.tolist())] == [
+        sorted(known[f] for f in features(w) if f in known) for w in words]
