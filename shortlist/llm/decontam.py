@@ -9,12 +9,10 @@ The benchmark is the small side: it is sent to the tasks in blocks of
 ``BLOCK_BYTES`` of text at most (or one item), one scan for each block.  Blocks
 come one after another: each is fetched, scanned to a stored table and let go,
 so the driver and the tasks hold one at a time whatever the benchmark's size.
-A worker builds a block's automaton once for all its tasks.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import map_slices, per_worker, store, with_row_id
+from shortlist.llm.common import map_slices, store, with_row_id
 
 BLOCK_BYTES = 8 << 20
 
@@ -71,21 +69,10 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield [tuple(r) for r in benchmark.where(part == i).collect()]
 
 
-def _built(name: str, items: list[tuple], window: int) -> ahocorasick.Automaton:
-    """The automaton of the block called ``name``, made once in a worker; the one before it goes."""
-    held = per_worker(("decontam",), dict)
-    if name not in held:
-        held.clear()
-        held[name] = automaton(items, window)
-    return held[name]
-
-
 def _scan(texts: DataFrame, sent: Broadcast, window: int) -> DataFrame:
     """rid, n_words, hit words, items found, for one block (id, text) of the benchmark."""
-    name = uuid.uuid4().hex
-
     def run(batches):
-        found = _built(name, sent.value, window)
+        found = automaton(sent.value, window)
         ids = [i for i, _ in sent.value]
         schema = pa.schema([("rid", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())),
                             ("items", pa.list_(pa.string()))])

@@ -10,7 +10,6 @@ and word beginnings, fitted on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import coded_words, map_slices, per_worker, store
+from shortlist.llm.common import coded_words, map_slices, store
 
 #: Labelled rows that the classifier is fitted on, at most (chosen by a hash of the id).
 SAMPLE_ROWS = 20_000
@@ -37,7 +36,7 @@ GLUED = -1.0
 PIECE = 3                          # letters of a piece set apart, at most
 LETTERS = 28                       # 0: none (a word's edge), 1-26: a-z, 27: any other letter
 BEGINNINGS = (4, 5, 6)             # letters of the word beginnings that are features
-MEMORY = 100_000                   # readings of each kind that a worker keeps
+MEMORY = 60_000                    # readings of each kind that a task keeps, about
 PART_BYTES = 4 << 20                # text whose words and features a task holds at a time
 DOUBLES = 4                        # repeated letters of a word whose readings are weighed one by one
 WINDOW = 256                       # longer words are decoded in pieces of this length
@@ -253,21 +252,21 @@ def _bare(words: list[str]) -> list[str]:
     return [w[:-3].rstrip("$") if w.endswith("$$$") else w for w in column.to_pylist()]
 
 
-def _remembered(kind: str, words: list[str], model: np.ndarray, work) -> list[str]:
-    """``work(words, model)``, where a worker keeps what it worked out last under this model; it only saves work."""
-    held, name = per_worker(("toxicity", kind), dict), hashlib.sha256(model.tobytes()).hexdigest()
-    if held.get("") != name or len(held) > MEMORY:
+def _remembered(memory: dict, words: list[str], model: np.ndarray, work) -> list[str]:
+    """``work(words, model)``; ``memory`` holds what a task worked out last and only saves work."""
+    held = memory.setdefault(work.__name__, {})
+    if len(held) > MEMORY:
         held.clear()
-        held[""] = name
-    got = [held.get(w) if w else "" for w in words]
+    got = [held.get(w) for w in words]
     missing = [i for i, g in enumerate(got) if g is None]
     for i, g in zip(missing, work([words[i] for i in missing], model)):
         got[i] = held[words[i]] = g
     return got
 
 
-def restored(texts: pa.Array, model: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def restored(texts: pa.Array, model: np.ndarray, memory: dict | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct restored words, and (word, text) index pairs of all their places."""
+    memory = {} if memory is None else memory
     words, index, offsets = coded_words(pc.utf8_lower(pc.fill_null(texts, "")))
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     # Three or more single signs in a row may be one word set apart.
@@ -289,7 +288,7 @@ def restored(texts: pa.Array, model: np.ndarray) -> tuple[list[str], np.ndarray,
     done = set(odd)
     maybe = [i for i, w in enumerate(clean[:len(words)]) if i not in done and _MAYBE.search(w)]
     other = np.full(len(words), -1)
-    for i, w in zip(maybe, _remembered("once", [_SPACED.sub("", clean[i]) for i in maybe], model, once)):
+    for i, w in zip(maybe, _remembered(memory, [_SPACED.sub("", clean[i]) for i in maybe], model, once)):
         if w != clean[i]:
             other[i] = len(clean)
             clean.append(w)
@@ -297,8 +296,8 @@ def restored(texts: pa.Array, model: np.ndarray) -> tuple[list[str], np.ndarray,
     whole.append((other[index[has]], text[has]))
     runs, which, where = _stretches(words, bare, index, text)
     plain = [all(c == " " or c.isalpha() for c in r) and not _MAYBE.search(r) for r in runs]
-    read = iter(_remembered("unspaced", [r for r, p in zip(runs, plain) if p], model, unspaced))
-    signs = iter(_remembered("signs", [r for r, p in zip(runs, plain) if not p], model, decode))
+    read = iter(_remembered(memory, [r for r, p in zip(runs, plain) if p], model, unspaced))
+    signs = iter(_remembered(memory, [r for r, p in zip(runs, plain) if not p], model, decode))
     at, size, new = [], np.zeros(len(runs), np.int64), {}
     for i, (r, p) in enumerate(zip(runs, plain)):
         mine = set(next(read if p else signs).split()) - set(r.split())
@@ -335,9 +334,9 @@ def _known_features(words: list[str], known: dict[str, int]) -> tuple[np.ndarray
     return np.bincount(at, minlength=len(words)), what[order]
 
 
-def _pairs(texts: pa.Array, model: np.ndarray, known: dict[str, int] | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _pairs(texts: pa.Array, model: np.ndarray, known: dict[str, int] | None, memory: dict | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Features present in each text: names, and distinct (feature, text) pairs; ``known`` only, if given."""
-    words, index, text = restored(texts, model)
+    words, index, text = restored(texts, model, memory)
     names: dict[str, int] = dict(known or {})
     if known is None:
         own = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
@@ -459,9 +458,11 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sent = spark.sparkContext.broadcast((model, list(weights), np.array([*weights.values(), 0.0])))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
 
+    memory: dict = {}                                              # each task gets a copy of its own
+
     def run(batch: pa.RecordBatch):
         model, names, weight = sent.value
-        _, which, text = _pairs(batch.column("text"), model, {f: i for i, f in enumerate(names)})
+        _, which, text = _pairs(batch.column("text"), model, {f: i for i, f in enumerate(names)}, memory)
         total = bias + np.bincount(text, weight[which], batch.num_rows)
         value = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))],
