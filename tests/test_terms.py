@@ -183,6 +183,33 @@ def test_large_vocabulary(spark):
     assert got == _contained([(r[0], r[1]) for r in docs.collect()], [r[0] for r in vocab.collect()])
 
 
+@pytest.mark.parametrize("positions", [1 << 21, 64])
+def test_vocabulary_scanned_in_the_tasks(spark, monkeypatch, positions):
+    """Rows, repeated keys, gram widths, and a plan that neither explodes grams nor shuffles texts."""
+    from shortlist.operators import vocabulary as vo
+    monkeypatch.setattr(vo, "LITERAL_ROWS", 0)
+    rows = [(1, "Uses PYTHON, C++ and C# — naïve café\nmachine\nlearning"), (2, ""), (3, None), (4, "go"), (5, "😀 emoji 😀😀ab tail"),
+            (6, "aaaaaaaa"), (7, "a\n\nb  c"), (8, "ends with sq"), (9, "sql" * 200), (10, "l"), (10, "data science and machine learning"), (11, None)]
+    entries = ["python", "c++", "c#", "go", "", None, "python", "machine learning", "café", "naïve", "sql", "q", "😀😀ab", "😀", "aaaa", "aaaaaaaaa",
+               "a\n\nb", "Python", "learning", "l", "lsqlsqls", "—", "nothing like this", "learnings", "and machine learning", "s sq", "sq", "sql" * 30]
+    docs, vocab = spark.createDataFrame(rows, "doc_id int, raw_text string"), spark.createDataFrame([(e,) for e in entries], "skill string")
+    want = {k: [] for k, _ in rows}
+    for k, e in sorted(set(_contained(rows, entries))):
+        want[k].append(e)
+    for some in (docs, docs.where("doc_id <> 10")):
+        got = skills_by_vocabulary(some, vocab, ["doc_id"])
+        keys = {r[0] for r in some.select("doc_id").collect()}
+        assert got.count() == len(keys) and {r["doc_id"]: r["skills"] for r in got.collect()} == {k: v for k, v in want.items() if k in keys}
+        assert sorted(map(tuple, vocabulary_matches(some, vocab, ["doc_id"]).collect())) == sorted((k, e) for k in keys for e in want[k])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(vo, "SCAN_POSITIONS", positions)
+    import pyarrow as pa
+    scanner = vo.Scanner(sorted({e for e in entries if e is not None}))
+    texts = pa.array([None, "x", *[t.lower() if t is not None else None for _, t in rows], "y"]).slice(2, len(rows))
+    assert scanner.found(texts).to_pylist() == [sorted({e for e in entries if e is not None and t is not None and e in t.lower()}) for _, t in rows]
+
+
 # --- repeated rows ------------------------------------------------------------
 
 def test_repeated_rows_are_in_the_top_or_in_the_others(spark):
