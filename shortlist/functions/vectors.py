@@ -39,10 +39,14 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def l2_normalize(v: Column | str) -> Column:
-    """Unit-length copy of ``v`` (a zero vector is returned unchanged)."""
-    vd = as_double(v)
-    norm = F.sqrt(squared_norm(vd))
-    return F.when(norm == 0.0, vd).otherwise(F.transform(vd, lambda x: x / norm))
+    """Unit-length copy of ``v`` (a zero vector is returned unchanged).
+
+    Lambdas are interpreted and share no subexpressions: the norm is bound as
+    the variable of an outer one, else every element would work it out again.
+    """
+    pair = F.array(F.struct(as_double(v).alias("v"), F.sqrt(squared_norm(v)).alias("n")))
+    unit = F.transform(pair, lambda p: F.when(p["n"] == 0.0, p["v"]).otherwise(F.transform(p["v"], lambda x: x / p["n"])))
+    return unit[0]
 
 
 def _python_squared_norm(q: Sequence[float]) -> float:

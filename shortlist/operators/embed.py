@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shortlist.functions.vectors import l2_normalize
-
 Encoder = Callable[[list[str]], "np.ndarray"]
 
 #: Encoders kept by a Python worker under the caller's key.
@@ -83,13 +81,20 @@ class HashedEncoder:
     def dim(self) -> int:
         return len(self.weights)
 
-    def vectors(self, counted: DataFrame, terms_col: str = "terms", out_col: str = "embedding") -> DataFrame:
-        """Replace term counts by ARRAY<DOUBLE> vectors (whole numbers, not normalised)."""
-        from pyspark.ml.feature import ElementwiseProduct
+    def vectors(self, counted: DataFrame, terms_col: str = "terms", out_col: str = "embedding", unit: bool = False) -> DataFrame:
+        """Replace term counts by ARRAY<DOUBLE> vectors: whole numbers, or ``unit`` vectors (of zeros: left so).
+
+        Norms are taken of the sparse vectors; a sum of whole numbers is exact in any order.
+        """
+        from pyspark.ml.feature import ElementwiseProduct, Normalizer
         from pyspark.ml.functions import vector_to_array
         from pyspark.ml.linalg import Vectors
         weigh = ElementwiseProduct(scalingVec=Vectors.dense(self.weights), inputCol=terms_col, outputCol="_weighted")
-        return weigh.transform(counted).withColumn(out_col, vector_to_array("_weighted")).drop("_weighted", terms_col)
+        weighted = weigh.transform(counted).drop(terms_col)
+        if unit:
+            weighted = Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit").transform(weighted).drop("_weighted")
+        last = "_unit" if unit else "_weighted"
+        return weighted.withColumn(out_col, vector_to_array(last)).drop(last)
 
 
 def bucket_of(token: F.Column, dim: int) -> F.Column:
@@ -143,7 +148,7 @@ def embed_hashed(df: DataFrame, text_col: str, dim: int = DEFAULT_DIM,
                  out_col: str = "embedding") -> DataFrame:
     """Unit vectors of ``text_col`` by the built-in encoder fitted on ``df`` itself, in place of the text."""
     counted, model = embed_corpus(df, text_col, dim)
-    return model.vectors(counted, out_col=out_col).withColumn(out_col, l2_normalize(out_col))
+    return model.vectors(counted, out_col=out_col, unit=True)
 
 
 def check_description(text: str | None) -> None:
