@@ -55,11 +55,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of what is left."""
+    """doc_id, lang, source, n_tokens and ids of what is left, and the text that the ids decode to."""
     import public_tokenizers
 
     from shortlist.llm.bpe import encode
-    return encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), decoded=False)
+    return encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", toxicity), ("simhash_near_dedup", simhash_near_dedup), ("substring_dedup", substring_dedup),

@@ -47,6 +47,7 @@ class Bpe:
         self.tokens = [""] * (max([*vocab.values(), *self.specials.values()]) + 1)
         for token, i in [*vocab.items(), *self.specials.items()]:
             self.tokens[i] = token
+        self.spelling = pa.array(self.tokens, pa.string())
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.last = np.array([vocab[x + self.end] for x in letters], np.int64)
@@ -66,6 +67,13 @@ class Bpe:
         self.splitter = pre_tokenizers.Split(Regex(pattern), split["behavior"].lower(), split["invert"])
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
 
+    # ids -> text
+
+    def decode(self, ids: np.ndarray, ends: list[int]) -> pa.Array:
+        """Texts of the id sequences ``ids[ends[i]:ends[i + 1]]``: their tokens joined by spaces, as the file names no decoder."""
+        spelled = self.spelling.take(pa.array(ids.astype(np.int64)))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spelled), " ")
+
     # words -> pieces
 
     def pieces(self, word: str) -> list[str]:
@@ -216,7 +224,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = Fa
            decoded: bool = True) -> DataFrame:
     """``docs`` without its text, plus n_tokens, ids and decoded text (or digests of both).
 
-    Null texts count as empty; empty texts have no ids and decode to "".  Very
+    Texts are decoded from the ids of each document.  Null texts count as empty;
+    empty texts have no ids and decode to "".  Very
     long texts and words are encoded whole.  Extra columns pass through; one
     with the name of a result gives way to it.
     """
@@ -229,34 +238,30 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digest: bool = Fa
         bpe = per_worker(("bpe", path), lambda: Bpe(path))
         words, index, offsets = coded_words(batch.column(text_col))
         flat, starts, lengths = bpe.encode_words(words)
-        spelled = np.array([" ".join([bpe.tokens[t] for t in flat[s:s + n]])
-                            for s, n in zip(starts.tolist(), lengths.tolist())] if decoded else [], object)
-        used = lengths[index] > 0
-        offsets = np.concatenate([[0], np.cumsum(used)])[offsets]
-        index = index[used]
         ids = flat[gather(starts[index], lengths[index])].astype("<u4")
         ends = np.concatenate([[0], np.cumsum(lengths[index])])[offsets].tolist()
-        said = spelled[index].tolist() if decoded else []
-        texts = [" ".join(said[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        texts = bpe.decode(ids, ends) if decoded else None
         spans = list(zip(ends[:-1], ends[1:]))
         count = pa.array([b - a for a, b in spans], pa.int64())
         if digest:
             raw = memoryview(ids).cast("B")
             more = [count, pa.array([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in spans], pa.string()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string())]
+                    pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in texts], pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
         else:
             more = [count, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))),
-                    *([pa.array(texts, pa.string())] if decoded else [])]
+                    *([texts] if decoded else [])]
             names = ["n_tokens", "ids", *(["decoded"] if decoded else [])]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], names=[*rest, *names])
     return map_slices(docs, run, f"{base}, {added}" if base else added, by=text_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``: the tokens of its ids joined by spaces, as the file names no decoder."""
+    """``encoded`` with ``decoded``: the text of its ids (null: empty)."""
     @F.pandas_udf("string")
     def spelled(ids):
-        tokens = per_worker(("bpe", path), lambda: Bpe(path)).tokens
-        return ids.map(lambda x: "" if x is None else " ".join([tokens[i] for i in x]))
+        some = [[] if x is None else x for x in ids]
+        ends = np.cumsum([0, *[len(x) for x in some]]).tolist()
+        flat = np.concatenate(some) if ends[-1] else np.empty(0, np.int64)
+        return per_worker(("bpe", path), lambda: Bpe(path)).decode(flat, ends).to_pandas()
     return encoded.withColumn("decoded", spelled(ids_col))

@@ -169,6 +169,25 @@ def test_bpe(docs, empty):
     assert encode(empty, WORD_BPE).collect() == []
 
 
+def test_pipeline_bpe_encodes_and_decodes(spark):
+    import corpus_pipeline
+    from shortlist.llm.bpe import Bpe
+    texts = ["Hello, World! naïve 中文", "", None, " a\tb  <|endoftext|>x ", "ab" * 400, "\x00 \x00z"]
+    docs = spark.createDataFrame([(i, "en", "web", t) for i, t in enumerate(texts)], "doc_id bigint, lang string, source string, text string")
+    lib = library()
+    for r in corpus_pipeline.bpe(spark, docs, SF).collect():
+        ids = lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids, r.decoded) == (len(ids), ids, lib.decode(ids, skip_special_tokens=False))
+    from shortlist.llm.bpe import encode
+    for r in encode(docs, WORD_BPE, digest=True).collect():
+        ids = lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    # Any id sequence decodes, also one that no text encodes to.
+    bpe, ids = Bpe(WORD_BPE), [5, 0, 49151 % lib.get_vocab_size(), 5, 300, 1]
+    got = bpe.decode(np.array(ids), [0, 4, 4, 6]).to_pylist()
+    assert got == [lib.decode(x, skip_special_tokens=False) for x in (ids[:4], [], ids[4:])]
+
+
 def test_bpe_random_words():
     from shortlist.llm.bpe import Bpe
     lib, bpe, rng = library(), Bpe(WORD_BPE), random.Random(1)
