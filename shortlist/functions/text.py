@@ -46,14 +46,20 @@ EXPERIENCE_PATTERNS = (
 #   letter fails after two range checks instead of one per class member;
 # * an e-mail can only start where a run of local-part characters starts (a
 #   match starting inside a run would also match from the run's start), so
-#   the lookbehind skips every other start position that would rescan the run;
+#   the lookbehind skips every other start position that would rescan the run.
+#   Neither part holds an '@', so what is before the run that leads to the
+#   first '@' is not scanned at all;
+# * a phone number starts with a digit or plus, tested before any group;
+# * a run that is one U+0020 stays as it is, without being replaced by itself;
 # * "not printable ASCII" is spelled as the two ranges of its complement over
 #   all code points; java.util.regex runs the negated class ``[^\x20-\x7E]``
 #   about twice as slowly on the whitespace-collapsed text.
 WS_CLASS = rf"[\t-\x20\x{{85}}-\x{{3000}}&&[{WS}]]"
 NON_PRINTABLE_PATTERN = r"[\x00-\x1f\x7f-\x{10ffff}]"
-WS_RUN_PATTERN = WS_CLASS + "+"
-EMAIL_SCAN_PATTERN = r"(?<![a-zA-Z0-9._%+-])" + EMAIL_PATTERN
+WS_RUN_PATTERN = rf"(?:[\t-\x1f\x{{85}}-\x{{3000}}&&[{WS}]]{WS_CLASS}*+| {WS_CLASS}++)"   # all runs but a single U+0020
+EMAIL_LOCAL = "[a-zA-Z0-9._%+-]"
+EMAIL_SCAN_PATTERN = rf"(?<!{EMAIL_LOCAL})" + EMAIL_PATTERN
+PHONE_SCAN_PATTERN = "(?=[+0-9])" + PHONE_PATTERN
 MIN_TEXT_CHARS = 50
 SKILLS_VOCAB = (
     "python", "java", "javascript", "typescript", "c++", "c#", "go", "rust",
@@ -112,7 +118,11 @@ def clean_text(text: Column | str) -> Column:
 
 def extract_email(text: Column | str) -> Column:
     """First e-mail address, lower-cased; '' when there is none."""
-    return F.lower(F.regexp_extract(_col(text), EMAIL_SCAN_PATTERN, 0))
+    t = _col(text)
+    before = F.substring_index(t, "@", 1)
+    run = F.reverse(F.regexp_extract(F.reverse(before), f"^{EMAIL_LOCAL}*", 0))
+    rest = F.concat(run, F.substr(t, F.length(before) + 1))
+    return F.lower(F.regexp_extract(rest, EMAIL_SCAN_PATTERN, 0))
 
 
 def extract_phone(text: Column | str) -> Column:
@@ -120,7 +130,7 @@ def extract_phone(text: Column | str) -> Column:
 
     Only the first candidate is considered (no retry on a later one).
     """
-    candidate = F.regexp_replace(F.regexp_extract(_col(text), PHONE_PATTERN, 1),
+    candidate = F.regexp_replace(F.regexp_extract(_col(text), PHONE_SCAN_PATTERN, 1),
                                  PHONE_STRIP_PATTERN, "")
     digits = F.length(F.regexp_replace(candidate, "[^0-9]", ""))
     return F.when(digits.between(PHONE_MIN_DIGITS, PHONE_MAX_DIGITS), candidate) \
@@ -143,8 +153,11 @@ def extract_experience(text: Column | str) -> Column:
     A number beyond BIGINT counts as the largest BIGINT.
     """
     top = F.lit(2 ** 63 - 1).cast("bigint")
-    huge = F.array_max(experience_mentions(text, "array<double>")) >= F.lit(float(2 ** 63))
-    return F.when(huge, top).otherwise(F.coalesce(F.array_max(experience_mentions(text)), F.lit(0).cast("bigint")))
+    doubles = F.array_max(experience_mentions(text, "array<double>"))
+    whole = F.when(doubles >= F.lit(float(2 ** 63)), top).otherwise(
+        F.coalesce(F.array_max(experience_mentions(text)), F.lit(0).cast("bigint")))
+    # Up to 15 digits the double is exact, and the patterns run once; only a larger number takes the other way.
+    return F.coalesce(F.coalesce(doubles, F.lit(0.0)).try_cast("decimal(15,0)").cast("bigint"), whole)
 
 
 def sorted_vocab(vocab: Iterable[str] = SKILLS_VOCAB) -> list[str]:

@@ -17,19 +17,23 @@ so cosines are exact whatever the order.
 
 A ranking reads the postings of the query's buckets, the norms and the fields:
 one grouped sum by document, one join.  Without a folder (``transient_index``)
-postings are read off the stored counts in passing.
+a row's sums are taken of its own stored counts, in passing: nothing is joined
+or shuffled.  Tokens are found in the JVM; Arrow batches of them are counted,
+and sums taken, with numpy.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.operators.embed import (DEFAULT_DIM, TOKEN_PATTERN, bucket_of, check_description, path_exists, term_counts)
+from shortlist.operators.embed import (DEFAULT_DIM, HASH_DIGITS, TOKEN_PATTERN, bucket_of, check_description, path_exists)
 from shortlist.session import materialize_if_possible
 
 #: Key of a document in the index; ``_batch`` is the folder it came with.
@@ -38,12 +42,72 @@ KEY = ("_batch", "_doc")
 ALL_DOCUMENTS = -1
 
 
+#: Rows counted or summed at a time inside an Arrow batch.
+ROWS = 512
+TERMS = pa.struct([("bucket", pa.int32()), ("n", pa.int64())])
+
+
+def _by_rows(some: pa.Array, fn: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``fn`` of every ``ROWS`` rows, put together."""
+    return pa.concat_arrays([pa.array([], kind), *[fn(some.slice(at, ROWS)).cast(kind) for at in range(0, len(some), ROWS)]])
+
+
+def _inner(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Elements of all lists, and the row of each."""
+    return lists.flatten(), lists.value_parent_indices().to_numpy(zero_copy_only=False)
+
+
+def _counted_tokens(dim: int) -> Callable[[Column], Column]:
+    """array<string> -> array<struct<bucket,n>>, buckets ascending: ``bucket_of`` each token, counted by row."""
+    kind = pa.list_(TERMS)
+
+    def count(tokens: pa.Array) -> pa.Array:
+        values, row = _inner(tokens)
+        coded = values.dictionary_encode()
+        bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:HASH_DIGITS], 16) % dim for t in coded.dictionary.to_pylist()], np.int64)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        key, n = np.unique(row * dim + bucket[at], return_counts=True)
+        ends = np.searchsorted(key, np.arange(len(tokens) + 1) * dim)
+        terms = pa.StructArray.from_arrays([pa.array(key % dim, pa.int32()), pa.array(n, pa.int64())], fields=list(TERMS))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)
+
+    @F.arrow_udf("array<struct<bucket:int,n:bigint>>")
+    def counted(tokens: pa.Array) -> pa.Array:
+        return _by_rows(tokens, count, kind)
+    return counted
+
+
+def row_sums(weights: np.ndarray, columns: np.ndarray) -> Callable[[Column], Column]:
+    """``_terms`` -> array<bigint>: the squared norm under ``weights``, then the sum of n * column[bucket] for each column.
+
+    ``columns``: whole numbers, dim x columns.  Sums are exact: in doubles where
+    no sum can pass 2 ** 52, else in 64-bit whole numbers.
+    """
+    kind, width = pa.list_(pa.int64()), columns.shape[1] + 1
+    most = int(np.abs(columns).max(initial=0))
+    doubles = columns.astype(np.float64)
+
+    def sums(terms: pa.Array) -> pa.Array:
+        values, row = _inner(terms)
+        bucket, n = (values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        added = np.concatenate([[0], np.cumsum((n * weights[bucket]) ** 2)])
+        edges = np.searchsorted(row, np.arange(len(terms) + 1))
+        exact = most * int(np.bincount(row, n, len(terms)).max(initial=0)) < 2 ** 52
+        dense = np.zeros((len(terms), len(columns)), np.float64 if exact else np.int64)
+        dense[row, bucket] = n
+        got = np.column_stack([np.diff(added[edges]), (dense @ (doubles if exact else columns)).astype(np.int64)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(terms) + 1) * width, pa.int32()), pa.array(got.ravel()))
+
+    @F.arrow_udf("array<bigint>")
+    def summed(terms: pa.Array) -> pa.Array:
+        return _by_rows(terms, sums, kind)
+    return summed
+
+
 def _postings(rows: DataFrame) -> DataFrame:
-    """(_doc, bucket, n) of stored rows; the sparse counts are unfolded row by row, nothing is shuffled."""
-    from pyspark.ml.functions import vector_to_array
+    """(_doc, bucket, n) of stored rows, unfolded row by row; nothing is shuffled."""
     keys = [c for c in KEY if c in rows.columns]
-    return (rows.select(*keys, F.posexplode(vector_to_array("_terms")).alias("bucket", "n"))
-            .where("n > 0").withColumn("n", F.col("n").cast("bigint")))
+    return rows.select(*keys, F.inline("_terms"))
 
 
 def _frequency(rows: DataFrame) -> DataFrame:
@@ -56,7 +120,8 @@ def _counted(resumes: DataFrame, text_col: str, dim: int) -> DataFrame:
     """Rows with sparse counts and a number in place of the text; numbers hold once the rows are stored."""
     if taken := {*KEY, "_terms"} & set(resumes.columns):
         raise ValueError(f"columns {sorted(taken)} are the index's own")
-    counted = term_counts(resumes, text_col, dim, "_terms").drop(text_col)
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
+    counted = resumes.withColumn("_terms", _counted_tokens(dim)(tokens)).drop(text_col)
     return counted.withColumn("_doc", F.monotonically_increasing_id())
 
 
@@ -133,6 +198,17 @@ class TermIndex:
             out[jd][bucket] = c * self.weight(bucket)
         return out
 
+    def weights_list(self) -> np.ndarray:
+        return np.array([self.weight(b) for b in range(self.dim)], np.int64)
+
+    def sums(self, terms: Sequence[dict[int, int]]) -> Column:
+        """Of each row: its squared norm, then its dot product with every query's weighted counts (bucket -> y)."""
+        weights, columns = self.weights_list(), np.zeros((self.dim, len(terms)), np.int64)
+        for i, t in enumerate(terms):
+            for b, y in t.items():
+                columns[b, i] = y * weights[b]
+        return row_sums(weights, columns)("_terms")
+
     def squares(self) -> DataFrame:
         """(_batch, _doc, sq) of every document that has terms."""
         known = self.norms()
@@ -144,22 +220,23 @@ class TermIndex:
         A document that shares no term with the description scores 0.
         """
         terms = self.query_terms(descriptions)
-        dots = [F.coalesce(F.sum(F.col("n") * self._lookup([t.get(b, 0) * self.weight(b) for b in range(self.dim)])), F.lit(0))
-                .alias(f"_d{i}") for i, t in enumerate(terms)]
+        fields = self.rows.drop("_terms")
         norms = self.norms()
         if norms is None:
-            sums = self.postings.groupBy(*KEY).agg(self._square().alias("_sq"), *dots)
+            joined = self.rows.withColumn("_sums", self.sums(terms)).select(
+                *fields.columns, F.col("_sums")[0].alias("_sq"), *[F.col("_sums")[i + 1].alias(f"_d{i}") for i in range(len(terms))])
         else:
             # Dots and norms meet in one grouped sum: postings of the queries' buckets only.
+            dots = [F.coalesce(F.sum(F.col("n") * self._lookup([t.get(b, 0) * self.weight(b) for b in range(self.dim)])), F.lit(0))
+                    .alias(f"_d{i}") for i, t in enumerate(terms)]
             asked = sorted({b for t in terms for b in t})
             own = self.postings.where(F.col("bucket").isin(asked)).groupBy(*KEY).agg(*dots).withColumn("_sq", F.lit(0).cast("bigint"))
             known = norms.select(*KEY, *[F.lit(0).cast("bigint").alias(f"_d{i}") for i in range(len(terms))], F.col("sq").alias("_sq"))
             columns = ["_sq", *[f"_d{i}" for i in range(len(terms))]]
             sums = own.unionByName(known).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in columns])
+            joined = fields.join(sums, list(KEY), "left")
         scores = [cosine_of(F.col(f"_d{i}"), F.col("_sq"), F.lit(sum(y * y for y in t.values()))).alias(name)
                   for i, (t, name) in enumerate(zip(terms, names))]
-        fields = self.rows.drop("_terms")
-        joined = fields.join(sums, list(KEY), "left")
         return joined.select(*fields.columns, *scores)
 
 

@@ -138,6 +138,31 @@ def test_ten_thousand_criteria(spark):
     assert sorted(got.where("jd_id = 1").collect()) == sorted(one.collect())
 
 
+def test_a_ranking_takes_sums_of_its_own_rows(spark):
+    """No shuffle and no join by document; experience patterns run once a row."""
+    res = cat.resumes(spark, SF0001)
+    scored = rk.score_documents(res, cat.CRITERIA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in scored and "Join" not in scored
+    huge = 2 ** 40
+    from shortlist.operators.terms import row_sums
+    import numpy as np
+    rows = spark.createDataFrame([(0, [(0, 3), (2, huge)]), (1, []), (2, [(1, 5)])], "id int, _terms array<struct<bucket:int,n:bigint>>")
+    got = {r["id"]: r["s"] for r in rows.select("id", row_sums(np.array([1, 2, 0]), np.array([[1], [10], [2 ** 20 + 1]]))("_terms").alias("s")).collect()}
+    assert got == {0: [9, 3 + huge * (2 ** 20 + 1)], 1: [0, 0], 2: [100, 50]}
+
+
+def test_criteria_in_the_row_equal_criteria_by_postings(spark, monkeypatch):
+    from shortlist.operators import criteria as cr
+    res, table = cat.resumes(spark, SF0001).where("doc_id < 200"), fx.criteria(spark, SF0001).where("jd_id < 12")
+    queries = cr.parsed(table)
+    index = transient_index(res)
+    plan = cr.scored_pairs(index, queries, 12)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" not in plan.split("Join Inner")[0] and plan.count("Join LeftOuter") <= 1   # the queries' norms only
+    here = sorted(map(str, cr.scored_pairs(index, queries, 12).collect()))
+    monkeypatch.setattr(cr, "IN_ROW", 0)
+    assert here == sorted(map(str, cr.scored_pairs(index, queries, 12).collect())) and len(here) == 12 * index.n_docs
+
+
 # --- vocabulary tables --------------------------------------------------------
 
 def _contained(rows, entries):
@@ -183,6 +208,14 @@ def test_large_vocabulary(spark):
     assert got == _contained([(r[0], r[1]) for r in docs.collect()], [r[0] for r in vocab.collect()])
 
 
+def test_short_vocabulary_is_tested_in_passing(spark):
+    """No grams, no shuffle of matches, and each text is tested once (no filter that repeats the test)."""
+    found = cat.q_skills_theta_join(spark, SF0001)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert sum(line.count("Contains(") + line.count("contains(") for line in plan.splitlines()) <= len(tx.SKILLS_VOCAB)
+
+
 @pytest.mark.parametrize("positions", [1 << 21, 64])
 def test_vocabulary_scanned_in_the_tasks(spark, monkeypatch, positions):
     """Rows, repeated keys, gram widths, and a plan that neither explodes grams nor shuffles texts."""

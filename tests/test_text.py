@@ -161,3 +161,19 @@ def test_skills_stay_in_codegen(spark):
     df = spark.createDataFrame([("x" * 60,)], "raw_text string")
     plan = extract_fields(df)._jdf.queryExecution().executedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_scan_patterns_equal_the_plain_ones(spark):
+    texts = ["a b@c.de", "x@y z@q.com", "@ @a.bc", "é@x.de", "no at", "", "a@@b.co", "+1 (2) 345 678", "++12345678901", "1-----------2", "  a  b\t c\u2003\u2003d ",
+             " ", "a \t", "12345678901234567 years experience 3+ yrs", "9" * 30 + " years experience", "999999999999999 yrs of experience 1000000000000000+ years",
+             "x" * 50 + "@" + "y" * 50 + ".com tail@z.org"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = df.select("t", tx.extract_email("t").alias("e"), tx.extract_phone("t").alias("p"), tx.extract_experience("t").alias("y"),
+                    F.lower(F.regexp_extract("t", tx.EMAIL_PATTERN, 0)).alias("e0"), F.regexp_extract("t", tx.PHONE_PATTERN, 1).alias("p0"),
+                    F.regexp_extract("t", tx.PHONE_SCAN_PATTERN, 1).alias("p1"), F.regexp_replace("t", f"[{tx.WS}]+", " ").alias("w0"),
+                    F.regexp_replace("t", tx.WS_RUN_PATTERN, " ").alias("w1")).collect()
+    assert all(r.e == r.e0 and r.p0 == r.p1 and r.w0 == r.w1 for r in got)
+    years = {r.t: r.y for r in got}
+    assert years[texts[13]] == 12345678901234567 and years[texts[14]] == 2 ** 63 - 1 and years[texts[15]] == 10 ** 15 and years[""] == years[None] == 0
+    plan = df.select(tx.extract_email("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "substring_index" in plan
