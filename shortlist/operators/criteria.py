@@ -4,8 +4,10 @@ A criteria row is (jd_id, job_description, top_n, min_exp, skills); null top_n,
 min_exp and skills mean the defaults.  The plan does not depend on how many
 rows there are: criteria stay a relation that documents are joined with.
 
-* Terms of all job descriptions meet the postings in one equi-join on the
-  bucket; dot products are grouped sums by (query, document).
+* Up to ``IN_ROW`` queries: a row's dot products with all of them come from its
+  own stored counts, with no shuffle.  Beyond, terms of all job descriptions
+  meet the postings in one equi-join on the bucket, and dot products are
+  grouped sums by (query, document).
 * Each document meets every query once, in blocks of ``BLOCK`` queries, with
   the rules on skills and years as array and number expressions.
 * What leaves that join is slim: ids, scores, eligibility.  Thresholds are
@@ -29,6 +31,8 @@ from shortlist.session import materialize_if_possible
 
 #: Queries that one copy of a document meets.
 BLOCK = 256
+#: Up to this many queries meet a row's own stored counts in passing; more meet postings by shuffle.
+IN_ROW = 4096
 #: A criteria table up to this many rows may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -73,30 +77,44 @@ def _checked(queries: DataFrame) -> tuple[int, int]:
 
 def scored_pairs(index: TermIndex, queries: DataFrame, n_queries: int) -> DataFrame:
     """(jd_id, document key, tie-break columns, Semantic_Score, Final_Score, Eligible) of every pair."""
+    in_row = n_queries <= IN_ROW
     terms = description_terms(queries, index.dim).withColumn("w", index.weight_at("bucket"))
     asked = terms.groupBy("jd_id").agg(F.sum(F.col("c") * F.col("c") * F.col("w") * F.col("w")).alias("query_sq"))
+    if in_row:
+        found: dict[int, dict[int, int]] = {r[0]: {} for r in queries.select("jd_id").collect()}
+        for jd, bucket, y in terms.select("jd_id", "bucket", (F.col("c") * F.col("w"))).collect():
+            found[jd][bucket] = y
+        place = queries.sparkSession.createDataFrame(list(zip(found, range(n_queries))),
+                                                     f"jd_id {queries.schema['jd_id'].dataType.simpleString()}, _place int")
+        queries = queries.join(F.broadcast(place), "jd_id")
+    else:
+        queries = queries.withColumn("_place", F.lit(None).cast("int"))
     dots = (index.postings.join(terms.select("jd_id", "bucket", (F.col("c") * F.col("w") * F.col("w")).alias("y")), "bucket")
             .groupBy("jd_id", *KEY).agg(F.sum(F.col("n") * F.col("y")).alias("dot")))
     blocks = -(-n_queries // BLOCK)
     side = queries.join(asked, "jd_id", "left").select(
-        F.pmod(F.xxhash64("jd_id"), F.lit(blocks)).cast("int").alias("_block"), "jd_id", "min_exp", "required", "mandatory", "query_sq")
+        F.pmod(F.xxhash64("jd_id"), F.lit(blocks)).cast("int").alias("_block"), "jd_id", "_place", "min_exp", "required", "mandatory", "query_sq")
     if n_queries <= BROADCAST_ROWS:
         side = F.broadcast(side)
     rows = index.rows.drop("_terms")
     ties = tie_break(rows)
-    docs = rows.join(index.squares(), list(KEY), "left").select(
-        *ties, "Exp_Years", "sq", tx.split_skill_list("Skills_List").alias("cand"),
+    if in_row:
+        rows = index.rows.withColumn("_sums", index.sums(list(found.values()))).withColumn("sq", F.col("_sums")[0])
+    else:
+        rows = rows.join(index.squares(), list(KEY), "left").withColumn("_sums", F.lit(None).cast("array<bigint>"))
+    docs = rows.select(
+        *ties, "Exp_Years", "sq", "_sums", tx.split_skill_list("Skills_List").alias("cand"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
     passes = F.size(F.array_except("mandatory", "cand")) == 0
     wanted = F.size("required")
     share = F.when(wanted == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect("required", "cand")) / wanted.cast("double"))
     pairs = docs.join(side, "_block").select(
-        "jd_id", *ties, "sq", "query_sq",
+        "jd_id", *ties, "sq", "query_sq", F.get("_sums", F.col("_place") + 1).alias("_dot"),
         sc.experience_score("Exp_Years", F.col("min_exp")).alias("exp_score"),
         F.when(passes, share).otherwise(F.lit(0.0)).alias("skill_score"),
         ((F.col("Exp_Years") >= F.col("min_exp")) & passes).alias("Eligible"))
-    scored = pairs.join(dots, ["jd_id", *KEY], "left").withColumn(
-        "Semantic_Score", cosine_of(F.coalesce("dot", F.lit(0)), F.col("sq"), F.col("query_sq")))
+    pairs = pairs.withColumnRenamed("_dot", "dot") if in_row else pairs.drop("_dot").join(dots, ["jd_id", *KEY], "left")
+    scored = pairs.withColumn("Semantic_Score", cosine_of(F.coalesce("dot", F.lit(0)), F.col("sq"), F.col("query_sq")))
     return scored.select("jd_id", *ties, "Semantic_Score", "Eligible",
                          sc.final_score("Semantic_Score", "exp_score", "skill_score").alias("Final_Score"))
 
