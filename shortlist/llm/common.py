@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -79,7 +81,8 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
         raise ValueError(f"the table has a column {name}; give another name for the row number")
     path, row, file = (free_name(df, c) for c in ("__path", "__row", "__file"))
     paths = sorted({re.sub("^([^:/]+):///", r"\1:/", p) for p in df.inputFiles()})
-    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), f"{path} string, {file} bigint")
+    # As Arrow: rows given as a list would start Python workers of their own on every executor.
+    files = df.sparkSession.createDataFrame(pa.table({path: pa.array(paths, pa.string()), file: pa.array(range(len(paths)), pa.int64())}))
     place = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
     number = F.coalesce(file, F.raise_error(F.concat(F.lit("not a file of the table: "), path)).cast("bigint"))
     return (place.join(F.broadcast(files), path, "left").withColumn(name, F.shiftleft(number, 33) + F.col(row))
@@ -90,12 +93,29 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordB
                schema: str, by: str = "text", max_bytes: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices that hold about ``max_bytes`` of column ``by``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, by, max_bytes):
-                yield from fn(part)
+        for part in in_slices(batches, by, max_bytes):
+            yield from fn(part)
     return df.mapInArrow(run, schema)
 
 
+def in_slices(batches: Iterable[pa.RecordBatch], by: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``slices`` of every batch; what a slice no longer needs goes back to the system before the next."""
+    for batch in batches:
+        for part in slices(batch, by, max_bytes):
+            yield part
+            release_memory()
+
+
+def release_memory() -> None:
+    """Give free memory back: Spark keeps a Python worker for later tasks, of other operators too.
+
+    Arrow's pool and the C library hold on to what was freed, and the worker would stay as large as its largest slice.
+    """
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, by: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return

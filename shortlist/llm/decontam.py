@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import map_slices, store, with_row_id
+from shortlist.llm.common import in_slices, map_slices, store, with_row_id
 
 BLOCK_BYTES = 8 << 20
 
@@ -76,7 +76,7 @@ def _scan(texts: DataFrame, sent: Broadcast, window: int) -> DataFrame:
         ids = [i for i, _ in sent.value]
         schema = pa.schema([("rid", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())),
                             ("items", pa.list_(pa.string()))])
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             counts, hits, items = [], [], []
             for text in batch.column("text").to_pylist():
                 words = [w for w in normal_words(text) if w]

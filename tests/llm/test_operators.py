@@ -565,3 +565,55 @@ def test_known_features_are_those_of_the_words():
     ends = np.cumsum(size)
     assert [sorted(flat[e - n:e].tolist()) for n, e in zip(size.tolist(), ends.tolist())] == [
         sorted(known[f] for f in features(w) if f in known) for w in words]
+
+
+def test_workers_give_memory_back(spark, scratch):
+    """What one slice took is free before the next: blocks of no arena, the last of them kept."""
+    from shortlist.llm.common import map_slices
+    docs = stored(spark, scratch, [(i, "x" * 2000) for i in range(4)], "doc_id bigint, text string", "slices", 1)
+    held = []
+
+    def run(batch):
+        import re
+        from pathlib import Path
+
+        import pyarrow as pa
+        before = int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+        some = [bytes(1000) for _ in range(150_000)]
+        held.append(some[-1])
+        yield pa.RecordBatch.from_pydict({"mb": pa.array([before], pa.int64())})
+    mb = sorted(r.mb for r in map_slices(docs, run, "mb bigint", max_bytes=1000).collect())
+    assert len(mb) == 4 and mb[-1] - mb[0] < 60
+
+
+def test_row_ids_start_no_python(spark, scratch):
+    from shortlist.llm.common import with_row_id
+    docs = stored(spark, scratch, [(i, "x") for i in range(9)], "doc_id bigint, text string", "numbered")
+    rows = with_row_id(docs)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+    assert rows.select("rid").distinct().count() == 9
+
+
+def test_pipeline_toxicity_sends_a_text_once(spark, monkeypatch):
+    import corpus_pipeline
+    from shortlist.llm import toxicity
+    from shortlist.llm.common import table
+    seen = []
+    monkeypatch.setattr(toxicity, "score", lambda docs, labels: seen.append(docs.schema) or docs.withColumn("predicted", F.lit(0)))
+    docs = table(spark, SF, "documents")
+    after = corpus_pipeline.toxicity(spark, docs, SF)
+    assert "text" in seen[0].names and "text" not in seen[0]["row"].dataType.names
+    assert after.columns == docs.columns and after.exceptAll(docs).count() == docs.exceptAll(after).count() == 0
+
+
+def test_pipeline_batches_are_slices(spark):
+    """Each stage asks for batches of a slice; a size that the session has already stays."""
+    import corpus_pipeline
+    from shortlist.llm.common import SLICE_BYTES, table
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", table(spark, SF, "documents")
+    for held, want in ((None, str(SLICE_BYTES)), ("3000000", "3000000")):
+        spark.conf.set(key, held) if held else spark.conf.unset(key)
+        corpus_pipeline.bpe(spark, docs, SF)
+        assert spark.conf.get(key) == want
+    spark.conf.unset(key)
