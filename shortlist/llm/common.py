@@ -143,7 +143,7 @@ def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, each word's index among them, and row offsets."""
     values, offsets = words_of(texts)
     coded = values.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), offsets
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False), offsets
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -14,10 +14,14 @@ last level has no bitmap bit set.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shortlist.llm.bpe import byte_letters
 from shortlist.llm.common import coded_words, gather, new_folder, per_worker, slices, store
 
 MAGIC = b"DAC1"
@@ -95,8 +100,36 @@ class Reader:
             who, places = who[more], self._ones_before(bits, rank, places[more])
         return out
 
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """Ids at the places ``lo`` to ``hi - 1``, which lie side by side on every level."""
+        out, who = np.zeros(hi - lo, np.uint32), slice(None)
+        for level, (chunks, bits, rank) in enumerate(self.levels):
+            if lo == hi:
+                break
+            out[who] |= chunks[lo:hi].astype(np.uint32) << np.uint32(8 * level)
+            first = lo & ~7
+            more = np.flatnonzero(np.unpackbits(bits[lo >> 3:-(-hi // 8)], bitorder="little")[lo - first:hi - first])
+            who = more if level == 0 else who[more]
+            if len(more):
+                lo = int(self._ones_before(bits, rank, np.array([lo]))[0])
+            else:
+                lo = 0
+            hi = lo + len(more)
+        return out
+
     def document(self, i: int) -> np.ndarray:
-        return self.get(np.arange(self.starts[i], self.starts[i + 1]))
+        return self.span(int(self.starts[i]), int(self.starts[i + 1]))
+
+
+#: What lets words be cut before the library's model sees them: a normaliser that leaves words between spaces
+#: apart, and pieces that are contractions, runs of letters, single numbers or runs of anything else.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+UNSEEN, SPACE, LETTER, NUMBER, OTHER = range(5)
 
 
 class LibraryIds:
@@ -104,8 +137,13 @@ class LibraryIds:
 
     White space never joins what stands on its two sides in such files (it is
     normalised and dropped), so words between ASCII white space encode alone
-    as they do within their text.  Up to ``keep`` words stay known for later
-    calls; then all are dropped and gathered anew.
+    as they do within their text.  With ``NORMALIZER`` and ``SPLITTER`` many
+    words are normalised at once (ASCII only needs lower case) and cut where the
+    kinds of their characters change (the library tells the kind of each); its
+    model then sees each distinct piece once.  Words with an apostrophe, a
+    special token or white space beyond ASCII, and all words of other files, go
+    to the library whole.  Up to ``keep`` pieces and whole words stay known for
+    later calls; then all are dropped and gathered anew.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000):
@@ -114,27 +152,102 @@ class LibraryIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = spec["added_tokens"]
+        self.cuts = (spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLITTER
+                     and not any(t["normalized"] for t in added))
+        self.uncut = re.compile("|".join(["'", r"[^\S ]", *(re.escape(t["content"]) for t in added)]))
+        self.model = Tokenizer(self.tokenizer.model)
+        self.letters = dict(enumerate(byte_letters()))
+        self.kinds = np.full(0x110000, UNSEEN, np.uint8)
         self.keep = keep
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: defaultdict[str, int] = defaultdict()       # pieces, and whole words after a space: their numbers
+        self.known.default_factory = self.known.__len__
         self.flat, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
 
+    def _kind(self, char: str) -> int:
+        """The kind of a normalised character, as the file's splitter has it."""
+        def pieces(text: str) -> int:
+            return len(self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+        return SPACE if not pieces(char) else LETTER if pieces("a" + char) == 1 else OTHER if pieces("!" + char) == 1 else NUMBER
+
+    def _pieces(self, words: list[str]) -> tuple[list[str], np.ndarray] | None:
+        """Normalised pieces of the words, one after another, and each word's number of them; None if they don't come apart."""
+        text = " ".join(words)
+        text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kinds = self.kinds[codes]
+        if not kinds.all():
+            new = np.unique(codes[kinds == UNSEEN])
+            self.kinds[new] = [self._kind(chr(c)) for c in new.tolist()]
+            kinds = self.kinds[codes]
+        gap = kinds == SPACE
+        begins = (kinds == NUMBER) | gap
+        begins[0] = True
+        begins[1:] |= kinds[1:] != kinds[:-1]
+        at = np.flatnonzero(begins)
+        real = ~gap[at]
+        count = np.bincount(np.cumsum(~real)[real], minlength=len(words))
+        if len(count) != len(words) or not count.all() or "'" in text:
+            return None
+        ends = np.append(at[1:], len(codes))
+        return [text[a:b] for a, b in zip(at[real].tolist(), ends[real].tolist())], count
+
+    @staticmethod
+    def _encode(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and lengths of words, each taken alone."""
+        flat, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for lo in range(0, len(words), 4096):
+            part = words[lo:lo + 4096]
+            got = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(got.ids, np.uint32))
+            lengths.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)).astype(np.int64))
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def _whole(self, words: list[str]) -> np.ndarray:
+        """Which of the words go to the library whole."""
+        whole = np.full(len(words), not self.cuts)
+        hits = [m.start() for m in self.uncut.finditer(" ".join(words))]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        whole[np.searchsorted(ends, hits, "right")] = True
+        return whole
+
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.known) > self.keep:
             self._clear()
-        new = [w for w in words if w not in self.known]
-        flat, lengths = [self.flat], [self.lengths]
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            flat.append(np.array(got.ids, np.uint32))
-            lengths.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)).astype(np.int64))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
-        own = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return self.flat, (np.cumsum(self.lengths) - self.lengths)[own], self.lengths[own]
+        known, had = self.known, len(self.known)
+        whole, plain = self._whole(words), np.fromiter(map(str.isascii, words), bool, len(words))
+        places, order, counts = [], [], [np.empty(0, np.int64)]      # words as handled, their units, units of each
+        for some in (np.flatnonzero(plain & ~whole).tolist(), np.flatnonzero(~plain & ~whole).tolist()):
+            for lo in range(0, len(some), 4096):
+                part = some[lo:lo + 4096]
+                if (got := self._pieces([words[i] for i in part])) is None:
+                    whole[part] = True
+                    continue
+                order += map(known.__getitem__, got[0])
+                counts.append(got[1])
+                places += part
+        pieces = len(known) - had
+        rest = np.flatnonzero(whole).tolist()
+        order += [known[" " + words[i]] for i in rest]
+        counts.append(np.ones(len(rest), np.int64))
+        places += rest
+        new = list(islice(known, had, None))
+        spelled = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters) for p in new[:pieces]]
+        got = self._encode(self.model, spelled), self._encode(self.tokenizer, [w[1:] for w in new[pieces:]])
+        self.flat = np.concatenate([self.flat, *(flat for flat, _ in got)])
+        self.lengths = np.concatenate([self.lengths, *(lengths for _, lengths in got)])
+        units = np.array(order, np.int64)
+        own = self.lengths[units]
+        flat = self.flat[gather((np.cumsum(self.lengths) - self.lengths)[units], own)]
+        edge = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(np.concatenate(counts))])]
+        back = np.empty(len(words), np.int64)
+        back[places] = np.arange(len(words))
+        return flat, edge[:-1][back], np.diff(edge)[back]
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None,
@@ -214,7 +327,7 @@ def read_ids(files: DataFrame, digest: bool = False) -> DataFrame:
                 starts = reader.starts
                 for lo in range(0, len(doc_ids), 2000):
                     hi = min(lo + 2000, len(doc_ids))
-                    ids = reader.get(np.arange(starts[lo], starts[hi]))
+                    ids = reader.span(int(starts[lo]), int(starts[hi]))
                     cuts = (starts[lo:hi + 1] - starts[lo]).tolist()
                     if digest:
                         raw = memoryview(ids.astype("<u4")).cast("B")

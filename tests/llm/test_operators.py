@@ -266,6 +266,41 @@ def test_direct_codes_random_access():
         assert (reader.get(places) == ids[places]).all() and (reader.document(1) == ids[n // 2:]).all()
 
 
+def test_direct_codes_spans():
+    from shortlist.llm.dac import Reader, pack
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 10), (1, 300), (700, 200), (5000, 60_000), (3000, 2 ** 32)):
+        ids = rng.integers(0, top, n, dtype=np.uint32)
+        reader = Reader(pack(ids, np.array([0, n])))
+        for lo, hi in [(0, n), (n, n), *np.sort(rng.integers(0, n + 1, (200, 2))).tolist()]:
+            assert (reader.span(lo, hi) == ids[lo:hi]).all()
+
+
+def test_direct_codes_pieces():
+    """The library's model sees a piece once, whatever its case and the marks around it; all words are as the library has them."""
+    from shortlist.llm.dac import LibraryIds
+    lib, rng = library(), random.Random(3)
+
+    def same(encode, words):
+        flat, starts, lengths = encode(words)
+        got = lib.encode(words, is_pretokenized=True, add_special_tokens=False)
+        assert lengths.tolist() == np.bincount(got.word_ids, minlength=len(words)).tolist()
+        assert [i for s, n in zip(starts.tolist(), lengths.tolist()) for i in flat[s:s + n].tolist()] == got.ids
+    encode = LibraryIds(WORD_BPE)
+    stems = [f"st{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(60)]
+    same(encode, [a + case(w) + b for w in stems for case in (str, str.upper, str.title) for a in ("", "(", "7") for b in ("", ".", "!!", ",9")])
+    assert len(encode.known) <= len(stems) + 10
+    same(encode, [w for c in range(0, 0x3100) if chr(c) not in " \t\n\v\f\r" for w in (chr(c), f"aB{chr(c)}a", f"1{chr(c)}2", f"!{chr(c)}!", f"{chr(c)}\u0301x")])
+    letters = [*"abXYsTlL019'!.<|", "é", "İ", "\u0301", "中", "²", "\u00a0", "\u2003", "\x1c", "\x00", "ﬁ", "ᄀ", "ᅡ", "Σ", "'LL", "<|endoftext|>", "<|STARTOFTEXT|>"]
+    small = LibraryIds(WORD_BPE, keep=500)               # dropped and gathered anew
+    for _ in range(10):
+        some = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(1500)]
+        same(encode, some)
+        same(small, some)
+    same(encode, ["a" * 5000, "1" * 5000, "é!" * 2000, "x"])
+    assert [len(x) for x in encode([])] == [0, 0, 0]
+
+
 def test_warc(spark, scratch):
     from shortlist.llm.warc import assemble, read_records, write_captures
     evil = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
